@@ -9,14 +9,14 @@ write that form with built-in functions only:
 * ``query_pairs`` turns a URL into the ordered, decoded ``(pos, key, value)``
   pairs a standard query-string parser returns (blank values dropped).
 * ``search_state_text`` pulls the first ``searchQueryState`` and decodes it.
-* ``override_bounds`` / ``set_current_page`` edit the raw JSON text, so key order
+* ``with_bounds_override`` / ``set_current_page`` edit the raw JSON text, so key order
   and number text survive (a VARIANT round trip would sort keys).
-* ``build_search_url`` / ``paginate_url`` rebuild URLs.
+* ``build_search_url`` / ``with_page_url`` rebuild URLs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.text import py_float_text
@@ -116,11 +116,10 @@ def search_state_text(url, strict: bool = False) -> Column:
     single- and double-encoded states come out as JSON.  Lenient form returns
     null when absent; ``strict=True`` raises instead.
     """
-    text = unquote(first_param(url, STATE_PARAM))
+    text = F.nullif(unquote(first_param(url, STATE_PARAM)), F.lit(""))
     if strict:
-        return F.when(text.isNull() | (text == ""),
-                      F.raise_error(F.lit("searchQueryState not found in URL"))).otherwise(text)
-    return F.when(text != "", text)
+        return F.coalesce(text, F.raise_error(F.lit("searchQueryState not found in URL")).cast("string"))
+    return text
 
 
 def search_state(url) -> Column:
@@ -149,25 +148,29 @@ def _append_member(obj_text: Column, member: Column) -> Column:
         F.regexp_replace(obj_text, r"\}\s*$", F.concat(F.lit(","), member, F.lit("}"))))
 
 
-def override_bounds(state_text, north=None, south=None, east=None, west=None) -> Column:
-    """Replace the given sides of ``mapBounds`` (others kept), on raw JSON text.
+def with_bounds_override(df: DataFrame, state_col: str, out_col: str, north=None, south=None, east=None,
+                         west=None) -> DataFrame:
+    """Add ``out_col``: the state text with the given ``mapBounds`` sides replaced.
 
-    A null override leaves that side as it is.  Numbers are written the way a
-    Python ``json.dumps`` of a float writes them.
+    A null override leaves that side as it is; a missing side is appended and a
+    missing ``mapBounds`` object is added at the end, as a dict update would.
+    Numbers are written the way ``json.dumps`` writes a float.  Each step is its
+    own projection (Spark does not inline an expensive column that is used
+    several times), so the work per row stays linear in the number of sides.
     """
-    st = _c(state_text)
-    inner = F.regexp_extract(st, _BOUNDS_OBJ, 1)
-    has_bounds = st.rlike(_BOUNDS_OBJ)
-    new_inner = inner
+    st = F.col(state_col)
+    df = df.withColumn("_bnd", F.regexp_extract(st, _BOUNDS_OBJ, 1))
     for name, value in (("north", north), ("south", south), ("east", east), ("west", west)):
         if value is None:
             continue
         v = _c(value) if not isinstance(value, (int, float)) else F.lit(float(value))
-        new_inner = F.when(v.isNull(), new_inner).otherwise(_set_member(new_inner, name, py_float_text(v)))
-    replaced = F.regexp_replace(st, F.lit(_BOUNDS_OBJ),
-                                F.concat(F.lit('"mapBounds":{'), F.replace(new_inner, F.lit("$"), F.lit("\\$")), F.lit("}")))
-    appended = _append_member(st, F.concat(F.lit('"mapBounds":{'), new_inner, F.lit("}")))
-    return F.when(has_bounds, replaced).otherwise(appended)
+        df = df.withColumn("_bnd", F.when(v.isNull(), F.col("_bnd"))
+                           .otherwise(_set_member(F.col("_bnd"), name, py_float_text(v))))
+    obj = F.concat(F.lit('"mapBounds":{'), F.col("_bnd"), F.lit("}"))
+    out = F.when(st.rlike(_BOUNDS_OBJ),
+                 F.regexp_replace(st, F.lit(_BOUNDS_OBJ), F.replace(obj, F.lit("$"), F.lit("\\$")))) \
+           .otherwise(_append_member(st, obj))
+    return df.withColumn(out_col, out).drop("_bnd")
 
 
 def set_member_value(state_text, name: str, value_text: Column) -> Column:
@@ -203,35 +206,40 @@ def build_search_url(base_path, state_text, category=DEFAULT_CATEGORY, site: str
                     F.lit(f"&{STATE_PARAM}="), quote(_c(state_text), safe="/"))
 
 
-def paginate_url(url, page, encode_once: bool = False) -> Column:
-    """Rewrite a search URL to ask for ``page``.
+def with_page_url(df: DataFrame, url_col: str, page, out_col: str = "page_url",
+                  encode_once: bool = False) -> DataFrame:
+    """Add ``out_col``: the URL rewritten to ask for ``page``.
 
     Parity with the crawler: the query is rebuilt from the parsed pairs, grouped
     by key in order of first appearance (blank values are gone), every value is
     form-encoded, and the new state is percent-encoded first, so it ends up
     encoded twice.  ``encode_once=True`` writes it encoded once.  A URL with no
-    state comes back unchanged.
+    state comes back unchanged.  Parsed pairs and state are staged columns, so
+    each is computed once per row.
     """
-    u = _c(url)
-    state = search_state_text(u)
-    inner = quote(set_current_page(state, page), safe="")
-    state_value = inner if encode_once else quote_plus(inner)
-    pairs = query_pairs(u)
-    keys = F.transform(pairs, lambda s: s["key"])
-    ordered = F.sort_array(F.transform(pairs, lambda s: F.struct(
-        F.array_position(keys, s["key"]).alias("grp"), s["pos"].alias("pos"),
+    u = F.col(url_col)
+    df = df.withColumn("_qp", query_pairs(u))
+    df = df.withColumn("_st", F.nullif(unquote(F.try_element_at(
+        F.filter("_qp", lambda s: s["key"] == F.lit(STATE_PARAM)), F.lit(1))["value"]), F.lit("")))
+    df = df.withColumn("_enc", quote(set_current_page(F.col("_st"), page), safe=""))
+    state_value = F.col("_enc") if encode_once else quote_plus(F.col("_enc"))
+    df = df.withColumn("_keys", F.transform("_qp", lambda s: s["key"]))
+    ordered = F.sort_array(F.transform("_qp", lambda s: F.struct(
+        F.array_position(F.col("_keys"), s["key"]).alias("grp"), s["pos"].alias("pos"),
         s["key"].alias("key"), s["value"].alias("value"))))
+    df = df.withColumn("_ord", ordered)
     # only the first searchQueryState survives (its list is replaced by one value)
-    first_state_pos = F.try_element_at(F.filter(ordered, lambda s: s["key"] == STATE_PARAM), F.lit(1))["pos"]
-    kept = F.filter(ordered, lambda s: (s["key"] != STATE_PARAM) | (s["pos"] == first_state_pos))
+    first_state_pos = F.try_element_at(F.filter("_ord", lambda s: s["key"] == STATE_PARAM), F.lit(1))["pos"]
+    kept = F.filter("_ord", lambda s: (s["key"] != STATE_PARAM) | (s["pos"] == first_state_pos))
+    df = df.withColumn("_sv", state_value)
     encoded = F.transform(kept, lambda s: F.concat(
         quote_plus(s["key"]), F.lit("="),
-        F.when(s["key"] == STATE_PARAM, state_value).otherwise(quote_plus(s["value"]))))
-    query = F.array_join(encoded, "&")
-    frag = url_fragment(u)
-    rebuilt = F.concat(url_prefix(u), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-                       F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(F.lit("")))
-    return F.when(state.isNull(), u).otherwise(rebuilt)
+        F.when(s["key"] == STATE_PARAM, F.col("_sv")).otherwise(quote_plus(s["value"]))))
+    df = df.withColumn("_q", F.array_join(encoded, "&")).withColumn("_fr", url_fragment(u))
+    rebuilt = F.concat(url_prefix(u), F.when(F.col("_q") != "", F.concat(F.lit("?"), F.col("_q"))).otherwise(F.lit("")),
+                       F.when(F.col("_fr") != "", F.concat(F.lit("#"), F.col("_fr"))).otherwise(F.lit("")))
+    return (df.withColumn(out_col, F.when(F.col("_st").isNull(), u).otherwise(rebuilt))
+              .drop("_qp", "_st", "_enc", "_keys", "_ord", "_sv", "_q", "_fr"))
 
 
 def request_body(state_text) -> Column:
