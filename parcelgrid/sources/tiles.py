@@ -33,3 +33,23 @@ def parse_documents(docs: DataFrame, text_col: str = "text", doc_col: str = "doc
     bad = (docs.filter(F.try_parse_json(F.col(text_col)).isNull())
            .withColumn("reason", F.lit("unparsable JSON")))
     return parsed, bad
+
+
+def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
+    """Houses from JSON-array documents (one array per document).
+
+    A document that is not JSON or not an array contributes nothing.  An
+    element is kept when it is an object with a truthy ``detailUrl``; its
+    ``zpid`` is kept as text when truthy, else null.  Output
+    ``key_cols + (pos, zpid, detailUrl)``.
+    """
+    from parcelgrid.functions.ids import member, truthy_text
+
+    arr = F.try_variant_get(F.try_parse_json(F.col(text_col)), "$", "array<variant>")
+    items = docs.select(*key_cols, F.posexplode(arr).alias("pos", "item"))
+    is_obj = F.schema_of_variant(F.col("item")).startswith("OBJECT")
+    return (items.filter(is_obj)
+            .select(*key_cols, F.col("pos").cast("long").alias("pos"),
+                    truthy_text(member(F.col("item"), "$.zpid")).alias("zpid"),
+                    truthy_text(member(F.col("item"), "$.detailUrl")).alias("detailUrl"))
+            .filter(F.col("detailUrl").isNotNull()))
