@@ -59,6 +59,16 @@ def year_combos(files: DataFrame, folder: str = "folder", name: str = "file_name
                     "n_folders"))
 
 
+def distinct_file_names(files: DataFrame, name: str = "file_name") -> DataFrame:
+    """Distinct file names across all folders (sort on read if needed)."""
+    return files.select(name).distinct()
+
+
+def folder_count(files: DataFrame, folder: str = "folder"):
+    """Scalar column: number of distinct folders."""
+    return files.select(F.count_distinct(folder)).scalar()
+
+
 def file_listing(files: DataFrame, name: str = "file_name", size: str = "size", n: int = 5) -> DataFrame:
     """The first ``n`` names by sort with size in KB (a top-n report)."""
     return files.orderBy(name).limit(n).select(name, F.round(F.col(size) / 1024, 1).alias("size_kb"))

@@ -35,7 +35,11 @@ def unvisited_houses(master: DataFrame, visited_ids: DataFrame, visited_urls: Da
     so such a row is tested on its URL only.  Rows without a URL are dropped.
     """
     with_url = master.filter(F.col(url_col).isNotNull() & (F.col(url_col) != ""))
-    by_id = with_url.join(visited_ids.select(F.col(id_col)), id_col, "left_anti")
+    # Rows without an id cannot match the id ledger; they bypass that join, so
+    # a large share of null ids does not pile up in one shuffle partition.
+    by_id = (with_url.filter(F.col(id_col).isNotNull())
+             .join(visited_ids.select(F.col(id_col)), id_col, "left_anti")
+             .unionByName(with_url.filter(F.col(id_col).isNull())))
     return by_id.join(visited_urls.select(F.col(url_col)), url_col, "left_anti")
 
 
@@ -67,12 +71,13 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str, order_col:
                                           F.lit(True).alias("_ex")))
              .filter(F.col(key).isNotNull())
              .groupBy(key).agg(F.min("_o").alias("_first"), F.max("_ex").alias("_exists")))
-    joined = batch.join(marks, key, "left")
-    status = (F.when(F.col(key).isNull(), "saved")
-               .when(F.col("_exists"), "failed")
+    keyed = batch.filter(F.col(key).isNotNull()).join(marks, key, "left")
+    status = (F.when(F.col("_exists"), "failed")
                .when(F.col(order_col) == F.col("_first"), "saved")
                .otherwise("failed"))
-    return joined.withColumn("status", status).drop("_first", "_exists")
+    # null keys never join (and would all hash to one partition): they bypass it
+    return (keyed.withColumn("status", status).drop("_first", "_exists")
+            .unionByName(batch.filter(F.col(key).isNull()).withColumn("status", F.lit("saved"))))
 
 
 def empty_tile_check(tiles: DataFrame, ledger: DataFrame, order_col: str,
