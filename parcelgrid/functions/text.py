@@ -15,28 +15,24 @@ def py_float_text(col) -> Column:
 
     Spark prints doubles the Java way, which switches to exponent form below
     1e-3 and from 1e7 on; Python switches below 1e-4 and from 1e16 on and writes
-    ``1e-05`` rather than ``1.0E-5``.  Both use the plain form in between.
+    ``1e-05`` rather than ``1.0E-5``.  Both use the plain form in between, so
+    only exponent-form text is rewritten.
     """
-    x = _c(col).cast("double")
-    s = x.cast("string")
-    rx = r"^(-?)([0-9])\.([0-9]*)E(-?[0-9]+)$"
-    sign = F.regexp_extract(s, rx, 1)
-    lead = F.regexp_extract(s, rx, 2)
-    frac = F.regexp_replace(F.regexp_extract(s, rx, 3), "0+$", "")
-    exp = F.regexp_extract(s, rx, 4).cast("int")
-    digits = F.concat(lead, frac)
+    s = _c(col).cast("double").cast("string")
+    parts = F.split(s, "E")
+    mant, exp = parts[0], F.try_element_at(parts, F.lit(2)).cast("int")
+    sign = F.when(mant.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(mant, r"[-.]", ""), "(?<=.)0+$", "")
     ndig = F.length(digits)
-    small_plain = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    mant = F.concat(lead, F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
-    sci = F.concat(sign, mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+    rest = F.substr(digits, F.lit(2))
+    sci = F.concat(sign, F.substr(digits, F.lit(1), F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+                   F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
                    F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    big_plain = F.when(ndig - 1 <= exp,
-                       F.concat(sign, digits, F.repeat(F.lit("0"), exp - (ndig - 1)), F.lit(".0"))) \
-                 .otherwise(F.concat(sign, F.substr(digits, F.lit(1), exp + 1), F.lit("."),
-                                     F.substr(digits, exp + 2)))
-    return (F.when(~s.contains("E"), s)
-             .when(exp == -4, small_plain)
-             .when((exp >= 7) & (exp <= 15), big_plain)
+    big = F.when(ndig - 1 <= exp, F.concat(sign, digits, F.repeat(F.lit("0"), exp - ndig + 1), F.lit(".0"))) \
+           .otherwise(F.concat(sign, F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2)))
+    return (F.when(exp.isNull(), s)
+             .when(exp == -4, F.concat(sign, F.lit("0.000"), digits))
+             .when((exp >= 7) & (exp <= 15), big)
              .otherwise(sci))
 
 
