@@ -115,6 +115,17 @@ def assemble(df: DataFrame, feature_cols, out: str = "features"):
     return Pipeline(stages=[imputer, vec]).fit(casted), casted
 
 
+def model_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread the assembled rows over the cluster and keep them (memory, then
+    disk): tree boosting reads its input once per round and per fold.  Small
+    inputs otherwise collapse to one partition after AQE coalescing, and every
+    round would then run on one core."""
+    from pyspark import StorageLevel
+
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def gbt(label: str = "y_log", max_iter: int = 20, max_depth: int = 4, step: float = 0.1, subsample: float = 1.0,
         min_instances: int = 1):
     from pyspark.ml.regression import GBTRegressor

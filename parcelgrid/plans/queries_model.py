@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.operators.indexing import positional_folds
 from parcelgrid.operators.model import (PARAM_GRID, assemble, assign_splits, early_stop_index, gbt, grid_search,
-                                        log_target, param_grid_rows, regression_metrics)
+                                        log_target, model_input, param_grid_rows, regression_metrics)
 from parcelgrid.plans.registry import query
 from parcelgrid.session import ensure_checkpoint_dir, table
 
@@ -107,7 +107,7 @@ def _fitted(spark, sf_dir, max_iter=20):
     data = _model_table(spark, sf_dir)
     prep, casted = assemble(data, FEATURES)
     rows = prep.transform(casted).select("o_orderkey", "split", "refit_part", "fold", "y_log", "features")
-    return rows
+    return model_input(rows)
 
 
 @query("q_gbt")
