@@ -159,18 +159,24 @@ def with_bounds_override(df: DataFrame, state_col: str, out_col: str, north=None
     several times), so the work per row stays linear in the number of sides.
     """
     st = F.col(state_col)
+    given = [(name, _c(v) if not isinstance(v, (int, float)) else F.lit(float(v)))
+             for name, v in (("north", north), ("south", south), ("east", east), ("west", west)) if v is not None]
+    if not given:
+        return df.withColumn(out_col, st)
+    # number texts for all sides in one array transform (small generated code)
+    df = df.withColumn("_bnum", F.transform(F.array(*[v.cast("double") for _, v in given]), py_float_text))
     df = df.withColumn("_bnd", F.regexp_extract(st, _BOUNDS_OBJ, 1))
-    for name, value in (("north", north), ("south", south), ("east", east), ("west", west)):
-        if value is None:
-            continue
-        v = _c(value) if not isinstance(value, (int, float)) else F.lit(float(value))
-        df = df.withColumn("_bnd", F.when(v.isNull(), F.col("_bnd"))
-                           .otherwise(_set_member(F.col("_bnd"), name, py_float_text(v))))
+    for i, (name, v) in enumerate(given):
+        txt = F.col("_bnum")[i]
+        df = df.withColumn("_bnd", F.when(txt.isNull(), F.col("_bnd"))
+                           .otherwise(_set_member(F.col("_bnd"), name, txt)))
     obj = F.concat(F.lit('"mapBounds":{'), F.col("_bnd"), F.lit("}"))
     out = F.when(st.rlike(_BOUNDS_OBJ),
                  F.regexp_replace(st, F.lit(_BOUNDS_OBJ), F.replace(obj, F.lit("$"), F.lit("\\$")))) \
            .otherwise(_append_member(st, obj))
-    return df.withColumn(out_col, out).drop("_bnd")
+    # all overrides null: the state is left as it is (no bounds object added)
+    any_set = F.exists(F.col("_bnum"), lambda x: x.isNotNull())
+    return df.withColumn(out_col, F.when(any_set, out).otherwise(st)).drop("_bnum", "_bnd")
 
 
 def set_member_value(state_text, name: str, value_text: Column) -> Column:
