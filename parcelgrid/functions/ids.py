@@ -20,6 +20,13 @@ def is_present(v, path: str) -> Column:
     return member(v, path).isNotNull()
 
 
+def _json_of(x: Column) -> Column:
+    """JSON text of a VARIANT value; its first character tells the JSON type.
+    Used in the first condition of each CASE, so Spark evaluates it once per
+    row and reuses it in the branches."""
+    return F.to_json(x)
+
+
 def py_text(v) -> Column:
     """Text of a JSON scalar the way Python's ``str`` prints the decoded value.
 
@@ -27,27 +34,22 @@ def py_text(v) -> Column:
     JSON null ``None``.  Objects and arrays come back as JSON text.
     """
     x = _c(v)
-    kind = F.schema_of_variant(x)
-    return (F.when(x.isNull(), F.lit(None).cast("string"))
-             .when(F.is_variant_null(x), F.lit("None"))
-             .when(kind == "BOOLEAN", F.when(F.variant_get(x, "$", "boolean"), "True").otherwise("False"))
-             .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(x))
-             .otherwise(F.try_variant_get(x, "$", "string")))
+    j = _json_of(x)
+    return (F.when(j.startswith('"'), F.variant_get(x, "$", "string"))
+             .when(j == "true", F.lit("True"))
+             .when(j == "false", F.lit("False"))
+             .when(j == "null", F.lit("None"))
+             .otherwise(j))
 
 
 def truthy_text(v) -> Column:
     """``str(x) if x else None``: falsy values (null, '', 0, false, empty
     container) give null."""
     x = _c(v)
-    kind = F.schema_of_variant(x)
-    num = F.try_variant_get(x, "$", "double")
-    falsy = (x.isNull() | F.is_variant_null(x)
-             | ((kind == "STRING") & (F.try_variant_get(x, "$", "string") == ""))
-             | ((kind == "BOOLEAN") & ~F.try_variant_get(x, "$", "boolean"))
-             | (~kind.startswith("STRING") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
-                & (kind != "BOOLEAN") & (num == 0))
-             | (kind.startswith("OBJECT") & (F.to_json(x) == "{}"))
-             | (kind.startswith("ARRAY") & (F.to_json(x) == "[]")))
+    j = _json_of(x)
+    numeric = j.rlike("^-?[0-9]")
+    falsy = (j.isin("null", '""', "false", "{}", "[]")
+             | (numeric & (F.try_variant_get(x, "$", "double") == 0)))
     return F.when(~falsy, py_text(x))
 
 
@@ -64,7 +66,7 @@ def coalesce_id(item, strict_presence: bool = False) -> Column:
     nested = member(v, "$.hdpData.homeInfo.zpid")
     if not strict_presence:
         def val(m):
-            return F.when(m.isNotNull() & ~F.is_variant_null(m), py_text(m))
+            return F.when(_json_of(m) != "null", py_text(m))
         return F.coalesce(val(zpid), val(ident), val(nested))
     return (F.when(zpid.isNotNull(), py_text(zpid))
              .when(ident.isNotNull(), py_text(ident))

@@ -7,7 +7,7 @@ relies on partition order, and every dedupe is an aggregate with partial
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import absolute_url, coalesce_id, truthy_text
@@ -61,15 +61,19 @@ def master_list(items: DataFrame, file_col: str = "tile_file", site: str = DEFAU
 
 
 def merge_pages(items: DataFrame, tile_col: str, page_col: str, nonempty_pages: DataFrame) -> DataFrame:
-    """Concatenate page payloads of a tile.
-
-    ``listResults`` of every page are kept in (page, pos) order; the other
-    arrays only from the tile's first non-empty page (``nonempty_pages`` holds
-    one row per non-empty ``(tile, page)``).  The first page is found at page
-    level (a handful of rows per tile) and joined back by tile.
+    """Concatenate the merged pages of each tile.
+
+    ``nonempty_pages`` holds one row per merged, non-empty ``(tile, page)``.
+    ``listResults`` of every such page are kept in (page, pos) order; the other
+    arrays only from the tile's first one.  The first page is a window over the
+    page table (at most the page cap per tile), and one inner join on
+    ``(tile, page)`` both restricts the items to merged pages and brings the
+    first page along.
     """
-    first = nonempty_pages.groupBy(tile_col).agg(F.min(page_col).alias("_first_page"))
-    joined = items.join(first, tile_col, "inner")
+    w = Window.partitionBy(tile_col)
+    pages = (nonempty_pages.select(tile_col, page_col)
+             .withColumn("_first_page", F.min(page_col).over(w)))
+    joined = items.join(pages, [tile_col, page_col], "inner")
     keep = (F.col("result_type") == "listResults") | (F.col(page_col) == F.col("_first_page"))
     return joined.filter(keep).drop("_first_page")
 
@@ -83,10 +87,13 @@ def dedupe_arrays(items: DataFrame, tile_col: str, page_col: str, id_col: str =
     ``(tile, result_type, id, page, pos)``; order within an array is the
     ``(page, pos)`` of the kept item.
     """
-    keys = [tile_col, "result_type", id_col]
     in_scope = F.col("result_type").isin(list(deduped))
-    firsts = (items.filter(in_scope & F.col(id_col).isNotNull())
-              .groupBy(*keys).agg(F.min(F.struct(F.col(page_col), F.col("pos"))).alias("_f"))
-              .select(*keys, F.col(f"_f.{page_col}").alias(page_col), F.col("_f.pos").alias("pos")))
-    passthrough = items.filter(~in_scope).select(*keys, page_col, "pos")
-    return firsts.unionByName(passthrough)
+    # One aggregate for all arrays: deduped arrays group by id; pass-through
+    # rows get a group of their own (page:pos), so the input is read once.
+    group = F.when(in_scope, F.col(id_col)).otherwise(
+        F.concat_ws(":", F.lit("#"), F.col(page_col).cast("string"), F.col("pos").cast("string")))
+    firsts = (items.filter(~in_scope | F.col(id_col).isNotNull())
+              .groupBy(F.col(tile_col), F.col("result_type"), group.alias("_grp"))
+              .agg(F.min(F.struct(F.col(page_col), F.col("pos"), F.col(id_col))).alias("_f")))
+    return firsts.select(tile_col, "result_type", F.col(f"_f.{id_col}").alias(id_col),
+                         F.col(f"_f.{page_col}").alias(page_col), F.col("_f.pos").alias("pos"))

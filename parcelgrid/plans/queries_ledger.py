@@ -91,12 +91,12 @@ def _saved_file_names(spark, sf_dir):
 
 
 @query("q_ledger_sync", """
-SELECT CAST(c_custkey AS VARCHAR) AS zpid FROM customer WHERE c_custkey % 3 = 0
+SELECT CAST(c_custkey AS VARCHAR) AS zpid FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
 UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 6 = 0
 UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 6 = 5""")
 def q_ledger_sync(spark, sf_dir):
     """Ledger ids union all-digit stems of saved house files."""
-    ledger = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 3 == 0) \
+    ledger = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "HOUSEHOLD") \
         .select(F.col("c_custkey").cast("string").alias("zpid"))
     return sync_house_ledger(ledger, _saved_file_names(spark, sf_dir))
 
@@ -126,7 +126,7 @@ def q_ledger_totals(spark, sf_dir):
 WITH t AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) + 0.5 AS ne_lat,
                   -CAST(s_suppkey % 7 AS DOUBLE) - 0.25 AS sw_long, s_suppkey % 4 AS hc FROM supplier),
      l AS (SELECT DISTINCT CAST(n_nationkey AS DOUBLE) + 0.5 AS ne_lat, -CAST(n_regionkey AS DOUBLE) - 0.25 AS sw_long
-           FROM nation WHERE n_nationkey % 2 = 0),
+           FROM nation WHERE n_regionkey <= 2),
      f AS (SELECT ne_lat, sw_long, min(s_suppkey) AS fe FROM t WHERE hc = 0 GROUP BY ne_lat, sw_long),
      j AS (SELECT t.*, (l.ne_lat IS NOT NULL) OR coalesce(f.fe < t.s_suppkey, FALSE) AS skipped
            FROM t LEFT JOIN l ON t.ne_lat = l.ne_lat AND t.sw_long = l.sw_long
@@ -139,7 +139,7 @@ def q_empty_tiles(spark, sf_dir):
         "s_suppkey", (F.col("s_nationkey").cast("double") + 0.5).alias("ne_lat"),
         (-(F.col("s_suppkey") % 7).cast("double") - 0.25).alias("sw_long"),
         (F.col("s_suppkey") % 4).alias("house_count"))
-    ledger = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") % 2 == 0).select(
+    ledger = table(spark, sf_dir, "nation").filter(F.col("n_regionkey") <= 2).select(
         (F.col("n_nationkey").cast("double") + 0.5).alias("ne_lat"),
         (-F.col("n_regionkey").cast("double") - 0.25).alias("sw_long"))
     return empty_tile_check(tiles, ledger, "s_suppkey").select(
@@ -155,7 +155,7 @@ WITH b AS (
                   nullif(CASE WHEN c_custkey % 40 = 0 THEN 'b' || CAST(c_custkey AS VARCHAR) ELSE '' END, '')) AS zpid
   FROM customer),
 names AS (
-  SELECT 'nullzpid_' || CAST(n_nationkey AS VARCHAR) || '.json' AS f FROM nation WHERE n_nationkey % 3 = 0
+  SELECT 'nullzpid_' || CAST(n_nationkey AS VARCHAR) || '.json' AS f FROM nation WHERE n_regionkey >= 3
   UNION ALL SELECT 'nullzpid_x.json' UNION ALL SELECT n_name || '.json' FROM nation),
 nx AS (SELECT coalesce(max(CAST(regexp_extract(f, '^nullzpid_([0-9]+)', 1) AS BIGINT)) + 1, 1) AS n
        FROM names WHERE regexp_matches(f, '^nullzpid_[0-9]+(_.*)?[.]json$'))
@@ -172,7 +172,7 @@ def q_null_id_assign(spark, sf_dir):
     basic = F.when(k % 40 == 0, F.concat(F.lit("b"), k.cast("string"))).otherwise(F.lit(""))
     batch = table(spark, sf_dir, "customer").select("c_custkey", first_id(given, meta, basic).alias("zpid"))
     nation = table(spark, sf_dir, "nation")
-    names = (nation.filter(F.col("n_nationkey") % 3 == 0)
+    names = (nation.filter(F.col("n_regionkey") >= 3)
              .select(F.concat(F.lit("nullzpid_"), F.col("n_nationkey").cast("string"), F.lit(".json")).alias("file_name"))
              .unionByName(nation.select(F.concat(F.col("n_name"), F.lit(".json")).alias("file_name")))
              .unionByName(spark.range(1).select(F.lit("nullzpid_x.json").alias("file_name"))))

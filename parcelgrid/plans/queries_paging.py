@@ -22,8 +22,7 @@ def _merged_items(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     marked = stop_prefix(ev.visits(events))
     merged_pages = marked.filter("merged").select("tile", "page")
-    its = ev.items(events).join(merged_pages, ["tile", "page"], "left_semi")
-    return marked, merge_pages(its, "tile", "page", merged_pages)
+    return marked, merge_pages(ev.items(events), "tile", "page", merged_pages)
 
 
 def _totals(spark, sf_dir):
