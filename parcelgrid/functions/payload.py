@@ -25,9 +25,10 @@ def _is_object(v: Column) -> Column:
 def _search_results(holder: Column) -> Column:
     """``holder.cat1.searchResults`` with ``{}`` for a missing member; null when
     ``cat1`` is not an object (the crawler's lookup fails there)."""
-    cat1 = member(holder, "$.cat1")
     sr = member(holder, "$.cat1.searchResults")
-    return F.when(_is_object(cat1), F.coalesce(sr, F.parse_json(F.lit("{}"))))
+    # a path lookup only succeeds inside objects, so the (whole-value) object
+    # test is needed only when searchResults is absent
+    return F.when(sr.isNotNull(), sr).when(_is_object(member(holder, "$.cat1")), F.parse_json(F.lit("{}")))
 
 
 def unwrap_response(text) -> Column:
@@ -42,18 +43,18 @@ def unwrap_response(text) -> Column:
     element that carry ``cat1`` the first by key name is taken.
     """
     v = F.try_parse_json(_c(text))
-    is_obj = _is_object(v)
     arr = F.try_variant_get(v, "$", "array<variant>")
+    # member lookups return null on non-objects, so they double as type tests
     per_item = F.transform(arr, lambda x: F.when(
-        _is_object(x) & member(x, "$.cat1").isNotNull(), F.struct(_search_results(x).alias("p")))
+        member(x, "$.cat1").isNotNull(), F.struct(_search_results(x).alias("p")))
         .otherwise(F.try_element_at(F.filter(
             F.transform(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")),
-                        lambda y: F.when(_is_object(y) & member(y, "$.cat1").isNotNull(),
+                        lambda y: F.when(member(y, "$.cat1").isNotNull(),
                                          F.struct(_search_results(y).alias("p")))),
             lambda s: s.isNotNull()), F.lit(1))))
     from_list = F.try_element_at(F.filter(per_item, lambda s: s.isNotNull()), F.lit(1))["p"]
-    from_obj = F.when(is_obj & member(v, "$.cat1").isNotNull(), _search_results(v))
-    has_error = is_obj & member(v, "$.error").isNotNull()
+    from_obj = F.when(member(v, "$.cat1").isNotNull(), _search_results(v))
+    has_error = member(v, "$.error").isNotNull()
     return F.when(has_error, F.lit(None)).when(arr.isNotNull(), from_list).otherwise(from_obj)
 
 

@@ -47,8 +47,8 @@ def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
 
     arr = F.try_variant_get(F.try_parse_json(F.col(text_col)), "$", "array<variant>")
     items = docs.select(*key_cols, F.posexplode(arr).alias("pos", "item"))
-    is_obj = F.schema_of_variant(F.col("item")).startswith("OBJECT")
-    return (items.filter(is_obj)
+    # member lookups are null on non-objects: the detailUrl test also drops them
+    return (items
             .select(*key_cols, F.col("pos").cast("long").alias("pos"),
                     truthy_text(member(F.col("item"), "$.zpid")).alias("zpid"),
                     truthy_text(member(F.col("item"), "$.detailUrl")).alias("detailUrl"))
