@@ -10,10 +10,17 @@ parsed inside its task; no page leaves its partition.
 
 from __future__ import annotations
 
+import sys
+
 from html.parser import HTMLParser
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# The Python code of this module runs inside tasks: ship it by value, so the
+# workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The three selectors, as (attribute, substring), in order.
 SCORE_SELECTORS = [("class", "score"), ("class", "Score"), ("data-testid", "score")]
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",

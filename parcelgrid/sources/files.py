@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# The Python code of this module runs inside tasks: ship it by value, so the
+# workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_csv_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """CSV with a header row (S4).  Pass ``schema`` in production; without it
