@@ -39,10 +39,10 @@ def dense_index(df: DataFrame, order_cols, name: str = "row_index", num_partitio
 def positional_folds(df: DataFrame, order_cols, k: int = 5, name: str = "fold") -> DataFrame:
     """``ntile(k)`` over ``order_cols``: contiguous blocks, the first ``n % k``
     blocks one row longer (1-based fold numbers)."""
-    indexed = dense_index(df, order_cols, "_i")
     n = df.select(F.count(F.lit(1))).scalar()
-    q, r = F.floor(n / k), n % k
+    indexed = dense_index(df, order_cols, "_i").withColumn("_n", n)  # one scalar subquery, staged
+    q, r = F.floor(F.col("_n") / k), F.col("_n") % k
     i = F.col("_i")
     big = r * (q + 1)
     fold = F.when(i < big, F.floor(i / (q + 1)) + 1).otherwise(r + F.floor((i - big) / q) + 1)
-    return indexed.withColumn(name, fold.cast("long")).drop("_i")
+    return indexed.withColumn(name, fold.cast("long")).drop("_i", "_n")
