@@ -53,3 +53,12 @@ def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
                     truthy_text(member(F.col("item"), "$.zpid")).alias("zpid"),
                     truthy_text(member(F.col("item"), "$.detailUrl")).alias("detailUrl"))
             .filter(F.col("detailUrl").isNotNull()))
+
+
+def read_tile_folder(spark: SparkSession, folder: str, key: str = "tile_file") -> DataFrame:
+    """Tile documents stored one per directory ``<key>=<name>/`` (as Spark's
+    partitioned text writer lays them out): ``(key, text)`` with the whole
+    file as ``text``.  The key comes from partition discovery, not from the
+    file contents."""
+    return (spark.read.option("wholetext", "true").text(folder)
+            .select(F.col(key).cast("string").alias(key), F.col("value").alias("text")))

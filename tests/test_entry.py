@@ -20,7 +20,7 @@ def test_entry_smoke(spark):
 
 def test_oracle_keys_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) - len(entry.oracle_sql()) == 3
+    assert len(entry.queries()) - len(entry.oracle_sql()) == 3  # the model fits
 
 
 @pytest.fixture(scope="module")
