@@ -1,0 +1,36 @@
+"""Streaming stop rule equals the batch window rule on the events stand-in."""
+
+from pyspark.sql import functions as F
+
+from parcelgrid.operators.paging import stop_prefix
+from parcelgrid.plans.events_standin import visits
+from parcelgrid.session import table
+from parcelgrid.streaming.paging import tile_progress
+
+from conftest import SF_SMALL
+
+
+def test_stream_tile_progress_matches_batch(spark, scratch):
+    v = visits(table(spark, SF_SMALL, "events")).select(
+        F.col("tile").cast("long").alias("tile"), "page", "page_count", "house_count", "success", "has_listings")
+    land = f"{scratch}/visits"
+    v.filter(F.col("page") <= 12).write.parquet(f"{land}/b1")
+    v.filter(F.col("page") > 12).write.parquet(f"{land}/b2")
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{land}/*")
+    q = (tile_progress(stream).writeStream.format("memory").queryName("tile_progress_out")
+         .outputMode("append").option("checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r.tile: r for r in spark.sql("select * from tile_progress_out").collect()}
+
+    marked = stop_prefix(v)
+    finished = marked.filter("kept").groupBy("tile").agg(
+        F.max(F.col("stop").cast("int")).alias("stopped"), F.max("page").alias("last"),
+        F.count(F.lit(1)).alias("pages_read"), F.count(F.when(F.col("merged"), 1)).alias("pages_merged"),
+        F.sum(F.when(F.col("merged"), F.col("page_count")).otherwise(0)).alias("acc"),
+        F.max(F.when(~F.col("merged"), 1).otherwise(0)).alias("failed"))
+    expect = {r.tile: r for r in finished.collect() if r.stopped == 1 or r["last"] == 50}
+    assert set(got) == set(expect)
+    for t, e in expect.items():
+        g = got[t]
+        assert (g.pages_read, g.pages_merged, g.accumulated_page_count, g.failed) == \
+            (e.pages_read, e.pages_merged, e.acc, bool(e.failed)), t
