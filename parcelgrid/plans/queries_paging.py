@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from parcelgrid.operators.dedupe import dedupe_arrays, merge_pages
 from parcelgrid.operators.paging import (deduped_counts, integrity_violations, stop_prefix, tile_outcome,
