@@ -58,21 +58,45 @@ def stop_prefix(visits: DataFrame, tile: str = "tile", page: str = "page", pc: s
     return out.drop("_ok")
 
 
-def tile_totals(marked: DataFrame, deduped_counts: DataFrame, tile: str = "tile", pc: str = "page_count") -> DataFrame:
-    """Per-tile totals: pages read, pages merged, accumulated page count, target
-    house count, and the deduped list / map sizes (0 when none)."""
-    pages = (marked.filter("kept").groupBy(tile).agg(
-        F.count(F.lit(1)).alias("pages_read"),
-        F.count(F.when(F.col("merged"), 1)).alias("pages_merged"),
-        F.sum(F.when(F.col("merged"), F.col(pc)).otherwise(0)).cast("long").alias("accumulated_page_count"),
-        F.max("target_house_count").alias("house_count_target"),
-        F.max(F.when(~F.col("merged"), 1).otherwise(0)).cast("boolean").alias("failed")))
-    return (pages.join(deduped_counts, tile, "left")
-            .fillna(0, subset=["page_count", "house_count"]))
+def tile_totals(marked: DataFrame, items: DataFrame, tile: str = "tile", page: str = "page",
+                pc: str = "page_count", id_col: str = "item_id") -> DataFrame:
+    """Per-tile totals in one pass over the marked page log (A3, U16).
+
+    Pages read, pages merged, accumulated page count, target house count and
+    whether a page failed, plus ``page_count`` / ``house_count`` of the merged,
+    deduped payload: distinct non-empty ids of ``listResults`` / ``mapResults``
+    (list items from every merged page, map items from the first one).
+
+    The page-level figures are windows over the tile partitioning the stop rule
+    already produced (no extra shuffle, at most the page cap per tile); one
+    left join brings in the items, so every tile keeps a row even without
+    items; one aggregate per tile counts distinct ids (combined per key before
+    the shuffle).  The page log is consumed once.
+    """
+    w = Window.partitionBy(tile)
+    merged = F.col("merged")
+    pages = (marked.filter("kept").select(
+        F.col(tile), F.col(page), merged,
+        F.min(F.when(merged, F.col(page))).over(w).alias("_first"),
+        F.count(F.lit(1)).over(w).alias("pages_read"),
+        F.count(F.when(merged, 1)).over(w).alias("pages_merged"),
+        F.sum(F.when(merged, F.col(pc)).otherwise(0)).over(w).cast("long").alias("accumulated_page_count"),
+        F.max("target_house_count").over(w).alias("house_count_target"),
+        F.max((~merged).cast("int")).over(w).cast("boolean").alias("failed")))
+    it = items.select(F.col(tile).alias("_it"), F.col(page).alias("_ip"), "result_type", F.col(id_col).alias("_id"))
+    cond = ((pages[tile] == it["_it"]) & (pages[page] == it["_ip"]) & pages["merged"]
+            & ((it["result_type"] == "listResults") | (pages[page] == pages["_first"])))
+    j = pages.join(it, cond, "left")
+    return j.groupBy(tile).agg(
+        F.max("pages_read").alias("pages_read"), F.max("pages_merged").alias("pages_merged"),
+        F.max("accumulated_page_count").alias("accumulated_page_count"),
+        F.max("house_count_target").alias("house_count_target"), F.max("failed").alias("failed"),
+        F.count_distinct(F.when(F.col("result_type") == "listResults", F.col("_id"))).alias("page_count"),
+        F.count_distinct(F.when(F.col("result_type") == "mapResults", F.col("_id"))).alias("house_count"))
 
 
 def deduped_counts(deduped_items: DataFrame, tile: str = "tile") -> DataFrame:
-    """``page_count`` / ``house_count`` of the merged, deduped payload per tile."""
+    """``page_count`` / ``house_count`` of already deduped items per tile."""
     return deduped_items.groupBy(tile).agg(
         F.count(F.when(F.col("result_type") == "listResults", 1)).alias("page_count"),
         F.count(F.when(F.col("result_type") == "mapResults", 1)).alias("house_count"))

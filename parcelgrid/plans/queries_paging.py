@@ -4,8 +4,7 @@ from __future__ import annotations
 
 
 from parcelgrid.operators.dedupe import dedupe_arrays, merge_pages
-from parcelgrid.operators.paging import (deduped_counts, integrity_violations, stop_prefix, tile_outcome,
-                                         tile_totals)
+from parcelgrid.operators.paging import integrity_violations, stop_prefix, tile_outcome, tile_totals
 from parcelgrid.plans import events_standin as ev
 from parcelgrid.plans.registry import query
 from parcelgrid.session import table
@@ -25,8 +24,8 @@ def _merged_items(spark, sf_dir):
 
 
 def _totals(spark, sf_dir):
-    marked, merged = _merged_items(spark, sf_dir)
-    return tile_totals(marked, deduped_counts(dedupe_arrays(merged, "tile", "page")))
+    events = table(spark, sf_dir, "events")
+    return tile_totals(stop_prefix(ev.visits(events)), ev.items(events))
 
 
 @query("q_pagination_stop", ev.with_sql(*_BASE) + """
