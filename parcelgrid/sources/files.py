@@ -46,7 +46,9 @@ def offset_csv_column(spark: SparkSession, folder: str, column: str, drop_lines=
     inside the task that reads it (``mapInPandas`` over the binary-file
     source), values come back as text exactly as pandas reads them, so a
     numeric column with blanks yields ``12.0``.
-    Output ``(file_name, value)``; nulls are dropped.
+    Output ``(file_name, value)``; nulls are dropped.  A file is read whole
+    into one task (the binary source limits a file to 2 GB); listing exports
+    are far smaller.
     """
     import io
 
