@@ -77,7 +77,12 @@ def score_texts_of(html: str | None) -> list[str]:
 
 
 def score_texts(pages: DataFrame, key_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(key, pos, text)`` rows, one per score text."""
+    """``(key, pos, text)`` rows, one per score text.
+
+    Pages reach Python in Arrow batches of ``spark.sql.execution.arrow.
+    maxRecordsPerBatch`` rows (default 10,000); with large pages set it lower
+    (a few hundred) so a batch of HTML fits comfortably in worker memory.
+    """
     import pandas as pd
 
     key_type = pages.schema[key_col].dataType.simpleString()
