@@ -65,7 +65,7 @@ pg AS (SELECT page_id, prefix, base, CAST(n AS BIGINT) AS page_number
 SELECT page_id, page_number,
        prefix || '?category=RECENT_SEARCH&searchQueryState='
        || replace(url_encode(base || ',"pagination":{"currentPage":' || CAST(page_number AS VARCHAR) || '}}'), '%', '%25')
-       || CASE WHEN page_id % 4 = 0 THEN '&ref=x&ref=y&zed=1' ELSE '' END
+       || CASE WHEN page_id % 4 = 0 THEN '&ref=x&ref=y&zed=1&junk=%257Bnot+json%257D' ELSE '' END
        || CASE WHEN page_id % 5 = 0 THEN '#top' ELSE '' END AS page_url
 FROM pg""")
 def q_paginate_urls(spark, sf_dir):

@@ -3,7 +3,8 @@
 Each page gets a search state built from ``page_id`` and a URL on the page's
 host and path: ``?category=RECENT_SEARCH&searchQueryState=<state>``, the state
 quoted once, or twice when ``page_id % 6 == 0``; ``page_id % 4 == 0`` adds
-``&ref=x&empty=&zed=1&ref=y`` and ``page_id % 5 == 0`` a ``#top`` fragment.
+``&ref=x&empty=&zed=1&ref=y&junk=%257Bnot%20json%257D`` (braces that are not
+JSON) and ``page_id % 5 == 0`` a ``#top`` fragment.
 State variants by ``page_id % 3``: no pagination, ``currentPage`` 7, empty
 pagination object.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from parcelgrid.functions.text import py_float_text
 from parcelgrid.functions.urls import quote, url_prefix
 
-EXTRA = "&ref=x&empty=&zed=1&ref=y"
+EXTRA = "&ref=x&empty=&zed=1&ref=y&junk=%257Bnot%20json%257D"
 
 
 def state_base(pid):
