@@ -20,16 +20,22 @@ def flatten_sections(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*cols)
 
 
-def house_summary(houses: DataFrame) -> DataFrame:
-    """Address, beds / baths / area, price, the three scores (``N/A`` when
-    missing) and the number of schools."""
+def summary_columns(detail: bool = True):
+    """Summary of a parsed house: (address, beds / baths / area, price when
+    ``detail``), the three scores as text (``N/A`` when missing) and the
+    number of schools."""
     def score(name):
         return F.coalesce(F.col(f"scores.{name}").cast("string"), F.lit("N/A")).alias(name)
-    return houses.select(
-        F.col("basic_info.address").alias("address"), F.col("basic_info.bedrooms").alias("bedrooms"),
-        F.col("basic_info.bathrooms").alias("bathrooms"), F.col("basic_info.livingArea").alias("livingArea"),
-        F.col("financial.price").alias("price"), score("walkScore"), score("transitScore"), score("bikeScore"),
-        F.coalesce(F.size("schools"), F.lit(0)).cast("long").alias("school_count"))
+    head = [F.col("basic_info.address").alias("address"), F.col("basic_info.bedrooms").alias("bedrooms"),
+            F.col("basic_info.bathrooms").alias("bathrooms"), F.col("basic_info.livingArea").alias("livingArea"),
+            F.col("financial.price").alias("price")] if detail else []
+    return head + [score("walkScore"), score("transitScore"), score("bikeScore"),
+                   F.coalesce(F.size("schools"), F.lit(0)).cast("long").alias("school_count")]
+
+
+def house_summary(houses: DataFrame) -> DataFrame:
+    """One summary row per parsed house (H9)."""
+    return houses.select(*summary_columns())
 
 
 def listing_filter(df: DataFrame, bounds: dict, columns: dict) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelgrid.functions.ids import coalesce_id
 from parcelgrid.functions.pages import next_data_text, page_health
 from parcelgrid.functions.payload import array_count, result_array, unwrap_response
-from parcelgrid.operators.reshape import filter_state_entries, flatten_sections, listing_filter
+from parcelgrid.operators.reshape import filter_state_entries, flatten_sections, listing_filter, summary_columns
 from parcelgrid.operators.scores import score_texts
 from parcelgrid.plans.registry import query
 from parcelgrid.session import table
@@ -233,12 +233,8 @@ LEFT JOIN s ON s.o_custkey = c_custkey""")
 def q_flatten(spark, sf_dir):
     """section_field columns of the house documents plus the summary."""
     houses = _houses(spark, sf_dir)
-    out = flatten_sections(houses.select(
-        "basic_info", "financial", "scores", "metadata",
-        F.coalesce(F.col("scores.walkScore").cast("string"), F.lit("N/A")).alias("walkScore"),
-        F.coalesce(F.col("scores.transitScore").cast("string"), F.lit("N/A")).alias("transitScore"),
-        F.coalesce(F.col("scores.bikeScore").cast("string"), F.lit("N/A")).alias("bikeScore"),
-        F.coalesce(F.size("schools"), F.lit(0)).cast("long").alias("school_count")))
+    out = flatten_sections(houses.select("basic_info", "financial", "scores", "metadata",
+                                         *summary_columns(detail=False)))
     return out
 
 

@@ -75,3 +75,30 @@ def test_bounds_override_matches_dict_update(spark):
             assert r.out == r.state
         else:
             assert r.out == _py_override(r.state, r.n, r.s, r.e, r.w), r.state
+
+
+def test_zoom_override_on_state_column(spark):
+    from parcelgrid.functions.urls import set_member_value
+
+    states = ['{"a":1,"mapZoom":13,"b":[2]}', '{"a":1}', '{}']
+    df = spark.createDataFrame([(s,) for s in states], "s string")
+    got = [r[0] for r in df.select(set_member_value("s", "mapZoom", F.lit("17"))).collect()]
+    want = []
+    for s in states:
+        d = json.loads(s)
+        d["mapZoom"] = 17
+        want.append(json.dumps(d, separators=(",", ":")))
+    assert got == want
+
+
+def test_house_summary(spark):
+    from parcelgrid.operators.reshape import house_summary
+
+    houses = spark.createDataFrame(
+        [(("1 Main St", 3, 2.5, 1200), (900000.0,), (88, None, 70), [("A",), ("B",)])],
+        "basic_info struct<address:string,bedrooms:int,bathrooms:double,livingArea:int>, "
+        "financial struct<price:double>, scores struct<walkScore:int,transitScore:int,bikeScore:int>, "
+        "schools array<struct<name:string>>")
+    r = house_summary(houses).first()
+    assert (r.address, r.bedrooms, r.price, r.walkScore, r.transitScore, r.bikeScore, r.school_count) == \
+        ("1 Main St", 3, 900000.0, "88", "N/A", "70", 2)
