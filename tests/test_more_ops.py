@@ -102,3 +102,32 @@ def test_house_summary(spark):
     r = house_summary(houses).first()
     assert (r.address, r.bedrooms, r.price, r.walkScore, r.transitScore, r.bikeScore, r.school_count) == \
         ("1 Main St", 3, 900000.0, "88", "N/A", "70", 2)
+
+
+def test_empty_ledger_entries_and_insert_sink(spark, scratch):
+    from parcelgrid.operators.ledger import empty_tile_check, insert_if_absent, new_empty_entries
+    from parcelgrid.sinks.writers import write_if_absent
+
+    tiles = spark.createDataFrame([(1, 1.5, -2.5, 0), (2, 1.5, -2.5, 0), (3, 2.5, -2.5, 4), (4, 9.5, -9.5, 0)],
+                                  "k long, ne_lat double, sw_long double, house_count long")
+    ledger = spark.createDataFrame([(9.5, -9.5)], "ne_lat double, sw_long double")
+    checked = empty_tile_check(tiles, ledger, "k")
+    assert {(r.k, r.skipped) for r in checked.collect()} == {(1, False), (2, True), (3, False), (4, True)}
+    assert [tuple(r) for r in new_empty_entries(checked).collect()] == [(1.5, -2.5)]
+    batch = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "o long, zpid string")
+    existing = spark.createDataFrame([("b",)], "zpid string")
+    write_if_absent(insert_if_absent(batch, existing, "zpid", "o"), f"{scratch}/houses", "run1")
+    assert [(r.o, r.zpid) for r in spark.read.parquet(f"{scratch}/houses").collect()] == [(1, "a")]
+
+
+def test_feature_split_and_deduped_counts(spark):
+    from parcelgrid.operators.model import features_and_target
+    from parcelgrid.operators.paging import deduped_counts
+
+    df = spark.createDataFrame([(1.0, "d", 3, 4)], "financial_lastSoldPrice double, basic_info_description string, "
+                                                   "a int, b int")
+    assert features_and_target(df, "financial_lastSoldPrice", ["basic_info_description"]).columns == ["a", "b"]
+    items = spark.createDataFrame([(1, "listResults"), (1, "listResults"), (1, "mapResults"), (2, "relaxedResults")],
+                                  "tile int, result_type string")
+    got = {r.tile: (r.page_count, r.house_count) for r in deduped_counts(items).collect()}
+    assert got == {1: (2, 1), 2: (0, 0)}
