@@ -127,6 +127,7 @@ def q_cv(spark, sf_dir):
     the grid; one row per point with its rank (1 = best)."""
     rows = _fitted(spark, sf_dir)
     cvm, _ = grid_search(rows.filter(F.col("fold").isNotNull()), CV_POINTS, max_iter=10)
+    rows.unpersist()  # the search is done; only its metrics are returned
     metrics = [(p["max_depth"], p["learning_rate"], float(m)) for p, m in zip(CV_POINTS, cvm.avgMetrics)]
     ranked = sorted(range(len(metrics)), key=lambda i: metrics[i][2])
     out = [(int(d), float(lr), m, ranked.index(i) + 1) for i, (d, lr, m) in enumerate(metrics)]
@@ -140,11 +141,10 @@ def q_early_stop(spark, sf_dir, rounds: int = 30, patience: int = 5):
     rows = _fitted(spark, sf_dir)
     fit, stop = rows.filter(F.col("refit_part") == "fit"), rows.filter(F.col("refit_part") == "stop")
     model = gbt(max_iter=rounds).fit(fit)
-    errors = model.evaluateEachIteration(stop.withColumnRenamed("y_log", "y_log"), "squared")
+    errors = model.evaluateEachIteration(stop, "squared")
     best, stop_at = early_stop_index([e ** 0.5 for e in errors], patience)
     final = gbt(max_iter=best + 1).fit(fit)
-    pred = final.transform(stop)
-    m = regression_metrics(pred).select(F.lit(best).cast("long").alias("best_iteration"),
-                                        F.lit(stop_at).cast("long").alias("stop_iteration"),
-                                        F.lit(best + 1).cast("long").alias("n_trees"), "rmsle")
-    return m
+    m = regression_metrics(final.transform(stop)).first()
+    rows.unpersist()
+    return spark.createDataFrame([(best, stop_at, best + 1, float(m.rmsle))],
+                                 "best_iteration long, stop_iteration long, n_trees long, rmsle double")
