@@ -23,18 +23,26 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType | str | No
 
 
 def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``(path, folder, file_name, size)`` of every file under ``root``.
+    """``(path, folder, file_name, size)`` of the files directly inside the
+    sub-folders of ``root`` (S6, J9).
 
     Uses the binary-file source with only path and length selected: the file
-    contents are never read.  ``folder`` is the parent directory name.
+    contents are never read.  ``folder`` is the sub-folder name; files lying in
+    ``root`` itself or deeper than one level are not part of the folder
+    listing.
     """
+    import re
+
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(root).select("path", "length")
-    return df.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"),
-                     F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-                     F.col("length").alias("size"))
+    base = re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
+    rel = F.regexp_extract("path", rf"{base}/(.*)$", 1)
+    df = reader.load(root).select("path", "length").withColumn("_rel", rel)
+    return (df.filter(F.col("_rel").rlike(r"^[^/]+/[^/]+$"))
+              .select("path", F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("folder"),
+                      F.regexp_extract("_rel", r"/([^/]+)$", 1).alias("file_name"),
+                      F.col("length").alias("size")))
 
 
 def offset_csv_column(spark: SparkSession, folder: str, column: str, drop_lines=(1, 2)) -> DataFrame:

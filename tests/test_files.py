@@ -33,6 +33,8 @@ def test_file_inventory_and_quarantine(spark, scratch):
     for z, names in {"20851": ["2012.png", "test_year.txt"], "20852": ["2013.png"]}.items():
         for n in names:
             _write(f"{scratch}/DMV/{z}/{n}", "x" * 10)
+    _write(f"{scratch}/DMV/readme.txt", "root-level file, not a folder")
+    _write(f"{scratch}/DMV/20852/deeper/2014.png", "nested too deep")
     inv = file_inventory(spark, f"{scratch}/DMV")
     assert "content" not in inv.columns
     kept, rejected = quarantine(inv)
