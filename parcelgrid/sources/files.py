@@ -45,6 +45,23 @@ def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
                       F.col("length").alias("size")))
 
 
+def list_files(spark: SparkSession, folder: str, glob: str | None = "*.json") -> DataFrame:
+    """``(path, file_name, size)`` of the files directly in ``folder`` (S3),
+    e.g. the saved house documents; contents are never read.  An empty or
+    missing folder gives no rows."""
+    from pyspark.errors import AnalysisException
+
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    try:
+        df = reader.load(folder).select("path", "length")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, file_name string, size long")
+    return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+                     F.col("length").alias("size"))
+
+
 def offset_csv_column(spark: SparkSession, folder: str, column: str, drop_lines=(1, 2)) -> DataFrame:
     """Values of ``column`` from every ``.csv`` file (any case) in ``folder``
     whose header is on line 1 and whose lines ``drop_lines`` (0-based after the

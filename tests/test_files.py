@@ -96,3 +96,16 @@ def test_stream_master_list_matches_batch(spark, scratch):
     q.awaitTermination(120)
     again = spark.read.parquet(f"{scratch}/master").filter(F.col("zpid") == "1").collect()
     assert [r.detailUrl for r in again] == ["https://www.zillow.com/a"]
+
+
+def test_house_folder_sync_from_real_files(spark, scratch):
+    from parcelgrid.operators.ledger import next_null_number, sync_house_ledger
+    from parcelgrid.sources.files import list_files
+
+    for name in ("2.json", "nullzpid_1.json", "nullzpid_4.json", "abc.json", "visited_houses.json", "7.txt"):
+        _write(f"{scratch}/houses/{name}", "{}")
+    names = list_files(spark, f"{scratch}/houses")
+    ledger = spark.createDataFrame([("1",)], "zpid string")
+    assert sorted(r.zpid for r in sync_house_ledger(ledger, names).collect()) == ["1", "2"]
+    assert spark.range(1).select(next_null_number(names)).first()[0] == 5
+    assert list_files(spark, f"{scratch}/missing").count() == 0
