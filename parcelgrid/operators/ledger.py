@@ -43,6 +43,15 @@ def unvisited_houses(master: DataFrame, visited_ids: DataFrame, visited_urls: Da
     return by_id.join(visited_urls.select(F.col(url_col)), url_col, "left_anti")
 
 
+def visited_house_entries(saved: DataFrame, id_col: str = "zpid", url_col: str = "detailUrl"):
+    """Rows to append to the two house ledgers after a batch is saved (K5):
+    ``(ids, urls)``, each keeping only non-empty values."""
+    ids = saved.select(F.col(id_col).cast("string").alias("zpid")).filter(
+        F.col("zpid").isNotNull() & (F.col("zpid") != ""))
+    urls = saved.select(F.col(url_col).alias("url")).filter(F.col("url").isNotNull() & (F.col("url") != ""))
+    return ids, urls
+
+
 def house_ids_from_files(names: DataFrame, name_col: str = "file_name") -> DataFrame:
     """Ids of saved house documents: all-digit stems of ``*.json`` files other
     than the ledger itself and the ``nullzpid_*`` files (S3, U13)."""

@@ -131,3 +131,27 @@ def test_feature_split_and_deduped_counts(spark):
                                   "tile int, result_type string")
     got = {r.tile: (r.page_count, r.house_count) for r in deduped_counts(items).collect()}
     assert got == {1: (2, 1), 2: (0, 0)}
+
+
+def test_house_ledger_entries_and_corrupt_ledger(spark, scratch):
+    from parcelgrid.operators.ledger import visited_house_entries
+    from parcelgrid.sinks.writers import append_ledger
+    from parcelgrid.sources.ledgers import read_ledger
+
+    saved = spark.createDataFrame([("1", "u1"), (None, "u2"), ("", None), ("3", "")], "zpid string, detailUrl string")
+    ids, urls = visited_house_entries(saved)
+    assert sorted(r.zpid for r in ids.collect()) == ["1", "3"]
+    assert sorted(r.url for r in urls.collect()) == ["u1", "u2"]
+    append_ledger(ids, f"{scratch}/ids", "r1")
+    with open(f"{scratch}/ids/part-corrupt.parquet", "wb") as fh:
+        fh.write(b"not parquet at all")
+    assert sorted(r.zpid for r in read_ledger(spark, f"{scratch}/ids", "zpid string").collect()) == ["1", "3"]
+
+
+def test_strict_state_raises(spark):
+    from parcelgrid.functions.urls import search_state_text
+
+    df = spark.createDataFrame([("https://h.example/p?x=1",)], "url string")
+    assert df.select(search_state_text("url")).first()[0] is None
+    with pytest.raises(Exception, match="searchQueryState not found"):
+        df.select(search_state_text("url", strict=True)).collect()
