@@ -44,3 +44,13 @@ def profile(df: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("n_nulls"))
                       for i, c in enumerate(cols)])
     return one.select(F.col("_rows").alias("n_rows"), F.inline(pairs)).select("column_name", "n_rows", "n_nulls")
+
+
+def with_eta(report: DataFrame, planned: str = "planned_tiles", done: str = "tiles",
+             per_item: str = "seconds_per_tile") -> DataFrame:
+    """Add ``remaining`` and ``eta_seconds`` (remaining x mean seconds per
+    item; null when nothing was timed) to a run report joined with its plan
+    size."""
+    remaining = F.greatest(F.col(planned) - F.col(done), F.lit(0))
+    return (report.withColumn("remaining", remaining.cast("long"))
+            .withColumn("eta_seconds", F.round(F.try_multiply(F.col(per_item), F.col("remaining")), 2)))

@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from parcelgrid.operators.report import house_report, profile, run_report
 
 
@@ -30,3 +32,13 @@ def test_profile_by_hand(spark):
     df = spark.createDataFrame([(1, None), (None, "x"), (3, None)], "a int, `b c` string")
     got = {r.column_name: (r.n_rows, r.n_nulls) for r in profile(df).collect()}
     assert got == {"a": (3, 1), "b c": (3, 2)}
+
+
+def test_eta_by_hand(spark):
+    from parcelgrid.operators.report import with_eta
+
+    visits = spark.createDataFrame([("r1", 1, True, 10.0, 0), ("r1", 2, True, 30.0, 0)],
+                                   "run_id string, tile int, success boolean, seconds double, house_count int")
+    rep = run_report(visits).withColumn("planned_tiles", F.lit(10))
+    r = with_eta(rep).first()
+    assert (r.remaining, r.eta_seconds) == (8, 160.0)
