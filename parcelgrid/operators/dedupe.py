@@ -78,6 +78,21 @@ def merge_pages(items: DataFrame, tile_col: str, page_col: str, nonempty_pages:
     return joined.filter(keep).drop("_first_page")
 
 
+POS_BITS = 47            # packed order key: page in the high 16 bits, position in the low 47
+PAGE_LIMIT = 1 << 16
+
+
+def _packed_order(page: F.Column, pos: F.Column) -> F.Column:
+    """``(page, pos)`` as one long that sorts the same way, so the first item is
+    a plain ``min`` (hash aggregation).  Values outside the packable range stop
+    the job instead of ordering wrongly."""
+    ok = (page >= 0) & (page < PAGE_LIMIT) & (pos >= 0) & (pos < (1 << POS_BITS))
+    packed = page.cast("long") * (1 << POS_BITS) + pos.cast("long")
+    return F.when(ok, packed).otherwise(F.raise_error(F.concat(
+        F.lit("page/position out of the packable range: "), page.cast("string"), F.lit("/"),
+        pos.cast("string"))).cast("long"))
+
+
 def dedupe_arrays(items: DataFrame, tile_col: str, page_col: str, id_col: str = "item_id",
                   deduped=("listResults", "mapResults")) -> DataFrame:
     """Per tile, drop repeated ids within each array, first (page, pos) kept.
@@ -86,14 +101,25 @@ def dedupe_arrays(items: DataFrame, tile_col: str, page_col: str, id_col: str =
     (``relaxedResults``) pass through untouched.  Output keeps
     ``(tile, result_type, id, page, pos)``; order within an array is the
     ``(page, pos)`` of the kept item.
+
+    One hash aggregate over all arrays: deduped arrays group by id and keep the
+    smallest packed ``(page, pos)``; a pass-through row is a group of its own,
+    keyed by its page, position and id, so the input is read once and no sort
+    is needed.
     """
     in_scope = F.col("result_type").isin(list(deduped))
-    # One aggregate for all arrays: deduped arrays group by id; pass-through
-    # rows get a group of their own (page:pos), so the input is read once.
-    group = F.when(in_scope, F.col(id_col)).otherwise(
-        F.concat_ws(":", F.lit("#"), F.col(page_col).cast("string"), F.col("pos").cast("string")))
+    page, pos, ident = F.col(page_col), F.col("pos"), F.col(id_col).cast("string")
+    own = F.concat(F.lit("#"), page.cast("string"), F.lit(":"), pos.cast("string"), F.lit(":"),
+                   F.coalesce(F.concat(F.lit("v"), ident), F.lit("n")))
+    group = F.when(in_scope, ident).otherwise(own)
     firsts = (items.filter(~in_scope | F.col(id_col).isNotNull())
               .groupBy(F.col(tile_col), F.col("result_type"), group.alias("_grp"))
-              .agg(F.min(F.struct(F.col(page_col), F.col("pos"), F.col(id_col))).alias("_f")))
-    return firsts.select(tile_col, "result_type", F.col(f"_f.{id_col}").alias(id_col),
-                         F.col(f"_f.{page_col}").alias(page_col), F.col("_f.pos").alias("pos"))
+              .agg(F.min(_packed_order(page, pos)).alias("_k")))
+    rest = F.regexp_extract("_grp", r"^#[^:]*:[^:]*:(.*)$", 1)
+    out_id = F.when(F.col("result_type").isin(list(deduped)), F.col("_grp")).otherwise(
+        F.when(rest == "n", F.lit(None).cast("string")).otherwise(F.substring(rest, 2, 1 << 30)))
+    types = dict(items.dtypes)
+    return firsts.select(
+        tile_col, "result_type", out_id.cast(types[id_col]).alias(id_col),
+        F.shiftright(F.col("_k"), POS_BITS).cast(types[page_col]).alias(page_col),
+        F.col("_k").bitwiseAND((1 << POS_BITS) - 1).cast(types["pos"]).alias("pos"))

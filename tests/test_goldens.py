@@ -199,3 +199,19 @@ def test_metrics_golden(spark):
 
 def test_early_stop_golden():
     assert early_stop_index([5, 4, 3, 3.5, 3.2, 2], patience=2) == (2, 4)
+
+
+def test_dedupe_arrays_packing_edges(spark):
+    import pytest
+
+    items = spark.createDataFrame(
+        [(1, "relaxedResults", 2, 5, "a:b:c"), (1, "relaxedResults", 2, 6, None), (1, "relaxedResults", 2, 7, "n"),
+         (1, "listResults", 3, 1, "x:y"), (1, "listResults", 2, 9, "x:y"), (1, "mapResults", 1, (1 << 40), "z")],
+        "tile int, result_type string, page long, pos long, item_id string")
+    got = sorted((r.result_type, r.item_id or "-", r.page, r.pos) for r in dedupe_arrays(items, "tile", "page").collect())
+    assert got == [("listResults", "x:y", 2, 9), ("mapResults", "z", 1, 1 << 40), ("relaxedResults", "-", 2, 6),
+                   ("relaxedResults", "a:b:c", 2, 5), ("relaxedResults", "n", 2, 7)]
+    bad = spark.createDataFrame([(1, "listResults", 70000, 1, "q")], "tile int, result_type string, page long, pos long, "
+                                                                     "item_id string")
+    with pytest.raises(Exception, match="packable range"):
+        dedupe_arrays(bad, "tile", "page").collect()
