@@ -45,18 +45,20 @@ def q_first_wins(spark, sf_dir):
 @query("q_tile_files", FIRST_WINS_SQL)
 def q_tile_files(spark, sf_dir):
     """S1 on real files: the tile documents are written one file per tile into
-    a fresh folder under ``spark.checkpoint.dir``, read back with the
-    whole-text file source (file name from the path), parsed, and deduped.
-    Same result as ``q_first_wins``."""
-    import uuid
+    a folder under ``spark.checkpoint.dir``, read back with the whole-text file
+    source (file name from the path), parsed, and deduped.  Same result as
+    ``q_first_wins``.  The folder is keyed by the source tables and
+    overwritten, so repeated runs do not pile up files."""
+    import hashlib
 
     from parcelgrid.session import ensure_checkpoint_dir
     from parcelgrid.sources.tiles import read_tile_folder
 
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parcelgrid-tiles/{uuid.uuid4().hex}"
+    key = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parcelgrid-tiles/{key}"
     docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
     # each task writes its own tiles: spread the (one-row-per-tile) documents first
-    docs.repartition("tile_file").write.partitionBy("tile_file").text(folder)
+    docs.repartition("tile_file").write.mode("overwrite").partitionBy("tile_file").text(folder)
     parsed, _quarantine = parse_documents(read_tile_folder(spark, folder))
     out = master_list(explode_results(parsed, "doc", ["tile_file"]), file_col="tile_file")
     return out.select("zpid", "detailUrl", "tile_file", F.col("type_rank").cast("long").alias("type_rank"),
