@@ -17,8 +17,9 @@ def test_master_list_and_link_sinks(spark, scratch):
     master = spark.createDataFrame([("1", "https://x/ä"), ("2", "https://x/b")], "zpid string, detailUrl string")
     write_master_list(master, f"{scratch}/m", json_path=f"{scratch}/mj")
     assert sorted(map(tuple, spark.read.parquet(f"{scratch}/m").collect())) == [("1", "https://x/ä"), ("2", "https://x/b")]
-    with open(next(p for p in __import__("glob").glob(f"{scratch}/mj/*.json") if "part" in p), encoding="utf-8") as fh:
-        text = fh.read()
+    import glob
+
+    text = "".join(open(p, encoding="utf-8").read() for p in glob.glob(f"{scratch}/mj/part-*"))
     assert "https://x/ä" in text  # UTF-8 kept, not escaped
     links = spark.range(50).select(F.col("id").alias("idx"), F.concat(F.lit("u"), F.col("id")).alias("link"))
     write_links(links.orderBy(F.rand(3)), f"{scratch}/l")
