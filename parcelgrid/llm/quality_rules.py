@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelgrid.llm.textstats import with_counts
+from parcelgrid.llm.textstats import where_counted, with_counts
 
 
 class Rule(NamedTuple):
@@ -70,4 +70,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     """The rows of ``docs`` that the rules keep, with all their columns, in one pass without a join."""
     whole = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__body"))
     verdict = judge(whole, "__row", "__body", rules)
-    return verdict.where("kept").select("__row.*")
+    return where_counted(verdict, F.col("kept")).select("__row.*")
