@@ -25,7 +25,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelgrid.llm.textstats import where_counted, with_counts
+from parcelgrid.llm.textstats import with_counts
 
 MAX_TRAINING_ROWS = 20_000
 TREES, DEPTH, LASSO = 8, 3, 0.002
@@ -133,5 +133,4 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 def keep_predicted_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model calls good, with all their columns, in one pass without a join."""
     whole = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__body"))
-    found = with_statistics(whole, "__row", "__body")
-    return where_counted(found, model.compile() >= 0.5).select("__row.*")
+    return with_statistics(whole, "__row", "__body").where(model.compile() >= 0.5).select("__row.*")

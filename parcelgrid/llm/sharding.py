@@ -53,6 +53,8 @@ def rebalance(mapping: list[int], sizes: list[int], n_shards: int, tolerance: fl
     for slot, shard in enumerate(mapping):
         held[shard].append(slot)
     load = [sum(sizes[s] for s in slots) for slots in held]
+    if max(load) - min(load) <= tolerance * mean:
+        return list(mapping)
     loose = []
     for shard in range(n_shards):
         for slot in sorted(held[shard], key=lambda s: (-sizes[s], s)):

@@ -70,16 +70,9 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     ordered = repeats.withColumn("__sorted", F.expr(
         "CASE WHEN __repeats THEN array_sort(transform(__windows, (h, i) -> struct(h AS h, i AS i))) END"))
     repeated = f"CASE WHEN __repeats THEN {_REPEATED.replace('sorted', '__sorted')} ELSE 0 END"
-    return (ordered.withColumn("n_repeat_words", F.expr(repeated).cast("long"))
-            .drop("__windows", "__repeats", "__sorted"))
-
-
-def where_counted(counted: DataFrame, condition: Column) -> DataFrame:
-    """Rows that meet a condition on counts.
-
-    Plain filters are moved below the projections that make the counts, which
-    would copy those expressions into the filter many times over.  A filter that
-    also reads the partition number stays above them.
-    """
-    placed = counted.withColumn("__partition", F.spark_partition_id())
-    return placed.where((F.col("__partition") >= 0) & condition).drop("__partition")
+    counts = (ordered.withColumn("n_repeat_words", F.expr(repeated).cast("long"))
+              .drop("__windows", "__repeats", "__sorted"))
+    # A caller's filter on a count would be moved below the projections, with the
+    # count's whole expression copied into it at every use.  No filter passes a
+    # projection that makes the partition number; the one below holds for every row.
+    return counts.withColumn("__partition", F.spark_partition_id()).where("__partition >= 0").drop("__partition")
