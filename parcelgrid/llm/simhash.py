@@ -3,7 +3,7 @@
 Fingerprint: the 64 majority bits of XXH64 (seed 42) over the text's word
 shingles.  Two fingerprints link when at most ``max_bits`` bits differ.
 
-Candidate search.  The 64 bits are cut into ``max_bits // 2 + 1`` blocks; a pair
+Candidate search.  The 64 bits are cut into ``max_bits // 2 + 1`` blocks (2 at least); a pair
 within ``max_bits`` differs in at most one bit on some block (pigeonhole).  Each
 block is covered by anchors: the words of a perfect Hamming code of length
 ``2**r - 1`` on its low bits, joined with every value of the bits left over.  The
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
     """(first bit, width) of each block."""
-    n = max_bits // 2 + 1
+    n = max(2, max_bits // 2 + 1)
     edges = [BITS * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
