@@ -38,7 +38,7 @@ from parcelgrid.llm.shipping import ship_package
 
 FILE_BYTES = 128 << 20
 CHUNK = 1 << 18
-LEVEL = 1
+LEVEL = 6
 GZIP = 31  # zlib's window setting for gzip members
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
