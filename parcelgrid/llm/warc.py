@@ -38,6 +38,7 @@ from parcelgrid.llm.shipping import ship_package
 
 FILE_BYTES = 128 << 20
 CHUNK = 1 << 18
+SEGMENT = 8 << 20  # bytes of archive that one reading task takes
 LEVEL = 6
 GZIP = 31  # zlib's window setting for gzip members
 DATE = "1970-01-01T00:00:00Z"
@@ -217,7 +218,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     """
     ship_package(index.sparkSession)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    spread = index.repartition(F.col("file"), F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset")
+    # index rows are small but stand for whole records: tasks by bytes to read, not by bytes of index
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n_tasks = max(1, -(-total // SEGMENT))
+    spread = index.repartition(n_tasks, "file", F.floor(F.col("offset") / SEGMENT)).sortWithinPartitions("file", "offset")
 
     def run(batches):
         import hashlib
