@@ -101,7 +101,7 @@ class MergeAutomaton:
         key = (state << 32) + token
         found = self._arcs.get(key)
         if found is None:
-            if len(self._arcs) > 2_000_000:
+            if len(self._arcs) > 300_000:
                 self._arcs.clear()
             found = self._arcs[key] = state == START or self._has_arc(state, token)
         return found

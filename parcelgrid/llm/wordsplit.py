@@ -103,7 +103,7 @@ class WordCache(dict):
     survive and memory stays bounded whatever the input holds.
     """
 
-    def __init__(self, make, size: int = 400_000, longest: int = 64):
+    def __init__(self, make, size: int = 120_000, longest: int = 64):
         super().__init__()
         self._make, self._size, self._longest, self._old = make, size, longest, {}
 
