@@ -35,7 +35,6 @@ STATISTICS = {
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "duplicate_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
     "repeated_ratio": "n_repeat_words / greatest(n_words, 1)",
-    "stop_words_present": "n_stop_words",
     "words_per_line": "n_words / greatest(n_lines, 1)",
 }
 
