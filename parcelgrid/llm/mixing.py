@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 32
 PERIOD = 1024
 MAX_SOURCES = 10_000
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 BROADCAST_PLACES = 200_000  # rows; a longer place table is joined by shuffle
 
 
