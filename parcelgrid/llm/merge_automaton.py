@@ -116,7 +116,7 @@ class MergeAutomaton:
         numbers = {s: k for k, s in enumerate(byte_symbols())}
         self.size, self.shorter = {}, {START: START}
         for text, token in sorted((t for t in vocab.items() if t[1] in live), key=lambda t: len(t[0])):
-            ends = text.endswith(self.suffix)
+            ends = text.endswith(self.suffix) and text != self.suffix
             symbols = [numbers[c] for c in (text[: -len(self.suffix)] if ends else text)]
             symbols[-1] += len(numbers) if ends else 0
             node, before, entry = root, START, None

@@ -57,15 +57,15 @@ def test_gadgets_on_a_small_merge_table():
     from parcelgrid.llm.wordsplit import byte_symbols
 
     symbols = byte_symbols()
-    vocab = {s + e: k for k, (e, s) in enumerate((e, s) for e in ("", "$") for s in symbols)}
-    merges = [["a", "a"], ["a", "b"], ["aa", "b"], ["b", "a"], ["aa", "aa"], ["ab", "a$"], ["ba", "b$"], ["a", "a$"]]
+    vocab = {s + e: k for k, (e, s) in enumerate((e, s) for e in ("", "</w>") for s in symbols)}
+    merges = [["a", "a"], ["a", "b"], ["aa", "b"], ["b", "a"], ["aa", "aa"], ["ab", "a</w>"], ["ba", "b</w>"], ["a", "a</w>"]]
     for a, b in merges:
         vocab[a + b] = len(vocab)
     names = {k: s for s, k in vocab.items()}
-    automaton = MergeAutomaton(vocab, merges, "$")
+    automaton = MergeAutomaton(vocab, merges, "</w>")
     for n in range(1, 8):
         for word in map("".join, product("ab", repeat=n)):
-            held = [*word[:-1], word[-1] + "$"]
+            held = [*word[:-1], word[-1] + "</w>"]
             for pair in merges:
                 at = 0
                 while at + 1 < len(held):
@@ -78,9 +78,9 @@ def test_gadgets_on_a_small_merge_table():
 def test_bad_merge_table_is_refused():
     from parcelgrid.llm.wordsplit import byte_symbols
 
-    vocab = {s: k for k, s in enumerate(byte_symbols())} | {"abc": 256, "ab": 257}
+    vocab = {s: k for k, s in enumerate(byte_symbols())} | {s + "</w>": 300 + k for k, s in enumerate(byte_symbols())} | {"abc": 256, "ab": 257}
     with pytest.raises(ValueError):
-        MergeAutomaton(vocab, [["ab", "c"]], "$")
+        MergeAutomaton(vocab, [["ab", "c"]], "</w>")
 
 
 def test_word_cache_keeps_few():
