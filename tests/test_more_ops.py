@@ -156,3 +156,12 @@ def test_strict_state_raises(spark):
     assert df.select(search_state_text("url")).first()[0] is None
     with pytest.raises(Exception, match="searchQueryState not found"):
         df.select(search_state_text("url", strict=True)).collect()
+
+
+def test_page_plan_uses_a_given_count(spark):
+    from parcelgrid.operators.grid import page_plan
+
+    links = spark.createDataFrame([("https://x.example/a", 60), ("https://x.example/b", None)], "link string, n int")
+    got = {r.link: r["count"] for r in page_plan(links, max_pages=50, pages="n").groupBy("link").count().collect()}
+    assert got == {"https://x.example/a": 60, "https://x.example/b": 50}
+    assert page_plan(links, pages=3).count() == 6
