@@ -1,12 +1,14 @@
-"""Crawl stand-in over ``events``: tile = user, page = day, item = event.
+"""Crawl stand-in over ``events``: tile = five users, page = half day, item = event.
 
-* page   = days since 2024-01-01, plus 1;
+* tile   = user_id div 5, so that most tiles have items on most pages;
+* page   = half days since 2024-01-01, plus 1 (some lie above the page cap);
 * array  = listResults (click, view), mapResults (purchase, signup),
            relaxedResults (error);
 * pos    = event_id (order inside a page);
 * item   = ``props`` JSON; its id is ``k`` (0 counts as missing).
-Page visit: ``page_count`` = list items, ``house_count`` = map items,
-``success`` = fewer than two error events, ``has_listings`` = any list or map
+Page visit: ``page_count`` = list items, ``house_count`` = 25 x map items (a
+target that takes several pages to reach),
+``success`` = fewer than four error events, ``has_listings`` = any list or map
 item.
 """
 
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import member, truthy_text
 
-PAGE = "datediff(to_date(ts), DATE'2024-01-01') + 1"
+TILE = "user_id div 5"
+PAGE = "2 * datediff(to_date(ts), DATE'2024-01-01') + if(hour(ts) >= 12, 1, 0) + 1"
 
 
 def items(events: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def items(events: DataFrame) -> DataFrame:
               .otherwise("relaxedResults"))
     item = F.try_parse_json("props")
     return events.select(
-        F.col("user_id").alias("tile"), F.expr(PAGE).cast("long").alias("page"),
+        F.expr(TILE).alias("tile"), F.expr(PAGE).cast("long").alias("page"),
         rtype.alias("result_type"), F.col("event_id").alias("pos"),
         truthy_text(member(item, "$.k")).alias("item_id"))
 
@@ -34,11 +37,11 @@ def items(events: DataFrame) -> DataFrame:
 def visits(events: DataFrame) -> DataFrame:
     lst = F.col("event_type").isin("click", "view")
     mp = F.col("event_type").isin("purchase", "signup")
-    return (events.groupBy(F.col("user_id").alias("tile"), F.expr(PAGE).cast("long").alias("page"))
+    return (events.groupBy(F.expr(TILE).alias("tile"), F.expr(PAGE).cast("long").alias("page"))
             .agg(F.count(F.when(lst, 1)).alias("page_count"),
-                 F.count(F.when(mp, 1)).alias("house_count"),
+                 (25 * F.count(F.when(mp, 1))).alias("house_count"),
                  F.count(F.when(F.col("event_type") == "error", 1)).alias("n_error"))
-            .withColumn("success", F.col("n_error") < 2)
+            .withColumn("success", F.col("n_error") < 4)
             .withColumn("has_listings", (F.col("page_count") + F.col("house_count")) > 0)
             .drop("n_error"))
 
@@ -46,7 +49,9 @@ def visits(events: DataFrame) -> DataFrame:
 # The same stand-in in SQL, for the oracles.
 ITEMS_SQL = """
 items AS (
-  SELECT user_id AS tile, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS page,
+  SELECT CAST(user_id // 5 AS BIGINT) AS tile,
+         CAST(2 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))
+              + CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END + 1 AS BIGINT) AS page,
          CASE WHEN event_type IN ('click','view') THEN 'listResults'
               WHEN event_type IN ('purchase','signup') THEN 'mapResults' ELSE 'relaxedResults' END AS result_type,
          event_id AS pos,
@@ -57,11 +62,11 @@ items AS (
 
 VISITS_SQL = """
 visits AS (
-  SELECT tile, page, page_count, house_count, n_error < 2 AS success,
+  SELECT tile, page, page_count, house_count, n_error < 4 AS success,
          page_count + house_count > 0 AS has_listings
   FROM (SELECT tile, page,
                count(*) FILTER (WHERE result_type = 'listResults') AS page_count,
-               count(*) FILTER (WHERE result_type = 'mapResults') AS house_count,
+               25 * count(*) FILTER (WHERE result_type = 'mapResults') AS house_count,
                count(*) FILTER (WHERE result_type = 'relaxedResults') AS n_error
         FROM items GROUP BY tile, page)
 )"""
@@ -82,7 +87,9 @@ marked0 AS (
   SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY tile ORDER BY page
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS kept
   FROM marked1
-), marked_m AS (SELECT *, kept AND ok AS merged FROM marked)"""
+), marked_m AS (SELECT *, kept AND ok AS merged, FALSE AS over_cap FROM marked
+  UNION ALL BY NAME
+  SELECT *, FALSE AS stop, FALSE AS kept, FALSE AS merged, TRUE AS over_cap FROM visits WHERE page > 50)"""
 
 MERGED_SQL = """
 firstp AS (SELECT tile, min(page) AS first_page FROM marked_m WHERE merged GROUP BY tile),

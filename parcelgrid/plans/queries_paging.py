@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from parcelgrid.operators.dedupe import dedupe_arrays, merge_pages
 from parcelgrid.operators.paging import integrity_violations, stop_prefix, tile_outcome, tile_totals
@@ -30,11 +31,11 @@ def _totals(spark, sf_dir):
 
 @query("q_pagination_stop", ev.with_sql(*_BASE) + """
 SELECT tile, page, page_count, house_count, CAST(acc_page_count AS BIGINT) AS acc_page_count,
-       CAST(target_house_count AS BIGINT) AS target_house_count, stop, kept, merged FROM marked_m""")
+       CAST(target_house_count AS BIGINT) AS target_house_count, stop, kept, merged, over_cap FROM marked_m""")
 def q_pagination_stop(spark, sf_dir):
-    """Running page count, first-page target, stop prefix."""
+    """Running page count, first-page target, stop prefix; one row per visit, over the cap or not."""
     return _marked(spark, sf_dir).select("tile", "page", "page_count", "house_count", "acc_page_count",
-                                         "target_house_count", "stop", "kept", "merged")
+                                         "target_house_count", "stop", "kept", "merged", "over_cap")
 
 
 @query("q_merge_pages", ev.with_sql(*_BASE, ev.MERGED_SQL) + """
@@ -71,9 +72,11 @@ def q_integrity(spark, sf_dir):
 
 @query("q_tile_outcome", ev.with_sql(*_BASE, ev.MERGED_SQL) + """
 SELECT tile, house_count,
-       CASE WHEN house_count > 0 THEN 'saved' WHEN failed THEN 'failed' ELSE 'empty' END AS outcome,
-       NOT (house_count = 0 AND failed) AS visited, TRUE AS visited_parity FROM totals""")
+       CASE WHEN house_count > 0 AND tile % 7 <> 0 THEN 'saved' WHEN house_count > 0 THEN 'not saved'
+            WHEN failed THEN 'failed' ELSE 'empty' END AS outcome,
+       CASE WHEN house_count > 0 THEN tile % 7 <> 0 ELSE NOT failed END AS visited,
+       house_count = 0 OR tile % 7 <> 0 AS visited_parity FROM totals""")
 def q_tile_outcome(spark, sf_dir):
-    """V4: saved / empty / failed and the visited mark."""
-    return tile_outcome(_totals(spark, sf_dir)).select("tile", "house_count", "outcome", "visited",
+    """V4: saved / not saved / empty / failed and the visited marks; every seventh tile stands for one without coordinates."""
+    return tile_outcome(_totals(spark, sf_dir), F.col("tile") % 7 != 0).select("tile", "house_count", "outcome", "visited",
                                                        "visited_parity")

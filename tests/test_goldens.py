@@ -14,7 +14,7 @@ from parcelgrid.operators.grid import REFERENCE_TILE, tile_grid
 from parcelgrid.operators.inventory import year_combos
 from parcelgrid.operators.ledger import next_null_number, sync_house_ledger, unvisited_houses
 from parcelgrid.operators.model import early_stop_index, param_grid_rows, regression_metrics
-from parcelgrid.operators.paging import stop_prefix
+from parcelgrid.operators.paging import capped_tiles, one_visit_per_page, stop_prefix
 from parcelgrid.sources.tiles import parse_documents, read_text_documents
 
 SEARCH = {"north": 37.81609909306968, "south": 37.703729038459144, "east": -122.34046069506836,
@@ -78,7 +78,13 @@ def test_pagination_failure_and_cap(spark):
     m = {r.page: r for r in stop_prefix(_visits(spark, rows)).collect()}
     assert m[2].kept and not m[2].merged and not m[3].kept
     many = [(1, p, 1, 10_000, True, True) for p in range(1, 61)]
-    assert stop_prefix(_visits(spark, many)).filter("kept").count() == 50
+    marked = stop_prefix(_visits(spark, many))
+    assert marked.filter("kept").count() == 50 and marked.filter("over_cap").count() == 10 and marked.count() == 60
+    assert [(r.tile, r.pages_beyond) for r in capped_tiles(marked).collect()] == [(1, 10)]
+    library = stop_prefix(_visits(spark, many), mode="library")
+    assert library.filter("kept").count() == 60 and not library.filter("over_cap").count()
+    twice = _visits(spark, [(1, 1, 0, 9, False, False), (1, 1, 5, 9, True, True), (1, 2, 5, 9, True, True)])
+    assert stop_prefix(one_visit_per_page(twice)).filter("merged").count() == 2
     lib = stop_prefix(_visits(spark, [(1, 1, 3, 10, True, True), (1, 2, 0, 10, True, True),
                                       (1, 3, 3, 10, True, True)]), mode="library")
     assert sorted(r.page for r in lib.filter("kept").collect()) == [1, 2]

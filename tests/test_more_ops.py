@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parcelgrid.functions.urls import with_bounds_override
 from parcelgrid.operators.grid import pick_links, sample_link
 from parcelgrid.operators.inventory import distinct_file_names, file_listing, folder_count
-from parcelgrid.operators.paging import integrity_violations
+from parcelgrid.operators.paging import integrity_violations, tile_outcome
 from parcelgrid.sinks.writers import write_links, write_master_list
 
 
@@ -49,6 +49,19 @@ def test_integrity_raise_mode(spark):
     assert [r.tile for r in integrity_violations(totals).collect()] == [2]
     with pytest.raises(Exception, match="Data integrity error"):
         integrity_violations(totals, mode="raise").collect()
+    with pytest.raises(Exception, match="Data integrity error"):
+        integrity_violations(totals, mode="raise").count()
+    with pytest.raises(Exception, match="Data integrity error"):
+        integrity_violations(totals, mode="raise").select("tile").collect()
+    assert integrity_violations(totals.filter("tile = 1"), mode="raise").count() == 0
+
+
+def test_tile_outcome_not_saved(spark):
+    rows = [(1, 3, False, True), (2, 3, False, False), (3, 0, True, True), (4, 0, False, None), (5, 1, True, None)]
+    totals = spark.createDataFrame(rows, "tile int, house_count int, failed boolean, placed boolean")
+    got = {r.tile: (r.outcome, r.visited, r.visited_parity) for r in tile_outcome(totals, F.col("placed")).collect()}
+    assert got == {1: ("saved", True, True), 2: ("not saved", False, False), 3: ("failed", False, True),
+                   4: ("empty", True, True), 5: ("not saved", False, False)}
 
 
 def _py_override(state, n, s, e, w):
