@@ -9,7 +9,7 @@ write that form with built-in functions only:
 * ``query_pairs`` turns a URL into the ordered, decoded ``(pos, key, value)``
   pairs a standard query-string parser returns (blank values dropped).
 * ``search_state_text`` pulls the first ``searchQueryState`` and decodes it.
-* ``with_bounds_override`` / ``set_current_page`` edit the raw JSON text, so key order
+* ``with_bounds_override`` / ``with_current_page`` edit the raw JSON text, so key order
   and number text survive (a VARIANT round trip would sort keys).
 * ``build_search_url`` / ``with_page_url`` rebuild URLs.
 """
@@ -144,8 +144,9 @@ def _set_member(obj_inner: Column, name: str, value_text: Column) -> Column:
 def _append_member(obj_text: Column, member: Column) -> Column:
     """Append ``member`` (``"k":v``) at the end of a top-level JSON object text."""
     empty = F.regexp_replace(obj_text, r"\s", "") == "{}"
-    return F.when(empty, F.concat(F.lit("{"), member, F.lit("}"))).otherwise(
-        F.regexp_replace(obj_text, r"\}\s*$", F.concat(F.lit(","), member, F.lit("}"))))
+    return F.when(empty, F.concat(F.lit("{"), member, F.lit("}"))).when(
+        obj_text.rlike(r"\}\s*$"),
+        F.concat(F.regexp_replace(obj_text, r"\}\s*$", ""), F.lit(","), member, F.lit("}"))).otherwise(obj_text)
 
 
 def with_bounds_override(df: DataFrame, state_col: str, out_col: str, north=None, south=None, east=None,
@@ -188,19 +189,70 @@ def set_member_value(state_text, name: str, value_text: Column) -> Column:
             .otherwise(_append_member(st, F.concat(F.lit(f'"{name}":'), value_text)))
 
 
-_PAGINATION_OBJ = r'"pagination"\s*:\s*\{([^{}]*)\}'
+_TEXT_RX = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
-def set_current_page(state_text, page) -> Column:
-    """Set ``pagination.currentPage`` (creating the object when absent)."""
-    st = _c(state_text)
+def _object_rx(depth: int) -> str:
+    """Pattern of a JSON object that nests at most ``depth`` levels of objects."""
+    rx = ""
+    for _ in range(depth):
+        rx = r'\{(?:[^{}"]++|' + _TEXT_RX + (f"|{rx}" if rx else "") + r")*+\}"
+    return rx
+
+
+_MEMBER_VALUE_RX = rf'(?s)^(\s*:\s*)({_object_rx(4)}|\[(?:[^\[\]"]++|{_TEXT_RX})*+\]|{_TEXT_RX}|[^,{{}}\s]+)(.*)$'
+
+
+def _with_member(df: DataFrame, text_col: str, name: str, out_col: str) -> DataFrame:
+    """Add ``out_col``: ``struct<head, value, tail>`` of the text around the value of
+    the top-level member ``name`` of the JSON object in ``text_col``.
+
+    ``head + value + tail`` is the whole text; all three are null when the object
+    has no such member (of repeated members the last counts).  An occurrence of
+    the quoted name is a top-level key when a colon follows it and the text before
+    it, strings left out, opens exactly one more bracket than it closes.
+    """
+    key = f'"{name}"'
+    df = df.withColumn("_parts", F.split(F.col(text_col), key))
+
+    def key_end(n):  # the text up to the n-th occurrence, and whether that is a top-level key
+        before = F.array_join(F.slice("_parts", 1, n), key)
+        bare = F.regexp_replace(before, _TEXT_RX, "")
+        opened = F.length(F.regexp_replace(bare, r"[^{\[]", "")) - F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+        return F.struct(F.length(before).alias("at"), (
+            (opened == 1) & ~bare.contains('"') & F.get("_parts", n).rlike(r"^\s*:")).alias("top"))
+
+    df = df.withColumn("_ends", F.when(F.size("_parts") > 1, F.transform(
+        F.sequence(F.lit(1), F.size("_parts") - 1), key_end)))
+    df = df.withColumn("_at", F.array_max(F.transform(F.filter("_ends", lambda e: e["top"]), lambda e: e["at"])))
+    after = F.substring(F.col(text_col), F.col("_at") + 1 + len(key), F.length(text_col))
+    df = df.withColumn("_after", after)
+    found = F.col("_at").isNotNull() & F.col("_after").rlike(_MEMBER_VALUE_RX)
+    part = {k: F.regexp_extract("_after", _MEMBER_VALUE_RX, k) for k in (1, 2, 3)}
+    return df.withColumn(out_col, F.struct(
+        F.when(found, F.concat(F.substring(F.col(text_col), F.lit(1), F.col("_at")), F.lit(key), part[1])).alias("head"),
+        F.when(found, part[2]).alias("value"), F.when(found, part[3]).alias("tail"),
+    )).drop("_parts", "_ends", "_at", "_after")
+
+
+def with_current_page(df: DataFrame, state_col: str, page, out_col: str) -> DataFrame:
+    """Add ``out_col``: the state text with top-level ``pagination.currentPage`` set.
+
+    Only the top-level member is edited; a missing one is appended, and one that
+    is not an object (null, a number) is replaced.  The text is cut and joined,
+    never used as a replacement pattern, so ``$`` and ``\\`` in it stay.
+    """
     pg = (_c(page) if not isinstance(page, int) else F.lit(page)).cast("long").cast("string")
-    inner = F.regexp_extract(st, _PAGINATION_OBJ, 1)
-    new_inner = _set_member(inner, "currentPage", pg)
-    replaced = F.regexp_replace(st, F.lit(_PAGINATION_OBJ),
-                                F.concat(F.lit('"pagination":{'), new_inner, F.lit("}")))
-    appended = _append_member(st, F.concat(F.lit('"pagination":{"currentPage":'), pg, F.lit("}")))
-    return F.when(st.rlike(_PAGINATION_OBJ), replaced).otherwise(appended)
+    df = _with_member(df, state_col, "pagination", "_pm")
+    df = df.withColumn("_inner", F.when(F.col("_pm.value").startswith("{"), F.col("_pm.value")).otherwise("{}"))
+    df = _with_member(df, "_inner", "currentPage", "_cm")
+    inner = F.when(F.col("_cm.value").isNull(), _append_member(
+        F.col("_inner"), F.concat(F.lit('"currentPage":'), pg))).otherwise(F.concat("_cm.head", pg, "_cm.tail"))
+    df = df.withColumn("_new", inner)
+    out = F.when(F.col("_pm.value").isNull(), _append_member(
+        F.col(state_col), F.concat(F.lit('"pagination":'), F.col("_new")))).otherwise(
+        F.concat("_pm.head", "_new", "_pm.tail"))
+    return df.withColumn(out_col, out).drop("_pm", "_inner", "_cm", "_new")
 
 
 # --------------------------------------------------------------------------- URL builders
@@ -227,7 +279,8 @@ def with_page_url(df: DataFrame, url_col: str, page, out_col: str = "page_url",
     df = df.withColumn("_qp", query_pairs(u))
     df = df.withColumn("_st", F.nullif(unquote(F.try_element_at(
         F.filter("_qp", lambda s: s["key"] == F.lit(STATE_PARAM)), F.lit(1))["value"]), F.lit("")))
-    df = df.withColumn("_enc", quote(set_current_page(F.col("_st"), page), safe=""))
+    df = with_current_page(df, "_st", page, "_new_st")
+    df = df.withColumn("_enc", quote(F.col("_new_st"), safe=""))
     state_value = F.col("_enc") if encode_once else quote_plus(F.col("_enc"))
     df = df.withColumn("_keys", F.transform("_qp", lambda s: s["key"]))
     ordered = F.sort_array(F.transform("_qp", lambda s: F.struct(
@@ -245,7 +298,7 @@ def with_page_url(df: DataFrame, url_col: str, page, out_col: str = "page_url",
     rebuilt = F.concat(url_prefix(u), F.when(F.col("_q") != "", F.concat(F.lit("?"), F.col("_q"))).otherwise(F.lit("")),
                        F.when(F.col("_fr") != "", F.concat(F.lit("#"), F.col("_fr"))).otherwise(F.lit("")))
     return (df.withColumn(out_col, F.when(F.col("_st").isNull(), u).otherwise(rebuilt))
-              .drop("_qp", "_st", "_enc", "_keys", "_ord", "_sv", "_q", "_fr"))
+              .drop("_qp", "_st", "_new_st", "_enc", "_keys", "_ord", "_sv", "_q", "_fr"))
 
 
 def request_body(state_text) -> Column:

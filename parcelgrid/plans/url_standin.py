@@ -6,7 +6,8 @@ quoted once, or twice when ``page_id % 6 == 0``; ``page_id % 4 == 0`` adds
 ``&ref=x&empty=&zed=1&ref=y&junk=%257Bnot%20json%257D`` (braces that are not
 JSON) and ``page_id % 5 == 0`` a ``#top`` fragment.
 State variants by ``page_id % 3``: no pagination, ``currentPage`` 7, empty
-pagination object.
+pagination object.  Every state holds a nested ``pagination`` inside ``saved`` and
+the text ``c$1``; ``page_id % 7 == 0`` turns an empty object into null.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ EXTRA = "&ref=x&empty=&zed=1&ref=y&junk=%257Bnot%20json%257D"
 
 def state_base(pid):
     return F.concat(
-        F.lit('{"isMapVisible":true,"mapBounds":{"north":'), py_float_text(pid.cast("double") / 8),
+        F.lit('{"saved":{"pagination":{"currentPage":2},"x":"c$1"},"isMapVisible":true,"mapBounds":{"north":'), py_float_text(pid.cast("double") / 8),
         F.lit(',"south":'), py_float_text(-(pid.cast("double") / 16)),
         F.lit(',"east":'), (pid % 50).cast("string"), F.lit(',"west":-3.5},"filterState":{"sort":{"value":'
                                                             '"globalrelevanceex"}},"mapZoom":'),
@@ -32,6 +33,7 @@ def state_base(pid):
 def state_suffix(pid):
     return (F.when(pid % 3 == 0, F.lit("}"))
              .when(pid % 3 == 1, F.lit(',"pagination":{"currentPage":7}}'))
+             .when(pid % 7 == 0, F.lit(',"pagination":null}'))
              .otherwise(F.lit(',"pagination":{}}')))
 
 
@@ -48,10 +50,10 @@ def search_urls(pages: DataFrame) -> DataFrame:
 
 
 STATE_SQL = """
-CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',"pagination":{"currentPage":7}' ELSE ',"pagination":{}' END"""
+CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',"pagination":{"currentPage":7}' ELSE CASE WHEN page_id % 7 = 0 THEN ',"pagination":null' ELSE ',"pagination":{}' END END"""
 
 BASE_SQL = """
-'{"isMapVisible":true,"mapBounds":{"north":' || CAST(CAST(page_id AS DOUBLE) / 8 AS VARCHAR)
+'{"saved":{"pagination":{"currentPage":2},"x":"c$1"},"isMapVisible":true,"mapBounds":{"north":' || CAST(CAST(page_id AS DOUBLE) / 8 AS VARCHAR)
  || ',"south":' || CAST(-(CAST(page_id AS DOUBLE) / 16) AS VARCHAR)
  || ',"east":' || CAST(page_id % 50 AS VARCHAR)
  || ',"west":-3.5},"filterState":{"sort":{"value":"globalrelevanceex"}},"mapZoom":' || CAST(page_id % 20 AS VARCHAR)
