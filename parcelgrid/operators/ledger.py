@@ -72,21 +72,22 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str, order_col:
 
     ``saved`` for the first row (smallest ``order_col``) of a key not yet
     stored; ``failed`` for a stored key and for later rows of a batch key.
-    Rows with a null key are ``saved`` (they get fresh names).  One aggregate
+    Rows with a null or empty key are ``saved`` (they get fresh names).  One aggregate
     per key (existing flag + first order) and one join back to the batch.
     """
+    missing = F.col(key).isNull() | (F.col(key).cast("string") == "")
     marks = (batch.select(F.col(key), F.col(order_col).alias("_o"), F.lit(False).alias("_ex"))
              .unionByName(existing.select(F.col(key), F.lit(None).cast(batch.schema[order_col].dataType).alias("_o"),
                                           F.lit(True).alias("_ex")))
-             .filter(F.col(key).isNotNull())
+             .filter(~missing)
              .groupBy(key).agg(F.min("_o").alias("_first"), F.max("_ex").alias("_exists")))
-    keyed = batch.filter(F.col(key).isNotNull()).join(marks, key, "left")
+    keyed = batch.filter(~missing).join(marks, key, "left")
     status = (F.when(F.col("_exists"), "failed")
                .when(F.col(order_col) == F.col("_first"), "saved")
                .otherwise("failed"))
     # null keys never join (and would all hash to one partition): they bypass it
     return (keyed.withColumn("status", status).drop("_first", "_exists")
-            .unionByName(batch.filter(F.col(key).isNull()).withColumn("status", F.lit("saved"))))
+            .unionByName(batch.filter(missing).withColumn("status", F.lit("saved"))))
 
 
 def empty_tile_check(tiles: DataFrame, ledger: DataFrame, order_col: str,

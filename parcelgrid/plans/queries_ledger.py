@@ -61,19 +61,21 @@ def q_unvisited_houses(spark, sf_dir):
 
 
 @query("q_insert_if_absent", """
-WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS zpid
+WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN ''
+                                   ELSE CAST(o_custkey AS VARCHAR) END AS zpid
            FROM orders),
      e AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS zpid FROM customer WHERE c_acctbal > 5000),
      f AS (SELECT zpid, min(o_orderkey) AS first_key FROM b WHERE zpid IS NOT NULL GROUP BY zpid)
 SELECT b.o_orderkey, b.zpid,
-       CASE WHEN b.zpid IS NULL THEN 'saved' WHEN e.zpid IS NOT NULL THEN 'failed'
+       CASE WHEN b.zpid IS NULL OR b.zpid = '' THEN 'saved' WHEN e.zpid IS NOT NULL THEN 'failed'
             WHEN b.o_orderkey = f.first_key THEN 'saved' ELSE 'failed' END AS status
 FROM b LEFT JOIN e ON b.zpid = e.zpid LEFT JOIN f ON b.zpid = f.zpid""")
 def q_insert_if_absent(spark, sf_dir):
     """K7: a stored id is never overwritten; first batch row per id wins."""
     batch = table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        F.when(F.col("o_orderkey") % 9 == 0, F.lit(None)).otherwise(F.col("o_custkey").cast("string")).alias("zpid"))
+        F.when(F.col("o_orderkey") % 9 == 0, F.lit(None)).when(F.col("o_orderkey") % 9 == 1, F.lit(""))
+         .otherwise(F.col("o_custkey").cast("string")).alias("zpid"))
     existing = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 5000) \
         .select(F.col("c_custkey").cast("string").alias("zpid"))
     return insert_if_absent(batch, existing, "zpid", "o_orderkey").select("o_orderkey", "zpid", "status")
