@@ -11,9 +11,10 @@ LISTING_MARKERS = ["listresults", "mapresults", "property-card", "zestimate"]
 ERROR_MARKERS = ["404", "page not found", "access denied", "blocked", "forbidden",
                  "server error", "something went wrong"]
 
+# The elements whose text the crawler looks at.
 TITLE_RX = r"(?s)<title[^>]*>(.*?)</title>"
 H1_RX = r"(?s)<h1[^>]*>(.*?)</h1>"
-NEXT_DATA_RX = r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
+NEXT_DATA_RX = r"""(?s)<script\b[^>]*?\sid\s*=\s*(["']?)__NEXT_DATA__\1(?=[\s/>])[^>]*>(.*?)</script>"""
 
 
 def _c(x) -> Column:
@@ -63,4 +64,4 @@ def page_health(body, page_count=None, house_count=None) -> Column:
 def next_data_text(html) -> Column:
     """Text of the ``__NEXT_DATA__`` script element, null when there is none."""
     h = _c(html)
-    return F.when(h.rlike(NEXT_DATA_RX), F.regexp_extract(h, NEXT_DATA_RX, 1))
+    return F.when(h.rlike(NEXT_DATA_RX), F.regexp_extract(h, NEXT_DATA_RX, 2))

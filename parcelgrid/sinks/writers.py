@@ -17,7 +17,12 @@ def write_tile_results(df: DataFrame, path: str, partition_col: str = "tile_key"
     """Tile payloads keyed by ``partition_col``; a rewritten key replaces only
     its own partition (K1).  ``keep_empty=False`` writes only tiles with
     houses.  With many thousands of tiles pass a coarser ``partition_col``
-    (for example a region id) and keep the tile key as a column."""
+    (for example a region id) and keep the tile key as a column.  A row without
+    a key stops the job: unrelated tiles would share one partition and replace
+    each other; filter such rows out first."""
+    key = F.coalesce(F.col(partition_col), F.raise_error(F.lit("tile result without a key")).cast(
+        df.schema[partition_col].dataType))
+    df = df.withColumn(partition_col, key)
     out = df if keep_empty else df.filter(F.col(house_count) > 0)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(path))

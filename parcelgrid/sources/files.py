@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# The Python code of this module runs inside tasks: ship it by value, so the
-# workers need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from parcelgrid.functions.text import py_float_text
+
+# The field texts that count as missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+_RECORD_RX = r'((?:[^"\r\n]++|"[^"]*+")*+)(?:\r\n|\n|\r|$)'  # one record; quoted fields may hold line ends
+_FIELD_RX = r',("(?:[^"]|"")*+"|[^,]*)'  # one field of a record that was given a leading comma
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -56,7 +57,9 @@ def list_files(spark: SparkSession, folder: str, glob: str | None = "*.json") ->
         reader = reader.option("pathGlobFilter", glob)
     try:
         df = reader.load(folder).select("path", "length")
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, file_name string, size long")
     return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
                      F.col("length").alias("size"))
@@ -67,35 +70,29 @@ def offset_csv_column(spark: SparkSession, folder: str, column: str, drop_lines=
     whose header is on line 1 and whose lines ``drop_lines`` (0-based after the
     header, i.e. lines 2-3) are not data (S5).
 
-    Empty files and files without the column give no rows.  Each file is parsed
-    inside the task that reads it (``mapInPandas`` over the binary-file
-    source), values come back as text exactly as pandas reads them, so a
-    numeric column with blanks yields ``12.0``.
-    Output ``(file_name, value)``; nulls are dropped.  A file is read whole
-    into one task (the binary source limits a file to 2 GB); listing exports
-    are far smaller.
+    Empty files and files without the column give no rows.  A column of numbers
+    only comes back in one number form per file: whole numbers without blanks as
+    such, otherwise as floats (``12.0``); any other column as its field texts.
+    Output ``(file_name, value)``; missing values are dropped.  Records, fields
+    and number forms are array expressions over a file's text, which is one row
+    (a listing export is far below the 2 GB limit of a row); no shuffle is needed.
     """
-    import io
-
-    import pandas as pd
-
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
-             .select("path", "content"))
-
-    def parse(batches):
-        for pdf in batches:
-            names, values = [], []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    frame = pd.read_csv(io.BytesIO(bytes(content)), skiprows=list(drop_lines))
-                except pd.errors.EmptyDataError:
-                    continue
-                if column not in frame.columns:
-                    continue
-                vals = frame[column].dropna().astype(str)
-                names += [path.rsplit("/", 1)[-1]] * len(vals)
-                values += vals.tolist()
-            yield pd.DataFrame({"file_name": pd.Series(names, dtype="object"),
-                                "value": pd.Series(values, dtype="object")})
-
-    return files.mapInPandas(parse, "file_name string, value string")
+    def fields(record):
+        found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD_RX), F.lit(1))
+        return F.transform(found, lambda f: F.when(
+            f.startswith('"'), F.replace(F.regexp_replace(f, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
+
+    files = (spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.[cC][sS][vV]")
+             .load(folder).select(F.col("_metadata.file_name").alias("file_name"),
+                                  F.regexp_extract_all("value", F.lit(_RECORD_RX), F.lit(1)).alias("_records")))
+    files = files.withColumn("_at", F.array_position(fields(F.get("_records", F.lit(0))), column)).filter("_at > 0")
+    rows = F.filter("_records", lambda r, i: (F.trim(r) != "") & (i > 0) & ~i.isin(list(drop_lines)))
+    files = files.withColumn("_values", F.transform(rows, lambda r: F.get(fields(r), (F.col("_at") - 1).cast("int"))))
+    files = files.withColumn("_present", F.filter("_values", lambda v: v.isNotNull() & ~v.isin(MISSING)))
+    files = files.withColumn("_whole", F.forall("_present", lambda v: v.rlike(r"^\s*[+-]?\d{1,18}\s*$")) & (
+        F.size("_present") == F.size("_values")))
+    number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+    files = files.withColumn("_numbers", F.forall("_present", lambda v: v.rlike(number)))
+    shown = F.transform("_present", lambda v: F.when(F.col("_whole"), F.trim(v).try_cast("long").cast("string")).when(
+        F.col("_numbers"), py_float_text(F.trim(v).try_cast("double"))).otherwise(v))
+    return files.select("file_name", F.explode(shown).alias("value"))

@@ -1,4 +1,4 @@
-"""Ledger scans: a missing or unreadable ledger reads as empty."""
+"""Ledger scans: a missing ledger reads as empty, corrupt files are skipped on request."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def read_ledger(spark: SparkSession, path: str, schema: StructType | str, keys=None) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: StructType | str, keys=None,
+                skip_corrupt: bool = True) -> DataFrame:
     """Distinct ``keys`` (default: all schema columns) of the ledger at
-    ``path``; an absent ledger gives an empty table with the same schema and
-    corrupt files are skipped."""
+    ``path``; an absent ledger gives an empty table with the same schema.
+
+    Corrupt files are skipped as the crawler does, which means that their houses
+    are fetched again; ``skip_corrupt=False`` fails on them instead.  Any other
+    fault than a missing path (schema, permission) is raised.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     cols = list(keys) if keys else [f.name for f in schema.fields]
     try:
-        df = spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path)
-    except AnalysisException:
+        df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).schema(schema).parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = spark.createDataFrame([], schema)
     return df.select(*cols).distinct()

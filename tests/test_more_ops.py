@@ -64,31 +64,25 @@ def test_tile_outcome_not_saved(spark):
                    4: ("empty", True, True), 5: ("not saved", False, False)}
 
 
-def _py_override(state, n, s, e, w):
-    d = json.loads(state)
-    b = dict(d.get("mapBounds") or {})
-    for k, v in (("north", n), ("south", s), ("east", e), ("west", w)):
-        if v is not None:
-            b[k] = v
-    d["mapBounds"] = b
-    return json.dumps(d, separators=(",", ":"))
-
-
-def test_bounds_override_matches_dict_update(spark):
-    states = ['{"a":1,"mapBounds":{"north":1.0,"south":0.5,"east":2.0,"west":-1.0},"z":[1]}',
-              '{"mapBounds":{"west":3.25,"x":7},"q":"t"}',
-              '{"a":"b"}',
-              '{"mapBounds":{}}']
-    overrides = [(37.5, None, -122.25, 1e-05), (None, None, None, None), (0.1, 0.2, 0.3, 0.4)]
-    rows = [(st, *o) for st in states for o in overrides]
-    df = spark.createDataFrame(rows, "state string, n double, s double, e double, w double")
+# state, sides (north, south, east, west), and the state that must come out
+OVERRIDES = [
+    ('{"a":1,"mapBounds":{"north":1.0,"south":0.5,"east":2.0,"west":-1.0},"z":[1]}', (37.5, None, -122.25, 1e-05),
+     '{"a":1,"mapBounds":{"north":37.5,"south":0.5,"east":-122.25,"west":1e-05},"z":[1]}'),
+    ('{"mapBounds":{"west":3.25,"x":7},"q":"t"}', (0.1, 0.2, 0.3, 0.4),
+     '{"mapBounds":{"west":0.4,"x":7,"north":0.1,"south":0.2,"east":0.3},"q":"t"}'),
+    ('{"a":"b"}', (0.1, 0.2, None, 0.4), '{"a":"b","mapBounds":{"north":0.1,"south":0.2,"west":0.4}}'),
+    ('{"mapBounds":{}}', (None, 0.2, None, None), '{"mapBounds":{"south":0.2}}'),
+    ('{"a":"b"}', (None, None, None, None), '{"a":"b"}'),
+    ('{"mapBounds":{"north":1.0}}', (None, None, None, None), '{"mapBounds":{"north":1.0}}'),
+]
+
+
+def test_bounds_override_gives_the_stated_states(spark):
+    df = spark.createDataFrame([(state, *sides, want) for state, sides, want in OVERRIDES],
+                               "state string, n double, s double, e double, w double, want string")
     out = with_bounds_override(df, "state", "out", north=F.col("n"), south=F.col("s"), east=F.col("e"),
                                west=F.col("w")).collect()
-    for r in out:
-        if all(v is None for v in (r.n, r.s, r.e, r.w)):
-            assert r.out == r.state
-        else:
-            assert r.out == _py_override(r.state, r.n, r.s, r.e, r.w), r.state
+    assert [r.out for r in out] == [r.want for r in out]
 
 
 def test_zoom_override_on_state_column(spark):
