@@ -65,3 +65,20 @@ def next_data_text(html) -> Column:
     """Text of the ``__NEXT_DATA__`` script element, null when there is none."""
     h = _c(html)
     return F.when(h.rlike(NEXT_DATA_RX), F.regexp_extract(h, NEXT_DATA_RX, 2))
+
+
+def detail_gate(next_text, error=None, score_texts=None) -> Column:
+    """``struct<status, next_data, scores>`` of a fetched detail page.
+
+    ``status``: ``error`` (the fetch reported one), ``no_next_data`` (script text
+    missing or empty), ``bad_json`` or ``ok``; ``next_data`` (VARIANT) is set on
+    ``ok`` only.  Score texts are optional: null becomes an empty array.
+    """
+    text = _c(next_text)
+    data = F.try_parse_json(text)
+    failed = F.lit(False) if error is None else _c(error).isNotNull()
+    status = (F.when(failed, "error").when(text.isNull() | (text == ""), "no_next_data")
+               .when(data.isNull(), "bad_json").otherwise("ok"))
+    none = F.array().cast("array<string>")
+    scores = none if score_texts is None else F.coalesce(_c(score_texts), none)
+    return F.struct(status.alias("status"), F.when(status == "ok", data).alias("next_data"), scores.alias("scores"))

@@ -94,32 +94,31 @@ def _packed_order(page: F.Column, pos: F.Column) -> F.Column:
 
 
 def dedupe_arrays(items: DataFrame, tile_col: str, page_col: str, id_col: str = "item_id",
-                  deduped=("listResults", "mapResults")) -> DataFrame:
+                  deduped=("listResults", "mapResults"), value_cols=()) -> DataFrame:
     """Per tile, drop repeated ids within each array, first (page, pos) kept.
 
-    Items with a falsy id are dropped from the deduped arrays; other arrays
+    Items with a null id are dropped from the deduped arrays; other arrays
     (``relaxedResults``) pass through untouched.  Output keeps
-    ``(tile, result_type, id, page, pos)``; order within an array is the
-    ``(page, pos)`` of the kept item.
+    ``(tile, result_type, id, page, pos)`` and ``value_cols`` (the payload of the
+    kept item); order within an array is the ``(page, pos)`` of the kept item.
 
-    One hash aggregate over all arrays: deduped arrays group by id and keep the
-    smallest packed ``(page, pos)``; a pass-through row is a group of its own,
-    keyed by its page, position and id, so the input is read once and no sort
-    is needed.
+    Deduped arrays are one aggregate per id that keeps the smallest packed
+    ``(page, pos)``: a hash aggregate without values, and with them a sort-based
+    one that still combines before the shuffle.  The other arrays are joined on
+    by a union, so their rows are not shuffled.
     """
-    in_scope = F.col("result_type").isin(list(deduped))
-    page, pos, ident = F.col(page_col), F.col("pos"), F.col(id_col).cast("string")
-    own = F.concat(F.lit("#"), page.cast("string"), F.lit(":"), pos.cast("string"), F.lit(":"),
-                   F.coalesce(F.concat(F.lit("v"), ident), F.lit("n")))
-    group = F.when(in_scope, ident).otherwise(own)
-    firsts = (items.filter(~in_scope | F.col(id_col).isNotNull())
-              .groupBy(F.col(tile_col), F.col("result_type"), group.alias("_grp"))
-              .agg(F.min(_packed_order(page, pos)).alias("_k")))
-    rest = F.regexp_extract("_grp", r"^#[^:]*:[^:]*:(.*)$", 1)
-    out_id = F.when(F.col("result_type").isin(list(deduped)), F.col("_grp")).otherwise(
-        F.when(rest == "n", F.lit(None).cast("string")).otherwise(F.substring(rest, 2, 1 << 30)))
+    values = list(value_cols)
+    in_scope = F.coalesce(F.col("result_type").isin(list(deduped)), F.lit(False))
+    order = _packed_order(F.col(page_col), F.col("pos"))
+    keys = [F.col(tile_col), F.col("result_type"), F.col(id_col)]
+    scoped = items.filter(in_scope & F.col(id_col).isNotNull())
+    best = [F.min(order).alias("_k")]
+    if values:
+        best.append(F.min_by(F.struct(*values), order).alias("_v"))
     types = dict(items.dtypes)
-    return firsts.select(
-        tile_col, "result_type", out_id.cast(types[id_col]).alias(id_col),
+    firsts = scoped.groupBy(*keys).agg(*best).select(
+        tile_col, "result_type", id_col,
         F.shiftright(F.col("_k"), POS_BITS).cast(types[page_col]).alias(page_col),
-        F.col("_k").bitwiseAND((1 << POS_BITS) - 1).cast(types["pos"]).alias("pos"))
+        F.col("_k").bitwiseAND((1 << POS_BITS) - 1).cast(types["pos"]).alias("pos"),
+        *[F.col(f"_v.{c}").alias(c) for c in values])
+    return firsts.unionByName(items.filter(~in_scope).select(tile_col, "result_type", id_col, page_col, "pos", *values))

@@ -99,8 +99,9 @@ def tile_totals(marked: DataFrame, items: DataFrame, tile: str = "tile", page: s
     The page-level figures are windows over the tile partitioning the stop rule
     already produced (no extra shuffle, at most the page cap per tile); one
     left join brings in the items, so every tile keeps a row even without
-    items; one aggregate per tile counts distinct ids (combined per key before
-    the shuffle).  The page log is consumed once.
+    items.  Distinct ids are counted by two plain aggregates, first per (tile,
+    array, id) and then per tile, so no row is multiplied for the two counts.
+    The page log is consumed once.
     """
     w = Window.partitionBy(tile)
     merged = F.col("merged")
@@ -116,12 +117,12 @@ def tile_totals(marked: DataFrame, items: DataFrame, tile: str = "tile", page: s
     cond = ((pages[tile] == it["_it"]) & (pages[page] == it["_ip"]) & pages["merged"]
             & ((it["result_type"] == "listResults") | (pages[page] == pages["_first"])))
     j = pages.join(it, cond, "left")
-    return j.groupBy(tile).agg(
-        F.max("pages_read").alias("pages_read"), F.max("pages_merged").alias("pages_merged"),
-        F.max("accumulated_page_count").alias("accumulated_page_count"),
-        F.max("house_count_target").alias("house_count_target"), F.max("failed").alias("failed"),
-        F.count_distinct(F.when(F.col("result_type") == "listResults", F.col("_id"))).alias("page_count"),
-        F.count_distinct(F.when(F.col("result_type") == "mapResults", F.col("_id"))).alias("house_count"))
+    figures = [F.max(c).alias(c) for c in ("pages_read", "pages_merged", "accumulated_page_count",
+                                           "house_count_target", "failed")]
+    ids = j.groupBy(tile, "result_type", "_id").agg(*figures)
+    return ids.groupBy(tile).agg(
+        *figures, F.count(F.when(F.col("result_type") == "listResults", F.col("_id"))).alias("page_count"),
+        F.count(F.when(F.col("result_type") == "mapResults", F.col("_id"))).alias("house_count"))
 
 
 def deduped_counts(deduped_items: DataFrame, tile: str = "tile") -> DataFrame:

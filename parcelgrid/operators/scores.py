@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The Python code of this module runs inside tasks: ship it by value, so the
 # workers need no installed copy of the package.
@@ -27,23 +28,53 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
          "track", "wbr"}
 
 
+# Start tags that end an open element of the same kind (nearest first, not past the second set).
+_BLOCKS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form",
+           "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
+           "table", "ul"}
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+         "option": ({"option"}, {"select", "datalist"}), "tbody": ({"thead", "tbody"}, {"table"}),
+         "tfoot": ({"thead", "tbody"}, {"table"})}
+_CELLS = {"td", "th", "caption", "button", "object"}
+
+
+def _matches(attrs: dict) -> bool:
+    return any(needle in (attrs.get(attr) or "") for attr, needle in SCORE_SELECTORS)
+
+
 class _Collector(HTMLParser):
-    """Element list with attributes and text content (descendant text)."""
+    """Matched elements with their attributes and text content (descendant text).
+
+    ``stack`` holds the open elements as (tag, text parts, or None where the
+    element is not matched), so text is kept for matched elements only.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.elements = []  # [attrs, text parts]
-        self.stack = []     # (tag, element index)
+        self.elements = []  # (attrs, text parts)
+        self.stack = []
+
+    def _close_implied(self, tag):
+        for wanted, bounds in ([({"p"}, _CELLS)] if tag in _BLOCKS else []) + ([_ENDS[tag]] if tag in _ENDS else []):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in wanted:
+                    del self.stack[k:]
+                    break
+                if self.stack[k][0] in bounds:
+                    break
 
     def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            self.elements.append([dict(attrs), []])
-            return
-        self.elements.append([dict(attrs), []])
-        self.stack.append((tag, len(self.elements) - 1))
+        self._close_implied(tag)
+        named, parts = dict(reversed(attrs)), None  # of repeated attributes the first counts
+        if _matches(named):
+            parts = []
+            self.elements.append((named, parts))
+        if tag not in _VOID:
+            self.stack.append((tag, parts))
 
     def handle_startendtag(self, tag, attrs):
-        self.elements.append([dict(attrs), []])
+        self.handle_starttag(tag, attrs)  # the slash ends void elements only
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, -1, -1):
@@ -52,8 +83,9 @@ class _Collector(HTMLParser):
                 return
 
     def handle_data(self, data):
-        for _, idx in self.stack:
-            self.elements[idx][1].append(data)
+        for _, parts in self.stack:
+            if parts is not None:
+                parts.append(data)
 
 
 def score_texts_of(html: str | None) -> list[str]:
@@ -97,4 +129,6 @@ def score_texts(pages: DataFrame, key_col: str = "page_id", html_col: str = "htm
                     texts.append(t)
             yield pd.DataFrame({key_col: keys, "pos": pd.Series(poss, dtype="int64"), "text": texts})
 
-    return pages.select(key_col, html_col).mapInPandas(run, f"{key_col} {key_type}, pos long, text string")
+    html = F.col(html_col)  # a page without these strings has no score text (character references may spell them)
+    maybe = pages.filter(html.contains("score") | html.contains("Score") | html.contains("&#"))
+    return maybe.select(key_col, html_col).mapInPandas(run, f"{key_col} {key_type}, pos long, text string")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import coalesce_id
-from parcelgrid.functions.pages import next_data_text, page_health
+from parcelgrid.functions.pages import detail_gate, next_data_text, page_health
 from parcelgrid.functions.payload import array_count, result_array, unwrap_response
 from parcelgrid.operators.reshape import filter_state_entries, flatten_sections, listing_filter, summary_columns
 from parcelgrid.operators.scores import score_texts
@@ -125,27 +125,29 @@ def q_page_health(spark, sf_dir):
 
 @query("q_embedded_json", """
 SELECT event_id,
-       CASE WHEN event_id % 5 = 0 THEN 'no_next_data' WHEN event_id % 7 = 3 THEN 'bad_json' ELSE 'ok' END AS status,
-       CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
-       CAST(0 AS BIGINT) AS n_scores
+       CASE WHEN event_id % 11 = 4 THEN 'error' WHEN event_id % 5 = 0 THEN 'no_next_data'
+            WHEN event_id % 7 = 3 THEN 'bad_json' ELSE 'ok' END AS status,
+       CASE WHEN event_id % 11 <> 4 AND event_id % 5 <> 0 AND event_id % 7 <> 3
+            THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       CAST(CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id % 4 END AS BIGINT) AS n_scores
 FROM events""")
 def q_embedded_json(spark, sf_dir):
-    """__NEXT_DATA__ text, parse, gate (missing / bad JSON fail)."""
+    """__NEXT_DATA__ text in any quoting, gate (error, missing or bad JSON fail), optional score texts."""
     ev = table(spark, sf_dir, "events")
     eid, props = F.col("event_id"), F.col("props")
     html = (F.when(eid % 5 == 0, F.lit("<html><body>no data</body></html>"))
              .when(eid % 7 == 3, F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'),
                                          F.expr("substring(props, 1, length(props) - 1)"), F.lit("</script></html>")))
+             .when(eid % 3 == 0, F.concat(F.lit("<html><script id='__NEXT_DATA__'>"), props, F.lit("</script></html>")))
+             .when(eid % 3 == 1, F.concat(F.lit("<html><script id=__NEXT_DATA__ async>"), props, F.lit("</script></html>")))
              .otherwise(F.concat(F.lit('<html><head><script id="__NEXT_DATA__" type="application/json">'), props,
                                  F.lit("</script></head></html>"))))
-    raw = ev.select("event_id", next_data_text(html).alias("next_text"))
-    parsed = raw.withColumn("next_data", F.try_parse_json("next_text"))
-    status = (F.when(F.col("next_text").isNull() | (F.col("next_text") == ""), "no_next_data")
-               .when(F.col("next_data").isNull(), "bad_json").otherwise("ok"))
-    scores = F.coalesce(F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
-    return parsed.select("event_id", status.alias("status"),
-                         F.try_variant_get("next_data", "$.k", "long").alias("k"),
-                         F.size(scores).cast("long").alias("n_scores"))
+    raw = ev.select("event_id", next_data_text(html).alias("next_text"),
+                    F.when(eid % 11 == 4, F.lit("timeout")).alias("error"),
+                    F.when(eid % 2 == 1, F.array_repeat(F.lit("Walk Score"), (eid % 4).cast("int"))).alias("texts"))
+    gated = raw.select("event_id", detail_gate("next_text", "error", "texts").alias("g"))
+    return gated.select("event_id", "g.status", F.try_variant_get("g.next_data", "$.k", "long").alias("k"),
+                        F.size("g.scores").cast("long").alias("n_scores"))
 
 
 @query("q_unwrap_response", """
@@ -184,7 +186,8 @@ def q_score_texts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     n = (F.col("page_id") % 100).cast("string")
     extra = (F.when(F.col("page_id") % 3 == 0, F.concat(
-                F.lit('<div class="score-box"><span data-testid="walk-score">Walk Score: '), n, F.lit("</span></div>")))
+                F.lit('<ul><li class="score-box"><span data-testid="walk-score">Walk Score: '), n,
+                F.lit("</span><li>not of the item before</ul>")))
              .when(F.col("page_id") % 3 == 1, F.concat(F.lit('<div class="TransitScore">Transit Score '), n,
                                                        F.lit("</div>")))
              .otherwise(F.lit("")))

@@ -172,3 +172,42 @@ def test_page_plan_uses_a_given_count(spark):
     got = {r.link: r["count"] for r in page_plan(links, max_pages=50, pages="n").groupBy("link").count().collect()}
     assert got == {"https://x.example/a": 60, "https://x.example/b": 50}
     assert page_plan(links, pages=3).count() == 6
+
+
+def test_score_texts_end_where_a_browser_ends_them():
+    from parcelgrid.operators.scores import score_texts_of
+
+    html = ('<ul><li class="score">Walk Score 5<li class="score">Bike Score 7</ul>'
+            '<p class="score">Transit Score 2<div>other</div><table><tr><td class="Score">A Score<td>b</table>')
+    assert score_texts_of(html) == ["Walk Score 5", "Bike Score 7", "Transit Score 2", "A Score"]
+    assert score_texts_of('<i data-testid="score">&#83;core 1</i>') == ["Score 1"]
+    assert score_texts_of(None) == score_texts_of("") == []
+
+
+def test_script_text_by_id_in_any_quoting(spark):
+    from parcelgrid.functions.pages import next_data_text
+
+    tags = ['<script id="__NEXT_DATA__">1</script>', "<script a=b id='__NEXT_DATA__' c>1</script>",
+            "<script id=__NEXT_DATA__>1</script>", '<script id="__NEXT_DATA__2">1</script>', '<script data-id="x">1</script>']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, h string")
+    got = {r.i: r.x for r in df.select("i", next_data_text("h").alias("x")).collect()}
+    assert got == {0: "1", 1: "1", 2: "1", 3: None, 4: None}
+
+
+def test_empty_key_is_saved_under_a_fresh_name(spark):
+    from parcelgrid.operators.ledger import insert_if_absent
+
+    batch = spark.createDataFrame([(1, ""), (2, ""), (3, None), (4, "b")], "o long, zpid string")
+    existing = spark.createDataFrame([("b",), ("",)], "zpid string")
+    got = {r.o: r.status for r in insert_if_absent(batch, existing, "zpid", "o").collect()}
+    assert got == {1: "saved", 2: "saved", 3: "saved", 4: "failed"}
+
+
+def test_dedupe_keeps_the_payload_of_the_first_item(spark):
+    from parcelgrid.operators.dedupe import dedupe_arrays
+
+    rows = [(1, "listResults", 2, 0, "a", "late"), (1, "listResults", 1, 5, "a", "first"),
+            (1, "relaxedResults", 1, 0, None, "x"), (1, "relaxedResults", 1, 0, None, "x"), (1, "mapResults", 1, 0, None, "y")]
+    items = spark.createDataFrame(rows, "tile int, result_type string, page int, pos long, item_id string, body string")
+    got = sorted((r.result_type, r.page, r.pos, r.body) for r in dedupe_arrays(items, "tile", "page", value_cols=["body"]).collect())
+    assert got == [("listResults", 1, 5, "first"), ("relaxedResults", 1, 0, "x"), ("relaxedResults", 1, 0, "x")]

@@ -56,3 +56,12 @@ def test_no_python_outside_dom_query(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     has_py = any(op in plan for op in PY_OPS)
     assert has_py == (name in PY_ALLOWED)
+
+
+def test_tile_totals_multiply_no_rows(spark):
+    assert "Expand" not in _plan(QUERIES["q_tile_counts"](spark, SF_SMALL))
+
+
+def test_score_pages_are_filtered_before_python(spark):
+    plan = _plan(QUERIES["q_score_texts"](spark, SF_SMALL))
+    assert "Filter" in plan.split("MapInPandas")[1]
