@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from parcelgrid.llm.quality_rules import judge
-from test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
