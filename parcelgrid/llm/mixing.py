@@ -7,13 +7,17 @@ from its release time ``floor(j / w)`` and before its deadline
 deadline is placed; on one resource this keeps every source within less than one
 block of ``w * t`` at every time ``t``.
 
-Weights are whole multiples of ``1 / period``, so the schedule repeats after
-``period`` blocks and only one period is computed (on the driver, a parameter's
-size).  The place of any block follows from its number by division, and the rows
-are placed in parallel.  When a source runs out, a new phase begins: the other
+The weights are the given ones, as integers over their own sum (a float counts as
+the decimal number it prints as), so the bound holds against the target however
+many blocks there are.  When a source runs out, a new phase begins: the other
 sources' weights are scaled up to 1 and the bound holds again within the phase,
 so every row is placed once and none is dropped or repeated.
 
+A plan of up to ``plan_blocks`` blocks is made on the driver.  A longer one is cut
+into pieces of a phase which Spark schedules side by side: which blocks earliest
+deadline first has placed before a time ``T`` follows from ``T`` alone
+(``served_by``), so no piece waits for the one before.
+
 Sources are a bounded list (``max_sources``; more are an error); a null source is
 one of its own.  Rows are numbered inside (source, hash bucket) groups with
 offsets from bucket counts, so a source with most of the rows is never one task.
@@ -22,107 +26,214 @@ offsets from bucket counts, so a source with most of the rows is never one task.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from decimal import Decimal
 from fractions import Fraction
+from functools import reduce
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelgrid.llm.shipping import ship_package
+
 BLOCK_ROWS = 32
-PERIOD = 1024
+PERIOD = 1024  # least number of places in a piece of a phase
 MAX_SOURCES = 10_000
 BUCKET_ROWS = 4_000
-BROADCAST_PLACES = 200_000  # rows; a longer place table is joined by shuffle
+BROADCAST_PLACES = 200_000  # blocks; a longer plan is made in Spark and joined by shuffle
+ROWS_AT_ONCE = 50_000
+SLOTS_AT_ONCE = 1 << 20
+PLACES = "phase int, source_no int, block long, rel long, due long, time long"
+
+
+def exact(weight) -> Fraction:
+    """The weight as a fraction; a float is the decimal number it prints as."""
+    return Fraction(weight) if isinstance(weight, (int, Fraction, Decimal)) else Fraction(str(float(weight)))
+
+
+def whole_weights(weights: list[Fraction]) -> list[int]:
+    """The same weights as integers without a common divisor."""
+    unit = reduce(lcm, (w.denominator for w in weights), 1)
+    whole = [int(w * unit) for w in weights]
+    common = reduce(gcd, whole)
+    return [w // common for w in whole]
+
 
+def served_by(time: int, shares: list[int]) -> list[int]:
+    """Blocks of each source that earliest deadline first has placed before ``time``, without going through it.
 
-def whole_weights(weights: list[float], period: int) -> list[int]:
-    """Shares of the period, at least 1 each, by largest remainder."""
-    total, n = sum(weights), len(weights)
-    spare = max(period, n) - n
-    exact = [w / total * spare for w in weights]
-    shares = [1 + int(x) for x in exact]
-    rest = max(period, n) - sum(shares)
-    for k in sorted(range(n), key=lambda k: (int(exact[k]) - exact[k], k))[:rest]:
-        shares[k] += 1
-    return shares
+    Blocks due by then are all placed.  Each source has at most one more released
+    block; of these the earliest deadlines win, as far as the places since their
+    releases leave room: from any ``s`` on there are ``time - s`` places, less
+    those of due blocks released at ``s`` or later.
+    """
+    total = sum(shares)
+    served = [w * time // total for w in shares]
+    spare = time - sum(served)
+    open_ = sorted((-(-(served[k] + 1) * total // w), k) for k, w in enumerate(shares) if w * time % total)
+    if spare == len(open_):
+        return [n + (w * time % total > 0) for n, w in zip(served, shares)]
+    release = {k: served[k] * total // shares[k] for _, k in open_}
+    levels = sorted(set(release.values()))
+    room = _room(time, shares, served, levels)
+    at = {s: i for i, s in enumerate(levels)}
+    for _, k in open_:
+        if not spare:
+            break
+        upto = at[release[k]] + 1
+        if room[:upto].min() > 0:
+            room[:upto] -= 1
+            served[k] += 1
+            spare -= 1
+    return served
+
+
+def _room(time: int, shares: list[int], due: list[int], levels: list[int]) -> np.ndarray:
+    """Least room from any ``s`` on, over the times ``s`` after the level before and up to each level."""
+    total, after, past = sum(shares), 0, time  # ``after``: due blocks released from ``past`` on
+    room = np.full(len(levels), np.iinfo(np.int64).max)
+    marks = np.array(levels, np.int64)
+    while past > levels[0]:
+        low = max(levels[0], past - SLOTS_AT_ONCE)
+        released = np.zeros(past - low, np.int64)
+        for w, n in zip(shares, due):
+            first, last = -(-w * low // total), min(-(-w * past // total), n)
+            if first < last:
+                kind = np.int64 if last * total < 1 << 62 else object
+                released[((np.arange(first, last).astype(kind) * total) // w - low).astype(np.int64)] += 1
+        behind = after + released[::-1].cumsum()[::-1]
+        times = np.arange(low, past)
+        level = np.searchsorted(marks, times)
+        known = level < len(levels)
+        np.minimum.at(room, level[known], (time - times - behind)[known])
+        after, past = int(behind[0]), low
+    return room
 
 
-def one_period(shares: list[int]) -> list[tuple[int, int, int, int]]:
-    """(source, release, deadline, time) of every block of one period, by time."""
+def schedule(shares: list[int], served: list[int], time: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, time) from ``time`` on without end, after ``served`` blocks of each source."""
     total = sum(shares)
-    release = lambda k, j: j * total // shares[k]
-    deadline = lambda k, j: -(-(j + 1) * total // shares[k])
-    waiting = [(0, k, 0) for k in range(len(shares))]
+    waiting = [(j * total // w, k, j) for k, (w, j) in enumerate(zip(shares, served))]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    placed = []
-    for now in range(total):
-        while waiting and waiting[0][0] <= now:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(k, j), k, j))
-        due, k, j = heapq.heappop(ready)
-        placed.append((k, release(k, j), due, now))
-        if j + 1 < shares[k]:
-            heapq.heappush(waiting, (release(k, j + 1), k, j + 1))
-    return placed
-
-
-def phases(blocks: list[int], weights: list[float], period: int) -> list[dict]:
-    """Phases of the whole mix: by source its share, first block and blocks served, and the schedule of one period."""
-    left, done, start, out = list(blocks), [0] * len(blocks), 0, []
+    ready: list[tuple[int, int, int, int]] = []
+    while True:
+        while waiting and waiting[0][0] <= time:
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // shares[k]), k, j, release))
+        due, k, j, release = heapq.heappop(ready)
+        yield k, j, release, due, time
+        heapq.heappush(waiting, ((j + 1) * total // shares[k], k, j + 1))
+        time += 1
+
+
+def piece_places(shares: list[int], period: int) -> int:
+    """Places of a piece: its start looks at every source and one block of the rarest back, which its places pay for."""
+    return max(period, 4 * len(shares), sum(shares) // min(shares) // 64)
+
+
+def phase_end(left: list[int], shares: list[int], period: int) -> tuple[int, list[int]]:
+    """Length of the phase in which the first source runs out, and the blocks that each source has in it."""
+    total, step = sum(shares), piece_places(shares, period)
+    low = min((n - 1) * total // w for n, w in zip(left, shares))  # before this no source can be out
+    high = min(-(-n * total // w) for n, w in zip(left, shares))
+    low = low if low > step else 0
+    served = served_by(low, shares) if low else [0] * len(shares)
+    while high - low > step:
+        middle = (low + high) // 2
+        then = served_by(middle, shares)
+        if any(a >= b for a, b in zip(then, left)):
+            high = middle
+        else:
+            low, served = middle, then
+    for k, _, _, _, time in schedule(shares, served, low):
+        served[k] += 1
+        if served[k] == left[k]:
+            return time + 1, served
+
+
+def walk_phases(blocks: list[int], weights: list, period: int = PERIOD) -> Iterator[dict]:
+    """Phases one by one: ``active`` sources, their integer weights (``shares`` of ``total``), first block and blocks served."""
+    target = [exact(w) for w in weights]
+    left, done, start = list(blocks), [0] * len(blocks), 0
     while any(left):
         active = [k for k, n in enumerate(left) if n]
-        shares = whole_weights([weights[k] for k in active], period)
-        placed = one_period(shares)
-        total = sum(shares)
-        times: list[list[int]] = [[] for _ in active]
-        for k, _, _, now in placed:
-            times[k].append(now)
-        ends = []
-        for k, source in enumerate(active):
-            cycles, last = divmod(left[source] - 1, shares[k])
-            ends.append(cycles * total + times[k][last] + 1)
-        length = min(ends)
-        served = []
-        for k in range(len(active)):
-            cycles, rest = divmod(length, total)
-            served.append(cycles * shares[k] + sum(t < rest for t in times[k]))
-        out.append({"start": start, "length": length, "total": total, "active": active, "shares": shares,
-                    "first": [done[s] for s in active], "served": served, "placed": placed})
+        shares = whole_weights([target[k] for k in active])
+        length, served = phase_end([left[k] for k in active], shares, period)
+        yield {"start": start, "length": length, "total": sum(shares), "active": active, "shares": shares,
+               "first": [done[s] for s in active], "served": served}
         for k, source in enumerate(active):
             left[source] -= served[k]
             done[source] += served[k]
         start += length
-    return out
-
-
-def _tables(spark: SparkSession, plan: list[dict]) -> tuple[DataFrame, DataFrame, int]:
-    """The plan as two tables: (source, phase) spans, and the places of one period of each phase; rows of the latter."""
-    spans, places = [], []
-    for number, phase in enumerate(plan):
-        for k, source in enumerate(phase["active"]):
-            if phase["served"][k]:
-                spans.append((number, source, phase["first"][k], phase["first"][k] + phase["served"][k],
-                              phase["start"], phase["total"], phase["shares"][k]))
-        seen = [0] * len(phase["active"])
-        for k, release, due, now in phase["placed"]:
-            if seen[k] < phase["served"][k]:
-                places.append((number, phase["active"][k], seen[k], release, due, now))
-            seen[k] += 1
-    return (spark.createDataFrame(spans, "phase int, source_no int, first long, past long, start long, total long, "
-                                         "share long"),
-            spark.createDataFrame(places, "phase int, source_no int, step long, rel long, due long, time long"),
-            len(places))
+
+
+def phases(blocks: list[int], weights: list, period: int = PERIOD) -> list[dict]:
+    """All phases of the mix (see ``walk_phases``)."""
+    return list(walk_phases(blocks, weights, period))
+
+
+def places_of(number: int, start: int, active: list[int], shares: list[int], first: list[int], begin: int,
+              end: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(phase, source, block, release, deadline, place) of the places ``begin`` to ``end`` of a phase."""
+    dealt = schedule(shares, served_by(begin, shares) if begin else [0] * len(shares), begin)
+    for _, (k, j, release, due, time) in zip(range(end - begin), dealt):
+        yield number, active[k], first[k] + j, start + release, start + due, start + time
+
+
+def _place_batches(batches):
+    """Pieces of phases (Arrow batches) to their places."""
+    names = [part.split()[0] for part in PLACES.split(", ")]
+    kinds = [pa.int32() if part.endswith("int") else pa.int64() for part in PLACES.split(", ")]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    for batch in batches:
+        for p in batch.to_pylist():
+            rows = []
+            for row in places_of(p["number"], p["start"], p["active"], [int(w) for w in p["shares"]], p["first"],
+                                 p["begin"], p["end"]):
+                rows.append(row)
+                if len(rows) == ROWS_AT_ONCE:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+
+def place_table(spark: SparkSession, blocks: list[int], weights: list, period: int, plan_blocks: int) -> DataFrame:
+    """One row per block of every source with its phase, release, deadline and place; made in Spark past ``plan_blocks``."""
+    places, pieces, here = [], [], sum(blocks) <= plan_blocks
+    for number, ph in enumerate(walk_phases(blocks, weights, period)):
+        if here:
+            places.extend(places_of(number, ph["start"], ph["active"], ph["shares"], ph["first"], 0, ph["length"]))
+            continue
+        step = piece_places(ph["shares"], period)
+        for begin in range(0, ph["length"], step):
+            pieces.append((number, ph["start"], begin, min(begin + step, ph["length"]), ph["active"],
+                           [str(w) for w in ph["shares"]], ph["first"]))
+    if here:
+        return F.broadcast(spark.createDataFrame(places, PLACES))
+    ship_package(spark)
+    made = spark.createDataFrame(pieces, "number int, start long, begin long, end long, active array<int>, "
+                                         "shares array<string>, first array<long>")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return made.repartition(n_parts).mapInArrow(_place_batches, PLACES)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS,
         period: int = PERIOD, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-        max_sources: int = MAX_SOURCES, carry: tuple[str, ...] = ()) -> DataFrame:
+        max_sources: int = MAX_SOURCES, carry: tuple[str, ...] = (), plan_blocks: int = BROADCAST_PLACES) -> DataFrame:
     """One row per input row: id, source, ``block``, ``phase``, ``release``, ``deadline``, ``place`` and ``row_in_block``.
 
     ``place`` numbers all blocks from 0 without gaps; release and deadline are
     absolute and hold ``release <= place < deadline``.  ``weights`` maps sources
     to positive numbers and must name every source; by default a source weighs
-    its block count to the power ``temperature``.  ``carry`` names further columns
+    its block count to the power ``temperature``.  ``period`` is the least number
+    of places that Spark schedules as one piece of a plan over ``plan_blocks``.  ``carry`` names further columns
     to take along.  Repeated rows take places of their own; ties in the shuffled
     order (equal id and text) are equal rows; null ids and texts are hashed like
     any other value; an empty table gives no rows.
@@ -137,10 +248,10 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     counts.sort(key=lambda r: (r[0] is None, str(r[0])))
     sources, sizes = [r[0] for r in counts], [r[1] for r in counts]
     blocks = [-(-n // block_rows) for n in sizes]
-    given = [float(weights[s]) for s in sources] if weights else [n ** temperature for n in blocks]
+    given = [weights[s] for s in sources] if weights else [n ** temperature for n in blocks]
     if any(w <= 0 for w in given):
         raise ValueError("weights must be positive")
-    spans, places, n_places = _tables(spark, phases(blocks, given, period))
+    places = place_table(spark, blocks, given, period, plan_blocks)
     n_buckets = [max(1, -(-n // BUCKET_ROWS)) for n in sizes]
     kind = docs.schema[source_col].dataType.simpleString()
     numbered = spark.createDataFrame([(s, k, b) for k, (s, b) in enumerate(zip(sources, n_buckets))],
@@ -156,16 +267,9 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     row_no = (F.col("before") + F.row_number().over(inside) - 1)
     placed = rows.join(offsets, ["source_no", "bucket"]).withColumn("__row", row_no)
     placed = placed.withColumn("block", F.floor(F.col("__row") / block_rows))
-    here = placed.join(F.broadcast(spans.withColumnRenamed("source_no", "__no")),
-                       (F.col("source_no") == F.col("__no")) & (F.col("block") >= F.col("first"))
-                       & (F.col("block") < F.col("past")))
-    here = (here.withColumn("cycle", F.floor((F.col("block") - F.col("first")) / F.col("share")))
-            .withColumn("step", F.pmod(F.col("block") - F.col("first"), F.col("share"))))
-    here = here.join(F.broadcast(places) if n_places <= BROADCAST_PLACES else places, ["phase", "source_no", "step"])
-    from_here = F.col("start") + F.col("cycle") * F.col("total")
+    here = placed.join(places, ["source_no", "block"])
     return here.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("block"), F.col("phase"),
-                       (from_here + F.col("rel")).alias("release"), (from_here + F.col("due")).alias("deadline"),
-                       (from_here + F.col("time")).alias("place"),
+                       F.col("rel").alias("release"), F.col("due").alias("deadline"), F.col("time").alias("place"),
                        F.pmod(F.col("__row"), F.lit(block_rows)).cast("int").alias("row_in_block"),
                        *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)])
 

@@ -8,6 +8,7 @@ import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -82,6 +83,42 @@ def test_mix_keeps_every_source_within_a_block(spark, docs_of):
         mixing.mix(docs, max_sources=2)
 
 
+@pytest.mark.parametrize("sizes, weights", [
+    ([10_000] + [50] * 100, [0.9] + [0.001] * 100), ([8000, 8000, 8000, 8000], [0.5, 0.2, 0.2, 0.1]),
+    ([40_000] + [20] * 1999, [1000] + [1 + k % 7 for k in range(1999)])])
+def test_mix_holds_the_given_weights(sizes, weights):
+    whole = [Fraction(str(w)) for w in weights]
+    target = [w / sum(whole) for w in whole]
+    first = next(iter(mixing.walk_phases(sizes, weights)))
+    assert len(first["active"]) == len(sizes)
+    assert all(abs(n - w * first["length"]) < 1 for n, w in zip(first["served"], target))
+    served = [0] * len(sizes)
+    for _, k, j, release, due, time in mixing.places_of(0, 0, first["active"], first["shares"], first["first"], 0,
+                                                        first["length"]):
+        assert j == served[k] and release <= time < due
+        served[k] += 1  # every block within its window: less than one block off at every time
+        assert abs(served[k] - target[k] * (time + 1)) < 1 and abs(j - target[k] * time) < 1
+    assert served == first["served"]
+
+
+def test_state_at_any_time_is_that_of_the_walk():
+    rng = random.Random(3)
+    for _ in range(20):
+        shares = [rng.choice([1, 2, 3, 7, 50, 1000]) for _ in range(rng.randint(1, 12))]
+        served = [0] * len(shares)
+        for (k, *_), time in zip(mixing.schedule(shares, [0] * len(shares), 0), range(400)):
+            assert mixing.served_by(time, shares) == served
+            served[k] += 1
+
+
+def test_long_plan_made_in_spark_equals_the_short_one(docs_of):
+    docs = docs_of([(k, f"t{k}", "abcd"[(k % 11 > 5) + (k % 7 > 4) + (k % 5 > 3)]) for k in range(1500)])
+    for weights in (None, {"a": 0.7, "b": 0.15, "c": 0.1, "d": 0.05}):
+        here = mixing.mix(docs, weights, block_rows=2, period=50).collect()
+        there = mixing.mix(docs, weights, block_rows=2, period=50, plan_blocks=10).collect()
+        assert sorted(map(tuple, here)) == sorted(map(tuple, there)) and len(there) == 1500
+
+
 def test_mixed_order_keeps_rows_and_order(docs_of, scratch, spark):
     docs = docs_of([(k, f"t{k}", "ab"[k % 5 == 0]) for k in range(400)])
     mixed = mixing.mixed_order(docs, block_rows=8, period=16)
