@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir), where
 ``docs`` is all that the stage before kept, and returns a DataFrame.  All but the
-last return the columns of ``documents``; the last returns the token ids.
+last return the columns of ``documents``; the last returns the token ids with
+``place``, the row's number in the order of the mix.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgrid.llm.merge_automaton import encode_decode
-from parcelgrid.llm.mixing import mixed_order
+from parcelgrid.llm.mixing import in_place_order, mixed_order, stored_place
 from parcelgrid.llm.quality_rules import keep_good
 from parcelgrid.llm.queries import tokenizer_path
 from parcelgrid.llm.rule_ensemble import fit_rules, keep_predicted_good, training_rows
@@ -43,10 +44,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digest of the text decoded from them."""
-    coded = encode_decode(docs, tokenizer_path())
-    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids of every document, with the digest of the text decoded from them.
+
+    ``docs`` is the mix as read from its files; their order is kept as ``place``
+    and by the written files, which are ranges of places.
+    """
+    placed, total = stored_place(docs)
+    coded = encode_decode(placed, tokenizer_path(), carry=("place",))
+    return in_place_order(coded.select("place", "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")), total)
 
 
 STAGES = [

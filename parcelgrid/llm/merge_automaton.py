@@ -228,12 +228,15 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> It
             yield batch.slice(at, rows)
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text and the text decoded from them (see the module's docstring)."""
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """Ids of every text and the text decoded from them (see the module's docstring); ``carry`` columns are taken along."""
     ship_package(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                         *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
     id_type = narrow.schema["id"].dataType.simpleString()
+    taken = "".join(f", __c{k} {narrow.schema[f'__c{k}'].dataType.simpleString()}" for k in range(len(carry)))
 
     def run(batches):
         codec = codec_for(spec.value)
@@ -241,10 +244,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             ids = [codec.encode(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                 pa.array([codec.decode(x) for x in ids], pa.string())], ["id", "n_tokens", "ids", "decoded"])
+                 pa.array([codec.decode(x) for x in ids], pa.string()), *batch.columns[2:]],
+                ["id", "n_tokens", "ids", "decoded", *batch.schema.names[2:]])
 
-    return (narrow.mapInArrow(run, f"id {id_type}, n_tokens long, ids binary, decoded string")
-            .withColumnRenamed("id", id_col))
+    return (narrow.mapInArrow(run, f"id {id_type}, n_tokens long, ids binary, decoded string{taken}")
+            .withColumnsRenamed({"id": id_col} | {f"__c{k}": c for k, c in enumerate(carry)}))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -26,6 +26,7 @@ offsets from bucket counts, so a source with most of the rows is never one task.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 from fractions import Fraction
@@ -284,3 +285,30 @@ def mixed_order(docs: DataFrame, **settings) -> DataFrame:
     part = F.least(F.floor(F.col("place") * n_parts / n_blocks), F.lit(n_parts - 1)).cast("int")
     return (placed.withColumn("__part", part).repartitionById(n_parts, "__part")
             .sortWithinPartitions("place", "row_in_block").select("__whole.*"))
+
+
+def stored_place(stored: DataFrame) -> tuple[DataFrame, int]:
+    """``stored``, a plain Parquet read of written files, with the row's number in file and row order as ``place``; rows.
+
+    A read deals the files to tasks by size, so the order of ``mixed_order``'s
+    files is taken from their part numbers and the rows' positions.  Only one
+    count per file goes to the driver.
+    """
+    rows = stored.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    sizes = rows.groupBy("__file").agg((F.max("__at") + 1).alias("n")).collect()
+    sizes.sort(key=lambda r: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"([0-9]+)", r[0])])
+    offsets, total = [], 0
+    for name, n in sizes:
+        offsets.append((name, total))
+        total += n
+    files = stored.sparkSession.createDataFrame(offsets, "__name string, __before long")
+    placed = rows.join(F.broadcast(files), F.col("__file") == F.col("__name"))  # a row per file
+    return placed.withColumn("place", F.col("__before") + F.col("__at")).drop("__file", "__at", "__name", "__before"), total
+
+
+def in_place_order(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``place`` from 0 to ``total`` - 1: partitions are ranges of places, sorted inside."""
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("place") * n_parts / F.lit(max(1, total))).cast("int")
+    return (rows.withColumn("__part", part).repartitionById(n_parts, "__part").sortWithinPartitions("place")
+            .drop("__part"))
