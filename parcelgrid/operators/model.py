@@ -13,6 +13,8 @@ no MLlib counterpart (kept in the grid table, not applied).
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ def model_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def gbt(label: str = "y_log", max_iter: int = 20, max_depth: int = 4, step: float = 0.1, subsample: float = 1.0,
+def gbt(label: str = "y_log", max_iter: int = FINAL_TREES, max_depth: int = 4, step: float = 0.1, subsample: float = 1.0,
         min_instances: int = 1):
     from pyspark.ml.regression import GBTRegressor
 
@@ -135,21 +137,31 @@ def gbt(label: str = "y_log", max_iter: int = 20, max_depth: int = 4, step: floa
                         minInstancesPerNode=min_instances, seed=SEED, checkpointInterval=10)
 
 
-def grid_search(train: DataFrame, grid_points, max_iter: int = 10, parallelism: int = 2):
-    """k-fold search over ``grid_points`` (list of dicts in the PARAM_GRID
-    vocabulary) with the ``fold`` column; RMSE on the log target (= RMSLE).
-    Returns the fitted CrossValidatorModel."""
+def grid_points(grid: dict = PARAM_GRID) -> list[dict]:
+    """Every combination of the grid's values."""
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def grid_search(train: DataFrame, points=None, max_iter: int = SEARCH_TREES, parallelism: int = 2):
+    """k-fold search over ``points`` (list of dicts in the PARAM_GRID
+    vocabulary; default: the whole grid) with the ``fold`` column; RMSE on the
+    log target (= RMSLE).  Returns the average RMSE by point and the fitted
+    CrossValidatorModel.  Points that differ only in ``lambda`` are one fit."""
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: F401
+    from pyspark.ml.tuning import CrossValidator
 
     est = gbt(max_iter=max_iter)
-    maps = []
-    for gp in grid_points:
-        maps.append({est.maxDepth: int(gp.get("max_depth", 4)), est.stepSize: float(gp.get("learning_rate", 0.1)),
-                     est.subsamplingRate: float(gp.get("subsample", 1.0)),
-                     est.minInstancesPerNode: int(gp.get("min_child_weight", 1)),
-                     est.minInfoGain: float(gp.get("gamma", 0.0))})
+    fits, of_point = {}, []
+    for gp in grid_points() if points is None else points:
+        share = float(gp.get("colsample_bytree", 1.0))
+        key = (int(gp.get("max_depth", 4)), float(gp.get("learning_rate", 0.1)), float(gp.get("subsample", 1.0)),
+               int(gp.get("min_child_weight", 1)), float(gp.get("gamma", 0.0)), "all" if share >= 1 else str(share))
+        of_point.append(fits.setdefault(key, len(fits)))
+    params = [est.maxDepth, est.stepSize, est.subsamplingRate, est.minInstancesPerNode, est.minInfoGain,
+              est.featureSubsetStrategy]
+    maps = [dict(zip(params, key)) for key in fits]
     ev = RegressionEvaluator(labelCol="y_log", predictionCol="pred_log", metricName="rmse")
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="cv_fold", numFolds=N_FOLDS,
                         parallelism=parallelism, seed=SEED, collectSubModels=False)
-    return cv.fit(train.withColumn("cv_fold", (F.col("fold") - 1).cast("int"))), maps
+    found = cv.fit(train.withColumn("cv_fold", (F.col("fold") - 1).cast("int")))
+    return [float(found.avgMetrics[k]) for k in of_point], found

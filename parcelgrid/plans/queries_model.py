@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelgrid.operators.indexing import positional_folds
-from parcelgrid.operators.model import (PARAM_GRID, assemble, assign_splits, early_stop_index, gbt, grid_search,
-                                        log_target, model_input, param_grid_rows, regression_metrics)
+from parcelgrid.operators.model import (FINAL_TREES, PARAM_GRID, PATIENCE, SEARCH_TREES, assemble, assign_splits,
+                                        early_stop_index, gbt, grid_points, grid_search, log_target, model_input,
+                                        param_grid_rows, regression_metrics)
 from parcelgrid.plans.registry import query
 from parcelgrid.session import ensure_checkpoint_dir, table
 
@@ -102,7 +103,7 @@ def q_metrics(spark, sf_dir):
                     F.round("rmsle", 6).alias("rmsle"), F.round("r2", 6).alias("r2"))
 
 
-def _fitted(spark, sf_dir, max_iter=20):
+def _fitted(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     data = _model_table(spark, sf_dir)
     prep, casted = assemble(data, FEATURES)
@@ -111,31 +112,31 @@ def _fitted(spark, sf_dir, max_iter=20):
 
 
 @query("q_gbt")
-def q_gbt(spark, sf_dir):
+def q_gbt(spark, sf_dir, trees: int = FINAL_TREES):
     """M3/M8: boosted trees on train + val, predictions back on the price scale."""
     rows = _fitted(spark, sf_dir)
-    model = gbt(max_iter=20).fit(rows.filter(F.col("split") != "test"))
+    model = gbt(max_iter=trees).fit(rows.filter(F.col("split") != "test"))
     return model.transform(rows).select("o_orderkey", "split", F.expm1("pred_log").alias("prediction"))
 
 
-CV_POINTS = [{"max_depth": 3, "learning_rate": 0.1}, {"max_depth": 4, "learning_rate": 0.1}]
-
-
 @query("q_cv")
-def q_cv(spark, sf_dir):
-    """M4/M5: k-fold search (RMSE on the log target) over a two-point slice of
-    the grid; one row per point with its rank (1 = best)."""
+def q_cv(spark, sf_dir, points: list[dict] | None = None, trees: int = SEARCH_TREES):
+    """M4/M5: k-fold search (RMSE on the log target) over ``points``, by default
+    the whole grid; one row per point with its rank (1 = best)."""
+    points = grid_points() if points is None else points
     rows = _fitted(spark, sf_dir)
-    cvm, _ = grid_search(rows.filter(F.col("fold").isNotNull()), CV_POINTS, max_iter=10)
+    errors, _ = grid_search(rows.filter(F.col("fold").isNotNull()), points, max_iter=trees)
     rows.unpersist()  # the search is done; only its metrics are returned
-    metrics = [(p["max_depth"], p["learning_rate"], float(m)) for p, m in zip(CV_POINTS, cvm.avgMetrics)]
-    ranked = sorted(range(len(metrics)), key=lambda i: metrics[i][2])
-    out = [(int(d), float(lr), m, ranked.index(i) + 1) for i, (d, lr, m) in enumerate(metrics)]
-    return spark.createDataFrame(out, "max_depth long, learning_rate double, avg_rmse double, rank long")
+    rank = {i: n + 1 for n, i in enumerate(sorted(range(len(points)), key=lambda i: errors[i]))}
+    names = [c for c in PARAM_GRID if any(c in p for p in points)]
+    kinds = {c: float if any(isinstance(v, float) for v in PARAM_GRID[c]) else int for c in names}
+    out = [(*[kinds[c](p[c]) if c in p else None for c in names], errors[i], rank[i]) for i, p in enumerate(points)]
+    types = [f"`{c}` {'double' if kinds[c] is float else 'long'}" for c in names]
+    return spark.createDataFrame(out, ", ".join([*types, "avg_rmse double", "rank long"]))
 
 
 @query("q_early_stop")
-def q_early_stop(spark, sf_dir, rounds: int = 30, patience: int = 5):
+def q_early_stop(spark, sf_dir, rounds: int = FINAL_TREES, patience: int = PATIENCE):
     """M7: fit, per-round validation error, patience rule, refit with the best
     number of trees; one row with the outcome."""
     rows = _fitted(spark, sf_dir)

@@ -1,8 +1,12 @@
 """Model steps: boosted trees learn a synthetic signal; splits and folds."""
 
+import inspect
+
+from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from parcelgrid.operators.model import assemble, assign_splits, gbt, model_input, regression_metrics
+from parcelgrid.operators.model import assemble, assign_splits, gbt, grid_points, model_input, regression_metrics
+from parcelgrid.plans import QUERIES
 
 
 def test_gbt_beats_mean_predictor(spark):
@@ -28,3 +32,19 @@ def test_split_shares_near_64_16_20(spark):
     assert abs(share["train"] - 0.64) < 0.02 and abs(share["val"] - 0.16) < 0.02 and abs(share["test"] - 0.20) < 0.02
     folds = {r.fold: r["count"] for r in s.filter("fold is not null").groupBy("fold").count().collect()}
     assert sorted(folds) == [1, 2, 3, 4, 5] and max(folds.values()) / min(folds.values()) < 1.15
+
+
+def test_model_queries_default_to_the_whole_job(spark):
+    default = {q: {k: p.default for k, p in inspect.signature(QUERIES[q]).parameters.items()}
+               for q in ("q_gbt", "q_cv", "q_early_stop")}
+    assert default["q_gbt"]["trees"] == 1000 and default["q_cv"]["trees"] == 500
+    assert (default["q_early_stop"]["rounds"], default["q_early_stop"]["patience"]) == (1000, 50)
+    assert default["q_cv"]["points"] is None and len(grid_points()) == 2916
+    some = [p for p in grid_points() if p["max_depth"] == 3 and p["min_child_weight"] == 1 and p["gamma"] == 0
+            and p["learning_rate"] == 0.1 and p["subsample"] == 0.9 and p["colsample_bytree"] in (0.7, 0.9)]
+    got = QUERIES["q_cv"](spark, SF_SMALL, points=some, trees=2).collect()
+    assert len(got) == 6 and sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5, 6]
+    by_share = {}
+    for r in got:
+        by_share.setdefault(r.colsample_bytree, set()).add(r.avg_rmse)
+    assert all(len(v) == 1 for v in by_share.values()) and by_share[0.7] != by_share[0.9]
