@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import member
+from parcelgrid.session import last_key_wins
 
 RESULT_ARRAYS = ["relaxedResults", "listResults", "mapResults"]
 
@@ -40,8 +41,10 @@ def unwrap_response(text) -> Column:
     * an object with ``cat1`` -> its ``cat1.searchResults`` (``{}`` if missing);
     * anything else -> null.
     VARIANT keeps object members sorted by key, so among several members of one
-    element that carry ``cat1`` the first by key name is taken.
+    element that carry ``cat1`` the first by key name is taken.  Of a repeated key
+    the last value counts.
     """
+    last_key_wins()
     v = F.try_parse_json(_c(text))
     arr = F.try_variant_get(v, "$", "array<variant>")
     # member lookups return null on non-objects, so they double as type tests

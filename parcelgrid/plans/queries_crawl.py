@@ -8,7 +8,7 @@ from parcelgrid.operators.dedupe import explode_results, master_list
 from parcelgrid.plans.registry import query
 from parcelgrid.plans.standins import tile_documents_from_pages
 from parcelgrid.session import table
-from parcelgrid.sources.tiles import parse_documents
+from parcelgrid.sources.tiles import parse_documents, warn_quarantined
 
 FIRST_WINS_SQL = r"""
 WITH h AS (
@@ -35,7 +35,8 @@ SELECT zpid, detailUrl, tile_file, type_rank, result_type, pos FROM (
 def q_first_wins(spark, sf_dir):
     """S1 -> V2 -> U10 -> U8 -> A2: first-wins master list over tile documents."""
     docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
-    parsed, _quarantine = parse_documents(docs)
+    parsed, quarantine = parse_documents(docs)
+    warn_quarantined(quarantine)
     items = explode_results(parsed, "doc", ["tile_file"])
     out = master_list(items, file_col="tile_file")
     return out.select("zpid", "detailUrl", "tile_file", F.col("type_rank").cast("long").alias("type_rank"),
@@ -59,7 +60,8 @@ def q_tile_files(spark, sf_dir):
     docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
     # each task writes its own tiles: spread the (one-row-per-tile) documents first
     docs.repartition("tile_file").write.mode("overwrite").partitionBy("tile_file").text(folder)
-    parsed, _quarantine = parse_documents(read_tile_folder(spark, folder))
+    parsed, quarantine = parse_documents(read_tile_folder(spark, folder))
+    warn_quarantined(quarantine)
     out = master_list(explode_results(parsed, "doc", ["tile_file"]), file_col="tile_file")
     return out.select("zpid", "detailUrl", "tile_file", F.col("type_rank").cast("long").alias("type_rank"),
                       "result_type", "pos")

@@ -17,9 +17,17 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
+def last_key_wins(spark: SparkSession | None = None) -> None:
+    """Make JSON parsing in this session keep the last value of a repeated key, as Python does (sessions not built here)."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "parcelgrid") -> SparkSession:
     """Local session for tests and the bench (clusters bring their own)."""

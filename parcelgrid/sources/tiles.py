@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelgrid.session import last_key_wins
+
 
 def read_text_documents(spark: SparkSession, path_glob: str, name_col: str = "file_name") -> DataFrame:
     """One row per file: ``(file_name, path, text)``.
@@ -26,8 +30,10 @@ def parse_documents(docs: DataFrame, text_col: str = "text", doc_col: str = "doc
     ``doc`` where the text is not JSON (such a row explodes to no items, so it
     is not filtered here: a filter on the parsed column would make Spark parse
     every document twice).  ``quarantine`` holds the unparsable rows with a
-    ``reason``.  Nothing is dropped silently.
+    ``reason``.  Nothing is dropped silently.  Of a repeated key the last value
+    counts (set in the session, so for its later parses too).
     """
+    last_key_wins(docs.sparkSession)
     parsed = docs.select(*[c for c in docs.columns if c != text_col],
                          F.try_parse_json(F.col(text_col)).alias(doc_col))
     bad = (docs.filter(F.try_parse_json(F.col(text_col)).isNull())
@@ -35,6 +41,14 @@ def parse_documents(docs: DataFrame, text_col: str = "text", doc_col: str = "doc
     return parsed, bad
 
 
+def warn_quarantined(quarantine: DataFrame) -> int:
+    """Count the quarantined documents and warn when there are any (one pass over the texts)."""
+    n = quarantine.count()
+    if n:
+        warnings.warn(f"{n} documents are not JSON and give no items", stacklevel=2)
+    return n
+
+
 def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
     """Houses from JSON-array documents (one array per document).
 
@@ -45,6 +59,7 @@ def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
     """
     from parcelgrid.functions.ids import member, truthy_text
 
+    last_key_wins(docs.sparkSession)
     arr = F.try_variant_get(F.try_parse_json(F.col(text_col)), "$", "array<variant>")
     items = docs.select(*key_cols, F.posexplode(arr).alias("pos", "item"))
     # member lookups are null on non-objects: the detailUrl test also drops them

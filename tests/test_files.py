@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelgrid.operators.inventory import distinct_listing_numbers, quarantine
@@ -109,3 +110,24 @@ def test_house_folder_sync_from_real_files(spark, scratch):
     assert sorted(r.zpid for r in sync_house_ledger(ledger, names).collect()) == ["1", "2"]
     assert spark.range(1).select(next_null_number(names)).first()[0] == 5
     assert list_files(spark, f"{scratch}/missing").count() == 0
+
+
+def test_repeated_json_keys_keep_the_last_value(spark, scratch):
+    from parcelgrid.functions.payload import array_count, unwrap_response
+    from parcelgrid.operators.dedupe import explode_results, master_list
+    from parcelgrid.sources.tiles import parse_documents, warn_quarantined
+
+    other = spark.newSession()  # a session without this library's settings
+    other.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    docs = other.createDataFrame([("a", '{"listResults": [], "listResults": [{"zpid": 1, "zpid": 2, "detailUrl": "/x"}]}'),
+                                  ("b", '{"listResults": [')], "tile_file string, text string")
+    parsed, bad = parse_documents(docs)
+    items = master_list(explode_results(parsed, "doc", ["tile_file"])).collect()
+    assert [(r.tile_file, r.zpid, r.detailUrl) for r in items] == [("a", "2", "https://www.zillow.com/x")]
+    assert [r.tile_file for r in bad.collect()] == ["b"]
+    with pytest.warns(UserWarning, match="1 documents"):
+        assert warn_quarantined(bad) == 1
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    text = '{"cat1": {}, "cat1": {"searchResults": {"mapResults": [], "mapResults": [1, 2]}}}'
+    found = spark.createDataFrame([(text,)], "t string").select(unwrap_response("t").alias("p"))
+    assert found.select(array_count("p", "mapResults")).first()[0] == 2
