@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelgrid.llm import mixing, sharding, warc
-from parcelgrid.llm.chat import format_chats
+from parcelgrid.llm.chat import format_chat_parts, format_chats, with_prefix_hashes
 from parcelgrid.llm.kmeans_tree import Tree, nearest_neighbours
 
 SF = "/root/testdata/sf0.01"
@@ -149,6 +149,26 @@ def test_chats_against_plain_prefixes(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversations_are_cut_to_buckets(spark):
+    rng = random.Random(4)
+    rows = [(None, rng.randint(0, 3), "user", rng.choice(["x", "y", None, "z" * 300])) for _ in range(400)]
+    rows += [(7, t, rng.choice(["user", "assistant"]), f"t{t % 5}") for t in range(300)]
+    rows += [(8, t, r, x) for _, t, r, x in rows[400:650]]  # a prefix of 7
+    rows += [(k, t, "user", "hi") for k in (20, 21) for t in range(3)] + [(9, 0, "user", "x")] * 90
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(tuple, format_chats(turns).collect()), key=str)
+    assert sorted(map(tuple, format_chats(turns, bucket_turns=16).collect()), key=str) == whole
+    assert {r[0] for r in whole} == {None, 7, 9, 20}
+    cut = with_prefix_hashes(turns, 16).groupBy("conv_id", "piece").count().collect()
+    assert max(r["count"] for r in cut) <= 16  # no group of a long conversation grows
+    assert format_chat_parts(turns).count() == len(whole)
+    parts = defaultdict(list)
+    for r in format_chat_parts(turns, bucket_turns=16, part_chars=200).collect():
+        assert len(r.rendered) <= 200 + 340
+        parts[r.conv_id, r.n_turns, r.n_copies].append((r.first_turn, r.rendered))
+    assert sorted(((*k, "".join(x for _, x in sorted(v))) for k, v in parts.items()), key=str) == whole
+
+
 def test_nearest_recall_and_scores(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = table.collect()
