@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgrid.llm.chat import format_chats
+from parcelgrid.llm.digest_runs import exact_duplicates
 from parcelgrid.llm.kmeans_tree import nearest_neighbours
 from parcelgrid.llm.merge_automaton import encode_decode
 from parcelgrid.llm.merge_counts import count_tokens
 from parcelgrid.llm.mixing import mix
+from parcelgrid.llm.phrases import mine_phrases
 from parcelgrid.llm.quality_rules import RULES, judge
 from parcelgrid.llm.rule_ensemble import fit_rules, score, training_rows
 from parcelgrid.llm.sharding import assign_shards
 from parcelgrid.llm.simhash import simhash_components
+from parcelgrid.llm.subvector_kmeans import cluster_vectors
 from parcelgrid.llm.textstats import STOP_FORMS, SYMBOLS
 from parcelgrid.llm.warc import archive_and_read
 from parcelgrid.session import ensure_checkpoint_dir, table
 
 N_SHARDS = 8
 TOKEN_LIMIT = 2048
+PHRASE_THRESHOLD, PHRASES_A_LANG = 100, 2000
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED, DIMENSIONS = 8, 10, 3, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -80,9 +85,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"), scratch_folder(spark, "warc"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"), PHRASE_THRESHOLD, PHRASES_A_LANG)
+
+
+def op12_subvector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED, DIMENSIONS)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_mixing, op3_bpe_automaton, op4_quality_rules, op5_chat_formatting, op6_nearest_neighbours,
-    op7_rule_ensemble, op8_simhash, op9_token_counts, op10_warc)}
+    op7_rule_ensemble, op8_simhash, op9_token_counts, op10_warc, op11_phrases, op12_subvector_kmeans,
+    op13_exact_dedup)}
 
 
 def quality_sql(source: str = "documents") -> str:
@@ -111,7 +129,69 @@ base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_f
 SELECT *, NOT base_failed AND {' AND '.join(rules)} AS kept FROM base"""
 
 
+def phrases_sql(threshold: int = PHRASE_THRESHOLD, top: int = PHRASES_A_LANG) -> str:
+    return rf"""
+WITH low AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+parts AS (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?
+-]')) AS part FROM low),
+pieces AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(part, '[^ 	]+') AS ws FROM parts),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+sized AS (SELECT lang, ws, unnest(generate_series(1, 5)) AS size FROM pieces),
+grams AS (SELECT lang, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM sized WHERE len(ws) >= size),
+f AS (SELECT lang, size, ws[i:i + size - 1] AS p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {threshold}),
+cuts AS (SELECT lang, size, p, f AS a, unnest(generate_series(1, size - 1)) AS k FROM f WHERE size > 1),
+scored AS (SELECT c.lang, c.size, c.p, c.a, c.k, x.f AS l, y.f AS r, t.n,
+    CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]
+  JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, size, p, f, unnest(generate_series(2, size - 1)) AS s FROM f WHERE size > 2),
+spots AS (SELECT lang, p, f, s, unnest(generate_series(1, size - s + 1)) AS i FROM longer),
+inside AS (SELECT lang, p[i:i + s - 1] AS p, max(f) AS above FROM spots GROUP BY ALL),
+kept AS (SELECT w.lang, array_to_string(w.p, ' ') AS phrase, a, l, r, n, score FROM weakest w
+  LEFT JOIN inside i ON i.lang = w.lang AND i.p = w.p WHERE above IS NULL OR 100 * above < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= {top}"""
+
+
+def clusters_sql(k: int = CLUSTERS, rounds: int = CLUSTER_ROUNDS, seed: int = CLUSTER_SEED, dims: int = DIMENSIONS) -> str:
+    def nearest(centroids: str) -> str:
+        return f"""
+SELECT rid, vec_id, x, min(struct_pack(d := list_sum(list_transform(range(1, {dims + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))),
+    cluster := cluster)) AS best FROM v, {centroids} GROUP BY rid, vec_id, x"""
+
+    steps = []
+    for n in range(rounds):
+        steps.append(f"""
+a{n} AS MATERIALIZED ({nearest(f'c{n}')}),
+s{n} AS (SELECT best.cluster AS cluster, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS m
+  FROM a{n}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY ALL),
+m{n} AS (SELECT cluster, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY i) AS c FROM s{n} GROUP BY cluster),
+c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (cluster)),""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda y: CAST(floor(1024 * y::DOUBLE) AS BIGINT)) AS x, embedding FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), embedding) - 1 AS cluster, x AS c
+  FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < {k}),{''.join(steps)}
+last AS MATERIALIZED ({nearest(f'c{rounds}')})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM (SELECT vec_id, best, best.cluster AS cluster FROM last) JOIN c{rounds} USING (cluster)"""
+
+
 LLM_ORACLES = {
+    "op11_phrases": phrases_sql(),
+    "op12_subvector_kmeans": clusters_sql(),
+    "op13_exact_dedup": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, length(coalesce(text, '')) AS points,
+    regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS body FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER same AS keep_id, first_value(rid) OVER same AS keep_rid,
+    count(*) OVER (PARTITION BY body) AS group_size
+  FROM t WINDOW same AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST, rid))
+SELECT doc_id, keep_id, group_size, rid = keep_rid AS kept, sha256(body) AS text_sha256 FROM r""",
     "op4_quality_rules": f"""
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
