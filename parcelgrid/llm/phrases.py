@@ -45,14 +45,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelgrid.llm.merge_automaton import in_slices
 from parcelgrid.llm.shipping import ship_package
 from parcelgrid.session import ensure_checkpoint_dir
 
 LONGEST = 5
-SHARDS = 4
+SHARDS = 3
 BLOCK_WORDS = 1 << 20
 FILTER_CELLS = 1 << 23  # a power of two
 SEGMENT_CELLS = 1 << 15
+ROWS_OUT = 1 << 16
 BREAK = b"\xff"  # in no UTF-8 text
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _SPLIT = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
@@ -66,9 +68,18 @@ def words_and_breaks(text: bytes) -> list[bytes]:
     return [w for w in text.split(b" ") if w]
 
 
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+
+
+BLOCKS = "lang string, words array<binary>, hashes binary, ids binary"
+
+
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang",
                  block_words: int = BLOCK_WORDS) -> None:
-    """Blocks (lang, words, ids) under ``folder``, by shard; ``ids`` are int32 bytes, -1 where a piece ends."""
+    """Blocks under ``folder``, by shard: the language, its ``words`` with their 64-bit ``hashes``,
+    and ``ids``, the texts as int32 places in ``words``, -1 where a piece ends."""
     narrow = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                          F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
                          F.spark_partition_id().alias("part"))
@@ -79,13 +90,15 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: s
 
         def blocks():
             shard = (part + flushed) % shards
+            listed = [list(numbers)[1:] for numbers, _ in held.values()]  # number 0 is the break
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard] * len(held), pa.int32()), pa.array(list(held), pa.string()),
-                 pa.array([list(numbers) for numbers, _ in held.values()], pa.list_(pa.binary())),
+                 pa.array(listed, pa.list_(pa.binary())),
+                 pa.array([_word_hashes(lang, words).tobytes() for lang, words in zip(held, listed)], pa.binary()),
                  pa.array([np.concatenate(ids).tobytes() for _, ids in held.values()], pa.binary())],
-                ["shard", "lang", "words", "ids"])
+                ["shard", "lang", "words", "hashes", "ids"])
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for lang, text, part in zip(*(c.to_pylist() for c in batch.columns)):  # noqa: B007
                 found = words_and_breaks(text)
                 if lang not in held:
@@ -102,7 +115,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: s
         if held:
             yield blocks()
 
-    coded = narrow.mapInArrow(encode, "shard int, lang string, words array<binary>, ids binary")
+    coded = narrow.mapInArrow(encode, f"shard int, {BLOCKS}")
     coded.write.partitionBy("shard").parquet(folder)
 
 
@@ -122,6 +135,7 @@ class PhraseFilter:
 
     def __init__(self, cells: int = FILTER_CELLS):
         self.cells = np.zeros((LONGEST - 1, cells), np.uint8)
+        self.latest = [0] * LONGEST  # by length: the last step at which any phrase got there
 
     def last_step(self, length: int, hashes: np.ndarray) -> np.ndarray:
         own = self.cells[length - 1]
@@ -129,55 +143,52 @@ class PhraseFilter:
         return np.where((a > 0) & (b > 0), np.maximum(a, b), 0)
 
 
-def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
-
-
 def _longer(hashes: np.ndarray, next_word: np.ndarray) -> np.ndarray:
     """Hash of a phrase and one more word."""
     mixed = hashes ^ (hashes >> np.uint64(29))
     return mixed * _SPREAD + next_word
 
 
-def count_block(lang: str, words: list[bytes], ids: np.ndarray, known: PhraseFilter, step: int, shards: int):
+def count_block(words: pa.Array, of_word: np.ndarray, ids: np.ndarray, known: PhraseFilter, step: int, shards: int):
     """(length, phrases, counts) of the phrases of a block that may be active in ``step`` (from 0).
 
-    A phrase may come more than once; its counts add up.
+    A phrase may come more than once; its counts add up.  A length without an active
+    phrase costs no look-up.
     """
-    if step < shards and len(words) > 1:
-        yield 1, pa.array(words[1:], pa.binary()), np.bincount(ids[ids >= 0], minlength=len(words) - 1)
-    if step == 0:
+    if step < shards and len(words):
+        yield 1, words, np.bincount(ids[ids >= 0], minlength=len(words))
+    lengths = [n for n in range(2, LONGEST + 1) if known.latest[n - 1] and known.latest[n - 1] + shards > step]
+    if not lengths or not len(words):
         return
-    listed = pa.array(words[1:], pa.binary())
-    at = np.flatnonzero(ids >= 0)
-    of_word = _word_hashes(lang, words[1:])
-    word_at = np.zeros(len(ids) + 1, np.uint64)
-    word_at[at] = of_word[ids[at]]
-    hashes = word_at[at]  # of the phrase of ``length - 1`` words that starts at ``at``
-    reached = np.zeros(len(ids) + 1, np.uint8)
-    for length in range(2, LONGEST + 1):
-        reached[:] = 0
-        reached[at] = known.last_step(length - 1, hashes)
-        # both subphrases reached the threshold, so neither holds a break
-        both = (reached[at] > 0) & (reached[at + 1] > 0)
-        at, hashes = at[both], hashes[both]
-        hashes = _longer(hashes, word_at[at + length - 1])
-        open_now = np.maximum(reached[at], reached[at + 1]).astype(np.int32) + shards > step
-        if not len(at):
-            return
-        own, of_own = at[open_now], hashes[open_now]
-        if not len(own):
-            continue
-        order = np.argsort(of_own, kind="stable")
-        own, of_own = own[order], of_own[order]
-        new = of_own[1:] != of_own[:-1]
-        for k in range(length):  # equal hashes of different phrases do not share a row
-            new |= ids[own[1:] + k] != ids[own[:-1] + k]
-        firsts = np.flatnonzero(np.concatenate([[True], new]))
-        counts = np.diff(np.append(firsts, len(own)))
-        parts = [listed.take(pa.array(ids[own[firsts] + k])) for k in range(length)]
-        yield length, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), counts
+    n = len(ids)
+    places = np.arange(n, dtype=np.int32)
+    next_break = np.minimum.accumulate(np.where(ids < 0, places, np.int32(n))[::-1])[::-1]
+    room = next_break - places  # words from here to the end of the piece
+    word_at = np.where(ids >= 0, of_word[ids], np.uint64(0))
+    hashes = word_at.copy()  # of the phrase of ``length - 1`` words from each place on
+    for length in range(2, min(max(lengths), n) + 1):
+        if length in lengths:
+            reached = np.zeros(n, np.uint8)
+            shorter = np.flatnonzero(room >= length - 1)
+            reached[shorter] = known.last_step(length - 1, hashes[shorter])
+            own = np.flatnonzero(room >= length)
+            first, rest = reached[own], reached[own + 1]
+            own = own[(first > 0) & (rest > 0) & (np.maximum(first, rest).astype(np.int32) + shards > step)]
+            if len(own):
+                yield length, *_grouped(words, ids, own, _longer(hashes[own], word_at[own + length - 1]), length)
+        hashes[:n - length + 1] = _longer(hashes[:n - length + 1], word_at[length - 1:])
+
+
+def _grouped(words: pa.Array, ids: np.ndarray, own: np.ndarray, hashes: np.ndarray, length: int):
+    """The phrases at the places ``own`` and how often each stands there."""
+    order = np.argsort(hashes)
+    own, hashes = own[order], hashes[order]
+    new = hashes[1:] != hashes[:-1]
+    for k in range(length):  # equal hashes of different phrases do not share a row
+        new |= ids[own[1:] + k] != ids[own[:-1] + k]
+    firsts = np.flatnonzero(np.concatenate([[True], new]))
+    parts = [words.take(pa.array(ids[own[firsts] + k])) for k in range(length)]
+    return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), np.diff(np.append(firsts, len(own)))
 
 
 def _phrase_hash(lang: str, phrase: bytes) -> tuple[int, np.uint64]:
@@ -194,17 +205,18 @@ def _counted(blocks: DataFrame, known: Broadcast, step: int, shards: int) -> Dat
 
     def scan(batches):
         for batch in batches:
-            for lang, words, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                for length, phrases, counts in count_block(lang, words, np.frombuffer(ids, np.int32), known.value, step,
-                                                           shards):
-                    for at in range(0, len(phrases), 1 << 16):
-                        part = phrases.slice(at, 1 << 16)
+            for row in range(batch.num_rows):  # one block at a time
+                lang, words, hashes, ids = (batch.column(c)[row] for c in range(4))
+                of_word, ids = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((hashes, np.uint64), (ids, np.int32)))
+                for length, phrases, counts in count_block(words.values, of_word, ids, known.value, step, shards):
+                    for at in range(0, len(phrases), ROWS_OUT):
+                        part, n = phrases.slice(at, ROWS_OUT), counts[at:at + ROWS_OUT].astype(np.int64)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int32))), part,
-                             pa.array(np.full(len(part), length, np.int32)),
-                             pa.array(counts[at:at + (1 << 16)].astype(np.int64))], ["lang", "phrase", "length", "n"])
+                            [pa.repeat(lang, len(part)), part, pa.array(np.full(len(part), length, np.int32)), pa.array(n)],
+                            ["lang", "phrase", "length", "n"])
 
-    return blocks.select("lang", "words", "ids").mapInArrow(scan, "lang string, phrase binary, length int, n long")
+    return (blocks.select("lang", "words", "hashes", "ids")
+            .mapInArrow(scan, "lang string, phrase binary, length int, n long"))
 
 
 def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
@@ -232,6 +244,7 @@ def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
     for r in segments.collect():
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=width).astype(bool)
         known.cells[r["length"] - 1, r["segment"] * width:(r["segment"] + 1) * width][bits] = step + 1
+        known.latest[r["length"]] = step + 1
 
 
 STATE = "lang string, phrase binary, length int, start int, n long, reach int"
@@ -240,7 +253,7 @@ STATE = "lang string, phrase binary, length int, start int, n long, reach int"
 def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, shards: int = SHARDS,
                   cells: int = FILTER_CELLS) -> DataFrame:
     """(lang, phrase, length, n): every phrase of 1 to 5 words with at least ``threshold`` occurrences, exactly counted."""
-    blocks = spark.read.schema("lang string, words array<binary>, ids binary, shard int").parquet(shard_folder)
+    blocks = spark.read.schema(f"{BLOCKS}, shard int").parquet(shard_folder)
     used = sorted(r["shard"] for r in blocks.select("shard").distinct().collect())  # at most ``shards`` numbers
     known = PhraseFilter(cells)
     state = spark.createDataFrame([], STATE)
@@ -327,5 +340,5 @@ def word_totals(spark, shard_folder: str) -> DataFrame:
             n = [int((np.frombuffer(ids, np.int32) >= 0).sum()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["lang", "n"])
 
-    blocks = spark.read.schema("lang string, words array<binary>, ids binary, shard int").parquet(shard_folder)
+    blocks = spark.read.schema(f"{BLOCKS}, shard int").parquet(shard_folder)
     return blocks.select("lang", "ids").mapInArrow(total, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
