@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from parcelgrid.llm.shipping import ship_package
 from parcelgrid.session import ensure_checkpoint_dir
 
+LIMB = 1 << 32
 SMALL = 1 << 25  # 64 squared gaps of components below it stay far within 64 bits
 LONG_MAX = (1 << 63) - 1
 SHARD_ROWS = 16_384
@@ -151,42 +153,45 @@ def write_shards(rows: DataFrame, folder: str, scale: int, block_dims: int, shar
     ordered.mapInPandas(encode, SHARD_TYPE.format(id=id_type)).write.parquet(folder)
 
 
-def _limbs(value: int) -> list[tuple[int, int]]:
-    """(place, limb): signed 32-bit limbs whose weighted sum is the value."""
-    sign, value, out, place = (-1 if value < 0 else 1), abs(value), [], 0
-    while value:
-        out.append((place, sign * (value & 0xFFFFFFFF)))
-        value >>= 32
-        place += 1
-    return out
+def _limbs(value: int) -> list[int]:
+    """The value's 32-bit limbs, lowest first; the last one is signed and holds the rest."""
+    out = []
+    while not -LIMB <= value < LIMB:
+        out.append(value % LIMB)
+        value //= LIMB
+    return [*out, value]
 
 
 def _round(shards: DataFrame, centroids: list[list[int]], block_dims: int) -> list[list[int]]:
     """The next centroids: componentwise exact floor of sum over size; an empty cluster's stays."""
-    k = len(centroids)
+    k, dims = len(centroids), len(centroids[0])
+    schema = pa.schema([("cluster", pa.int32()), ("place", pa.int32()), ("parts", pa.list_(pa.int64()))])
 
     def add(batches):
+        """A task's sums: for each cluster and limb place the limbs of its size and of all components."""
+        totals = [[0] * (dims + 1) for _ in range(k)]
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
                 shard = Shard(row, block_dims)
                 cluster, _ = shard.assign(centroids)
-                out += [(c, -1, 0, int(n)) for c, n in enumerate(np.bincount(cluster.astype(np.int64), minlength=k))]
-                out += [(c, d, place, limb) for c, row_sum in enumerate(shard.sums(cluster, k))
-                        for d, value in enumerate(row_sum) for place, limb in _limbs(value)]
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("cluster", "dim", "place", "part"), o)) for o in out],
-                                                 schema=pa.schema([("cluster", pa.int32()), ("dim", pa.int32()),
-                                                                   ("place", pa.int32()), ("part", pa.int64())]))
-
-    parts = shards.mapInArrow(add, "cluster int, dim int, place int, part long")
-    found = parts.groupBy("cluster", "dim", "place").agg(F.sum("part").alias("part")).collect()  # k x dims x few limbs
-    sums: dict[tuple[int, int], int] = {}
-    for r in found:
-        key = (r["cluster"], r["dim"])
-        sums[key] = sums.get(key, 0) + (r["part"] << (32 * r["place"]))
-    return [[sums.get((c, d), 0) // sums[c, -1] for d in range(len(old))] if sums.get((c, -1)) else old
-            for c, old in enumerate(centroids)]
+                sizes = np.bincount(cluster.astype(np.int64), minlength=k).tolist()
+                for total, size, own in zip(totals, sizes, shard.sums(cluster, k)):
+                    for at, value in enumerate([size, *own]):
+                        total[at] += value
+        out = []
+        for c, total in enumerate(totals):
+            if total[0]:
+                places = list(zip_longest(*map(_limbs, total), fillvalue=0))
+                out += [{"cluster": c, "place": p, "parts": list(parts)} for p, parts in enumerate(places)]
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    parts = shards.mapInArrow(add, "cluster int, place int, parts array<long>")
+    found = parts.groupBy("cluster", "place").agg(F.array(*[F.sum(F.col("parts")[d]) for d in range(dims + 1)]).alias("parts"))
+    sums = [[0] * (dims + 1) for _ in range(k)]
+    for r in found.collect():  # k clusters by a few limb places
+        for at, part in enumerate(r["parts"]):
+            sums[r["cluster"]][at] += part * LIMB ** r["place"]
+    return [[value // total[0] for value in total[1:]] if total[0] else old for total, old in zip(sums, centroids)]
 
 
 def usable_vectors(table: DataFrame, dims: int, id_col: str, vec_col: str) -> DataFrame:

@@ -78,4 +78,5 @@ def test_dictionaries_lose_nothing():
 
 def test_limbs_add_up():
     for v in (0, 1, -1, 2 ** 32, -2 ** 95 - 7, 10 ** 40):
-        assert sum(part << (32 * place) for place, part in S._limbs(v)) == v
+        assert sum(part << (32 * place) for place, part in enumerate(S._limbs(v))) == v
+        assert all(abs(part) <= 1 << 32 for part in S._limbs(v))
