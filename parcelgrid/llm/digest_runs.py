@@ -72,7 +72,8 @@ def _collapse(batches):
         firsts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         copies = np.add.reduceat(batch.column("copies").to_numpy(), firsts)
         run = batch.take(pa.array(firsts))
-        run = run.set_column(run.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+        run = pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()) if name == "copies" else run.column(name)
+                                          for name in batch.schema.names], schema=batch.schema)
         if run.num_rows > 1:
             yield run.slice(0, run.num_rows - 1)
         held = run.slice(run.num_rows - 1)
