@@ -18,3 +18,12 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and set(d["queries"]) == {"q_split", "q_profile"}
     assert abs(d["value"] - sum(d["queries"].values())) < 1e-6
+
+
+def test_bench_prints_what_it_has_when_its_limit_is_reached():
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_QUERIES="q_split,q_gbt", BENCH_LIMIT_S="40")
+    out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], env=env, capture_output=True, text=True,
+                         timeout=300, cwd="/")
+    d = json.loads(out.stdout)
+    assert out.returncode == 0 and "q_split" in d["queries"] and d["not_finished"] == ["q_gbt"], out.stderr[-2000:]
+    assert "q_split" in out.stderr
