@@ -3,8 +3,9 @@ early stopping and metrics (U17, U18, G4, M1-M9, A13, W4).
 
 The reference tuned an in-process boosted-tree library; here the same steps
 run as Spark jobs: deterministic hash splits instead of a shuffled index,
-``GBTRegressor`` for the trees, ``CrossValidator`` with a fold column for the
-search, and one aggregate for the metrics.  Parameter names map as
+``GBTRegressor`` for the trees, a search whose folds are stored as they end, and
+one aggregate for the metrics.  Search, refit and scoring are separate jobs: the
+search leaves a table, the refit a saved pipeline, and scoring loads it.  Parameter names map as
 max_depth -> maxDepth, learning_rate -> stepSize, subsample -> subsamplingRate,
 min_child_weight -> minInstancesPerNode, colsample_bytree ->
 featureSubsetStrategy (per node in MLlib), gamma -> minInfoGain; ``lambda`` has
@@ -13,9 +14,11 @@ no MLlib counterpart (kept in the grid table, not applied).
 
 from __future__ import annotations
 
+import time
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The search grid, split shares and seeds of the reference model.
@@ -33,6 +36,7 @@ N_FOLDS = 5
 SEARCH_TREES = 500
 FINAL_TREES, PATIENCE = 1000, 50
 SEED = 42
+ROWS_PER_PARTITION, ROWS_WORTH_A_TASK = 200_000, 10_000
 
 
 def log_target(df: DataFrame, target: str, out: str = "y_log") -> DataFrame:
@@ -105,27 +109,34 @@ def early_stop_index(errors, patience: int = PATIENCE):
     return best_i, len(errors) - 1
 
 
+def feature_stages(feature_cols, out: str = "features") -> list:
+    """Pipeline stages from raw columns to a vector: cast to double, impute medians (MLlib vectors reject NaN), assemble."""
+    from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+
+    doubles, filled = [f"{c}__d" for c in feature_cols], [f"{c}__f" for c in feature_cols]
+    casts = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{d}`" for c, d in zip(feature_cols, doubles))
+    return [SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"),
+            Imputer(inputCols=doubles, outputCols=filled, strategy="median"),
+            VectorAssembler(inputCols=filled, outputCol=out)]
+
+
 def assemble(df: DataFrame, feature_cols, out: str = "features"):
-    """Impute missing values (MLlib vectors reject NaN) and assemble a vector."""
+    """(fitted feature stages, the table to transform with them)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
 
-    filled = [f"{c}__f" for c in feature_cols]
-    casted = df.select("*", *[F.col(c).cast("double").alias(f"{c}__d") for c in feature_cols])
-    imputer = Imputer(inputCols=[f"{c}__d" for c in feature_cols], outputCols=filled, strategy="median")
-    vec = VectorAssembler(inputCols=filled, outputCol=out)
-    return Pipeline(stages=[imputer, vec]).fit(casted), casted
+    return Pipeline(stages=feature_stages(feature_cols, out)).fit(df), df
 
 
 def model_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread the assembled rows over the cluster and keep them (memory, then
-    disk): tree boosting reads its input once per round and per fold.  Small
-    inputs otherwise collapse to one partition after AQE coalescing, and every
-    round would then run on one core."""
+    """Keep the assembled rows (memory, then disk) in partitions sized by rows:
+    tree boosting reads its input once per round, so a small input should not be
+    many tiny tasks a round, and a large one must spill piece by piece."""
     from pyspark import StorageLevel
 
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    if partitions is None:
+        n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+        partitions = max(-(-n // ROWS_PER_PARTITION), min(cores, -(-n // ROWS_WORTH_A_TASK)), 1)
+    return df.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gbt(label: str = "y_log", max_iter: int = FINAL_TREES, max_depth: int = 4, step: float = 0.1, subsample: float = 1.0,
@@ -142,26 +153,141 @@ def grid_points(grid: dict = PARAM_GRID) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def grid_search(train: DataFrame, points=None, max_iter: int = SEARCH_TREES, parallelism: int = 2):
-    """k-fold search over ``points`` (list of dicts in the PARAM_GRID
-    vocabulary; default: the whole grid) with the ``fold`` column; RMSE on the
-    log target (= RMSLE).  Returns the average RMSE by point and the fitted
-    CrossValidatorModel.  Points that differ only in ``lambda`` are one fit."""
+def params_of(point: dict) -> tuple:
+    """What MLlib fits at a grid point; ``lambda`` has no counterpart, so points that differ only in it are one fit."""
+    share = float(point.get("colsample_bytree", 1.0))
+    return (int(point.get("max_depth", 4)), float(point.get("learning_rate", 0.1)), float(point.get("subsample", 1.0)),
+            int(point.get("min_child_weight", 1)), float(point.get("gamma", 0.0)), "all" if share >= 1 else str(share))
+
+
+def gbt_at(point: dict, max_iter: int):
+    """The boosted trees of a grid point."""
+    depth, step, subsample, instances, gain, subset = params_of(point)
+    return (gbt(max_iter=max_iter, max_depth=depth, step=step, subsample=subsample, min_instances=instances)
+            .setMinInfoGain(gain).setFeatureSubsetStrategy(subset))
+
+
+SEARCH_SCHEMA = ("fit string, trees int, fold int, n_train long, n_val long, train_rmse double, val_rmse double, "
+                 "seconds double")
+
+
+def grid_search(train: DataFrame, points=None, max_iter: int = SEARCH_TREES, parallelism: int = 2,
+                folder: str | None = None) -> DataFrame:
+    """k-fold search over ``points`` (list of dicts in the PARAM_GRID vocabulary;
+    default: the whole grid) with the ``fold`` column: one row per fit and fold with
+    the RMSE on the log target (= RMSLE) of its training and validation rows and
+    the seconds it took (``SEARCH_SCHEMA``; ``fit`` is the text of ``params_of``).
+
+    With ``folder`` every finished fold is appended there, and what is stored is not
+    fitted again: a search that was stopped, or lost its driver, goes on where it was.
+    Points that differ only in ``lambda`` are one fit.
+    """
+    from multiprocessing.pool import ThreadPool
+    from threading import Lock
+
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
-    est = gbt(max_iter=max_iter)
-    fits, of_point = {}, []
-    for gp in grid_points() if points is None else points:
-        share = float(gp.get("colsample_bytree", 1.0))
-        key = (int(gp.get("max_depth", 4)), float(gp.get("learning_rate", 0.1)), float(gp.get("subsample", 1.0)),
-               int(gp.get("min_child_weight", 1)), float(gp.get("gamma", 0.0)), "all" if share >= 1 else str(share))
-        of_point.append(fits.setdefault(key, len(fits)))
-    params = [est.maxDepth, est.stepSize, est.subsamplingRate, est.minInstancesPerNode, est.minInfoGain,
-              est.featureSubsetStrategy]
-    maps = [dict(zip(params, key)) for key in fits]
-    ev = RegressionEvaluator(labelCol="y_log", predictionCol="pred_log", metricName="rmse")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="cv_fold", numFolds=N_FOLDS,
-                        parallelism=parallelism, seed=SEED, collectSubModels=False)
-    found = cv.fit(train.withColumn("cv_fold", (F.col("fold") - 1).cast("int")))
-    return [float(found.avgMetrics[k]) for k in of_point], found
+    from pyspark.util import inheritable_thread_target
+
+    from parcelgrid.sources.ledgers import read_ledger
+
+    spark = train.sparkSession
+    wanted = {str(params_of(p)): p for p in (grid_points() if points is None else points)}
+    stored = read_ledger(spark, folder, SEARCH_SCHEMA).where(F.col("trees") == max_iter) if folder else \
+        spark.createDataFrame([], SEARCH_SCHEMA)
+    done = {(r["fit"], r["fold"]) for r in stored.select("fit", "fold").collect()}  # a row per fit of the search
+    rmse = RegressionEvaluator(labelCol="y_log", predictionCol="pred_log", metricName="rmse")
+    sizes = {r["fold"]: r["count"] for r in train.groupBy("fold").count().collect()}  # N_FOLDS rows
+    total, one_writer = sum(sizes.values()), Lock()
+
+    @inheritable_thread_target(spark)
+    def one(job):
+        name, fold = job
+        began = time.monotonic()
+        fit_rows, val_rows = train.filter(F.col("fold") != fold), train.filter(F.col("fold") == fold)
+        model = gbt_at(wanted[name], max_iter).fit(fit_rows)
+        row = (name, max_iter, fold, total - sizes[fold], sizes[fold], rmse.evaluate(model.transform(fit_rows)),
+               rmse.evaluate(model.transform(val_rows)), time.monotonic() - began)
+        if folder:
+            with one_writer:  # two writes at once would share, and one would clear, the folder's staging area
+                spark.createDataFrame([row], SEARCH_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        return row
+
+    jobs = [(name, fold) for name in wanted for fold in sorted(sizes) if (name, fold) not in done]
+    with ThreadPool(max(1, parallelism)) as pool:
+        rows = pool.map(one, jobs, chunksize=1)
+    if folder:
+        return read_ledger(spark, folder, SEARCH_SCHEMA).where((F.col("trees") == max_iter) & F.col("fit").isin(list(wanted)))
+    return spark.createDataFrame(rows, SEARCH_SCHEMA)
+
+
+def search_scores(results: DataFrame) -> DataFrame:
+    """Per fit: mean training and validation RMSE over its folds, and its rank (1: best, ties by the fit's text)."""
+    mean = results.groupBy("fit").agg(F.count("*").alias("folds"), F.avg("train_rmse").alias("train_rmse"),
+                                      F.avg("val_rmse").alias("val_rmse"), F.sum("seconds").alias("seconds"))
+    order = Window.orderBy("val_rmse", "fit")  # a row per fit: as many as the grid has points at most
+    return mean.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def best_point(results: DataFrame, points=None) -> dict:
+    """The first of ``points`` (default: the whole grid) whose fit has the smallest mean validation RMSE."""
+    best = search_scores(results).where("rank = 1").first()["fit"]
+    return next(p for p in (grid_points() if points is None else points) if str(params_of(p)) == best)
+
+
+def first_trees(model, n: int):
+    """The model of the first ``n`` rounds of a fitted one: boosting adds trees and changes no earlier one."""
+    from pyspark.ml.regression import GBTRegressionModel
+
+    fitted = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    all_trees, all_weights = fitted.trees(), fitted.treeWeights()
+    for k in range(n):
+        trees[k], weights[k] = all_trees[k], all_weights[k]
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(fitted.uid(), trees, weights, model.numFeatures)
+    return GBTRegressionModel(cut).setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
+def fit_with_early_stop(fit_rows: DataFrame, stop_rows: DataFrame, point: dict | None = None, rounds: int = FINAL_TREES,
+                        patience: int = PATIENCE, first: int = 64):
+    """``(model, best_index, stop_index)`` of boosting until ``patience`` rounds brought no better validation error.
+
+    MLlib cannot stop by patience while it fits, so rounds are fitted in growing
+    runs (``first``, then twice as many, ``rounds`` at most) until the rule stops
+    inside one.  A longer run begins with the trees of the shorter one, so the
+    outcome is that of one run of ``rounds``; the model is cut to its best round.
+    """
+    n = min(first, rounds)
+    while True:
+        model = gbt_at(point or {}, n).fit(fit_rows)
+        errors = [e ** 0.5 for e in model.evaluateEachIteration(stop_rows, "squared")]
+        best, stop = early_stop_index(errors, patience)
+        if n == rounds or stop - best >= patience:
+            return first_trees(model, best + 1), best, stop
+        n = min(2 * n, rounds)
+
+
+def save_model(stages, model, folder: str) -> None:
+    """One loadable artefact: the fitted feature stages and the trees."""
+    from pyspark.ml import PipelineModel
+
+    PipelineModel(stages=[*stages.stages, model]).write().overwrite().save(folder)
+
+
+def load_model(folder: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(folder)
+
+
+def report_splits(model, rows: DataFrame, split: str = "split", mean_of: str = "train") -> DataFrame:
+    """Metrics of a loaded model per split of a raw table with ``y_log``, beside those
+    of the mean log price of the ``mean_of`` rows: ``split, n, mae, rmse, rmsle, r2,
+    mean_rmsle, beats_mean``."""
+    scored = model.transform(rows).select(split, "y_log", "pred_log")
+    ours = regression_metrics(scored, by=[split])
+    mean = rows.filter(F.col(split) == mean_of).select(F.avg("y_log")).scalar()
+    base = (rows.select(split, "y_log").withColumn("gap", F.pow(F.col("y_log") - mean, 2))
+            .groupBy(split).agg(F.sqrt(F.avg("gap")).alias("mean_rmsle")))
+    return ours.join(base, split).withColumn("beats_mean", F.col("rmsle") < F.col("mean_rmsle"))
