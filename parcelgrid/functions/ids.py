@@ -94,6 +94,6 @@ def file_stem(name_col) -> Column:
 
 
 def year_from_file(name_col) -> Column:
-    """Year from ``<digits>.png`` file names, else null."""
+    """Year from ``<digits>.png`` file names, else null (also for digits past an int)."""
     y = F.regexp_extract(_c(name_col), r"^([0-9]+)\.png$", 1)
-    return F.when(y != "", y.cast("int"))
+    return F.when(y != "", y.try_cast("int"))

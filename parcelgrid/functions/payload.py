@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import member
-from parcelgrid.session import last_key_wins
+from parcelgrid.session import check_last_key_wins
 
 RESULT_ARRAYS = ["relaxedResults", "listResults", "mapResults"]
 
@@ -44,7 +44,7 @@ def unwrap_response(text) -> Column:
     element that carry ``cat1`` the first by key name is taken.  Of a repeated key
     the last value counts.
     """
-    last_key_wins()
+    check_last_key_wins()
     v = F.try_parse_json(_c(text))
     arr = F.try_variant_get(v, "$", "array<variant>")
     # member lookups return null on non-objects, so they double as type tests

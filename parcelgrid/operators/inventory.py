@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import year_from_file
 from parcelgrid.functions.text import blank_to_null, strip_float_suffix
+from parcelgrid.operators.indexing import ranked
 
 # The one stray file the dataset cleanup removes.
 QUARANTINE_FILES = [("20851", "test_year.txt")]
@@ -46,7 +47,8 @@ def folder_inventory(files: DataFrame, folder: str = "folder", name: str = "file
 
 def year_combos(files: DataFrame, folder: str = "folder", name: str = "file_name") -> DataFrame:
     """How many folders hold each set of years (``<year>.png`` files); folders
-    without year files are skipped.  Most common first, ties by the years.
+    without year files are skipped.  ``rank`` (from 1) is the most common first,
+    ties by the years; ``total`` is the number of sets.
 
     Years are made distinct per folder first, so the per-folder list is bounded
     by the number of distinct years, not by the number of files.
@@ -54,14 +56,15 @@ def year_combos(files: DataFrame, folder: str = "folder", name: str = "file_name
     years = (files.select(folder, year_from_file(F.col(name)).alias("year")).filter(F.col("year").isNotNull())
              .distinct())
     per_folder = years.groupBy(folder).agg(F.array_sort(F.collect_list("year")).alias("years"))
-    return (per_folder.groupBy("years").agg(F.count(F.lit(1)).alias("n_folders"))
+    sets = (per_folder.groupBy("years").agg(F.count(F.lit(1)).alias("n_folders"))
             .select(F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("years"),
                     "n_folders"))
+    return ranked(sets, [F.desc("n_folders"), "years"])
 
 
 def distinct_file_names(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """Distinct file names across all folders (sort on read if needed)."""
-    return files.select(name).distinct()
+    """Distinct file names across all folders, with their ``rank`` by name and the ``total``."""
+    return ranked(files.select(name).distinct(), [name])
 
 
 def folder_count(files: DataFrame, folder: str = "folder"):
@@ -69,6 +72,13 @@ def folder_count(files: DataFrame, folder: str = "folder"):
     return files.select(F.count_distinct(folder)).scalar()
 
 
-def file_listing(files: DataFrame, name: str = "file_name", size: str = "size", n: int = 5) -> DataFrame:
-    """The first ``n`` names by sort with size in KB (a top-n report)."""
-    return files.orderBy(name).limit(n).select(name, F.round(F.col(size) / 1024, 1).alias("size_kb"))
+def sorted_listing(files: DataFrame, name: str = "file_name", size: str = "size", n: int = 5, ties=()) -> DataFrame:
+    """Every file in name order, then by the ``ties`` columns: ``rank`` (from 1), size
+    in KB, the ``total`` number of files, and ``n_more``, the files after the first ``n``."""
+    listed = ranked(files.select(name, *ties, F.round(F.col(size) / 1024, 1).alias("size_kb")), [name, *ties])
+    return listed.withColumn("n_more", F.greatest(F.col("total") - n, F.lit(0)).cast("long"))
+
+
+def file_listing(files: DataFrame, name: str = "file_name", size: str = "size", n: int = 5, ties=()) -> DataFrame:
+    """The first ``n`` files of ``sorted_listing`` (a top-n report)."""
+    return sorted_listing(files, name, size, n, ties).filter(F.col("rank") <= n)

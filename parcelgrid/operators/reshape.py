@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,14 +47,31 @@ def listing_filter(df: DataFrame, bounds: dict, columns: dict) -> DataFrame:
     maps ``<name>`` to a column.  Bounds are literals, so the predicate reaches
     the Parquet scan as pushed filters.
     """
-    cond = F.lit(True)
-    for name, col in columns.items():
-        lo, hi = bounds.get(f"min_{name}"), bounds.get(f"max_{name}")
-        if lo is not None:
-            cond = cond & (F.col(col) >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col(col) <= F.lit(hi))
-    return df.filter(cond)
+    return df.filter(_within(bounds, columns))
+
+
+def _within(bounds: dict, columns: dict) -> F.Column:
+    tests = [F.col(col) >= F.lit(bounds[f"min_{name}"]) for name, col in columns.items()
+             if bounds.get(f"min_{name}") is not None]
+    tests += [F.col(col) <= F.lit(bounds[f"max_{name}"]) for name, col in columns.items()
+              if bounds.get(f"max_{name}") is not None]
+    return functools.reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+
+def listing_filter_sets(df: DataFrame, sets, columns: dict, set_col: str = "set_id") -> DataFrame:
+    """``listing_filter`` for several bound sets, ``(set_id, bounds)`` pairs, in one
+    scan: a row comes back once for each set it lies in, with the set's id first.
+
+    The sets are parameters, a few written by hand: they become one array per row
+    that is exploded.  What lies in no set is filtered first, by a predicate over
+    the columns that reaches the scan unless a set is open on all sides.
+    """
+    inside = [F.coalesce(_within(bounds, columns), F.lit(False)) for _, bounds in sets]
+    if not inside:
+        return df.select(F.lit(None).cast("long").alias(set_col), "*").limit(0)
+    hits = F.array_compact(F.array(*[F.when(hit, F.lit(set_id).cast("long")) for hit, (set_id, _) in zip(inside, sets)]))
+    any_set = functools.reduce(lambda a, b: a | b, [_within(bounds, columns) for _, bounds in sets])
+    return df.filter(any_set).select(F.explode(hits).alias(set_col), "*")
 
 
 def filter_state_entries(state: F.Column) -> F.Column:

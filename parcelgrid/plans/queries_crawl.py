@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from parcelgrid.operators.dedupe import explode_results, master_list
 from parcelgrid.plans.registry import query
-from parcelgrid.plans.standins import tile_documents_from_pages
+from parcelgrid.plans.standins import scratch_folder, tile_documents_from_pages
 from parcelgrid.session import table
-from parcelgrid.sources.tiles import parse_documents, warn_quarantined
+from parcelgrid.sinks.writers import write_tile_store
+from parcelgrid.sources.tiles import observe_rejects, parsed_documents, split_documents
 
 FIRST_WINS_SQL = r"""
 WITH h AS (
@@ -31,37 +32,52 @@ SELECT zpid, detailUrl, tile_file, type_rank, result_type, pos FROM (
 """
 
 
+def _master(parsed):
+    out = master_list(explode_results(parsed, "doc", ["tile_file"]), file_col="tile_file")
+    return out.select("zpid", "detailUrl", "tile_file", F.col("type_rank").cast("long").alias("type_rank"),
+                      "result_type", "pos")
+
+
 @query("q_first_wins", FIRST_WINS_SQL)
 def q_first_wins(spark, sf_dir):
-    """S1 -> V2 -> U10 -> U8 -> A2: first-wins master list over tile documents."""
+    """S1 -> V2 -> U10 -> U8 -> A2: first-wins master list over tile documents.  The
+    rejected documents are counted by the pass that reads them (``observe``)."""
     docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
-    parsed, quarantine = parse_documents(docs)
-    warn_quarantined(quarantine)
-    items = explode_results(parsed, "doc", ["tile_file"])
-    out = master_list(items, file_col="tile_file")
-    return out.select("zpid", "detailUrl", "tile_file", F.col("type_rank").cast("long").alias("type_rank"),
-                      "result_type", "pos")
+    counted, _seen = observe_rejects(parsed_documents(docs))
+    return _master(counted)
 
 
-@query("q_tile_files", FIRST_WINS_SQL)
-def q_tile_files(spark, sf_dir):
-    """S1 on real files: the tile documents are written one file per tile into
-    a folder under ``spark.checkpoint.dir``, read back with the whole-text file
-    source (file name from the path), parsed, and deduped.  Same result as
-    ``q_first_wins``.  The folder is keyed by the source tables and
-    overwritten, so repeated runs do not pile up files."""
-    import hashlib
+@query("q_quarantine", r"""
+WITH t AS (SELECT page_id, 'tile_' || lpad(CAST(page_id AS VARCHAR), 8, '0') || '.json' AS tile_file FROM pages)
+SELECT tile_file, CASE page_id % 50 WHEN 7 THEN 'unparsable JSON' WHEN 8 THEN 'empty document'
+                       WHEN 9 THEN 'empty document' ELSE 'not an object' END AS reason,
+       CAST(CASE page_id % 50 WHEN 7 THEN 40 WHEN 8 THEN NULL WHEN 9 THEN 3 WHEN 10 THEN 4 ELSE 7 END AS BIGINT) AS n_chars,
+       (SELECT count(*) FROM t WHERE page_id % 50 NOT BETWEEN 7 AND 11) AS n_accepted
+FROM t WHERE page_id % 50 BETWEEN 7 AND 11""")
+def q_quarantine(spark, sf_dir):
+    """V2/K8: rejected tile documents with their reasons, and the number accepted, from one
+    parse written once for both sides.  Besides the truncated documents some are
+    missing, blank, null, or an array."""
+    docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
+    number = F.substring("tile_file", 6, 8).cast("long") % 50
+    docs = docs.withColumn("text", F.when(number == 8, F.lit(None)).when(number == 9, F.lit(" \t\n"))
+                           .when(number == 10, F.lit("null")).when(number == 11, F.lit('[{}, 1]'))
+                           .otherwise(F.col("text")))
+    accepted, rejected = split_documents(parsed_documents(docs), scratch_folder(spark, sf_dir, "quarantine"))
+    return rejected.select("tile_file", "reason", F.char_length("rejected_text").cast("long").alias("n_chars"),
+                           accepted.select(F.count(F.lit(1))).scalar().alias("n_accepted"))
 
-    from parcelgrid.session import ensure_checkpoint_dir
-    from parcelgrid.sources.tiles import read_tile_folder
 
-    key = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:16]
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parcelgrid-tiles/{key}"
+@query("q_tile_files", FIRST_WINS_SQL)
+def q_tile_files(spark, sf_dir):
+    """S1/K1 on real files: the tile documents go to a store that keeps many documents a
+    file, by a coarse bucket of their key; a second write replaces every other one by
+    its own key; what is read back is parsed and deduped.  Same result as ``q_first_wins``."""
+    folder = scratch_folder(spark, sf_dir, "tiles")
     docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
-    # each task writes its own tiles: spread the (one-row-per-tile) documents first
-    docs.repartition("tile_file").write.mode("overwrite").partitionBy("tile_file").text(folder)
-    parsed, quarantine = parse_documents(read_tile_folder(spark, folder))
-    warn_quarantined(quarantine)
-    out = master_list(explode_results(parsed, "doc", ["tile_file"]), file_col="tile_file")
-    return out.select("zpid", "detailUrl", "tile_file", F.col("type_rank").cast("long").alias("type_rank"),
-                      "result_type", "pos")
+    odd = F.substring("tile_file", 6, 8).cast("long") % 2 == 1
+    stale = docs.withColumn("text", F.when(odd, F.lit("{}")).otherwise(F.col("text")))
+    write_tile_store(stale, folder, "tile_file")
+    write_tile_store(docs.filter(odd), folder, "tile_file")
+    counted, _seen = observe_rejects(parsed_documents(spark.read.parquet(folder).select("tile_file", "text")))
+    return _master(counted)

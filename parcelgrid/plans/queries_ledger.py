@@ -6,13 +6,17 @@ Stand-ins (SURVEY 7.4): links and ledgers from ``customer`` / ``orders`` /
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.ids import first_id
 from parcelgrid.operators.ledger import (assign_null_ids, empty_tile_check, insert_if_absent, sync_house_ledger,
-                                         unvisited, unvisited_houses)
+                                         unvisited, unvisited_houses, visited_house_entries)
 from parcelgrid.plans.registry import query
-from parcelgrid.session import table
+from parcelgrid.session import ensure_checkpoint_dir, table
+from parcelgrid.sinks.writers import append_ledger
+from parcelgrid.sources.ledgers import corrupt_files, read_ledger
 
 URL_BASE = "https://h.example/c/"
 
@@ -124,6 +128,36 @@ def q_ledger_totals(spark, sf_dir):
         urls.select(F.count_distinct("url")).scalar().alias("urls_visited"))
 
 
+@query("q_ledger_append", f"""
+SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F') AS tiles_visited,
+       (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R') AS houses_visited,
+       (SELECT count(DISTINCT '{URL_BASE}' || CAST(l_partkey AS VARCHAR)) FROM lineitem
+         WHERE l_returnflag = 'R' AND l_partkey % 5 <> 0) AS urls_visited,
+       CAST(1 AS BIGINT) AS corrupt_files, CAST(0 AS BIGINT) AS absent_ledger""")
+def q_ledger_append(spark, sf_dir):
+    """K4/K5/S8 through real files: the tile ledger is appended twice by two runs, with a
+    corrupt file among its files; the house ledgers get the entries of a saved batch;
+    all are read back as sets, and a ledger nobody wrote as empty."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgers-{uuid.uuid4().hex}"
+    tiles = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("idx"))
+    for run in ("run-1", "run-2"):
+        append_ledger(tiles, f"{base}/tiles", run)
+    spark.range(1).select(F.lit("this is no ledger").alias("value")).write.mode("append").text(f"{base}/tiles")
+    saved = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").cast("string").alias("zpid"),
+        F.when(F.col("l_partkey") % 5 == 0, F.lit("")).otherwise(_house_url("l_partkey")).alias("detailUrl"))
+    for name, rows in zip(("ids", "urls"), visited_house_entries(saved)):
+        append_ledger(rows, f"{base}/{name}", "run-1")
+    known = {"tiles": ("idx long, run_id string", "idx"), "ids": ("zpid string, run_id string", "zpid"),
+             "urls": ("url string, run_id string", "url"), "never_written": ("idx long, run_id string", "idx")}
+    n = {name: read_ledger(spark, f"{base}/{name}", schema, [key]).select(F.count(key)).scalar()
+         for name, (schema, key) in known.items()}
+    corrupt = corrupt_files(spark, f"{base}/tiles", known["tiles"][0]).select(F.count("path")).scalar()
+    return spark.range(1).select(n["tiles"].alias("tiles_visited"), n["ids"].alias("houses_visited"),
+                                 n["urls"].alias("urls_visited"), corrupt.alias("corrupt_files"),
+                                 n["never_written"].alias("absent_ledger"))
+
+
 @query("q_empty_tiles", """
 WITH t AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) + 0.5 AS ne_lat,
                   -CAST(s_suppkey % 7 AS DOUBLE) - 0.25 AS sw_long, s_suppkey % 4 AS hc FROM supplier),

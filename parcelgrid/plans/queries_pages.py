@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelgrid.functions.ids import coalesce_id
 from parcelgrid.functions.pages import detail_gate, next_data_text, page_health
 from parcelgrid.functions.payload import array_count, result_array, unwrap_response
-from parcelgrid.operators.reshape import filter_state_entries, flatten_sections, listing_filter, summary_columns
+from parcelgrid.operators.reshape import filter_state_entries, flatten_sections, listing_filter_sets, summary_columns
 from parcelgrid.operators.scores import score_texts
 from parcelgrid.plans.registry import query
 from parcelgrid.session import table
@@ -274,11 +274,7 @@ SELECT CAST(1 AS BIGINT) AS set_id, p_partkey FROM part WHERE p_size >= 10 AND p
 UNION ALL SELECT 2, p_partkey FROM part
 UNION ALL SELECT 3, p_partkey FROM part WHERE p_size BETWEEN 5 AND 20 AND p_retailprice BETWEEN 900.0 AND 950.0""")
 def q_range_filter(spark, sf_dir):
-    """Listing predicate with open (None) bounds, one filter per bound set."""
+    """Listing predicate with open (None) bounds; all bound sets in one scan."""
     part = table(spark, sf_dir, "part")
     cols = {"size": "p_size", "price": "p_retailprice"}
-    out = None
-    for set_id, bounds in RANGE_SETS:
-        df = listing_filter(part, bounds, cols).select(F.lit(set_id).cast("long").alias("set_id"), "p_partkey")
-        out = df if out is None else out.unionByName(df)
-    return out
+    return listing_filter_sets(part, RANGE_SETS, cols).select("set_id", "p_partkey")

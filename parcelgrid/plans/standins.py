@@ -8,13 +8,24 @@ oracle SQL string.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelgrid.session import ensure_checkpoint_dir
+
 HREF_RX = r'href="(/[^"]*)"'
 ARRAY_OF_POS = {0: "listResults", 1: "mapResults", 2: "relaxedResults"}
 
 
+def scratch_folder(spark, sf_dir: str, name: str) -> str:
+    """A folder on the session's shared storage for the files a query writes and reads
+    back, one per query and source tables: a repeated run replaces its files."""
+    key = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/parcelgrid-{name}/{key}"
+
+
 def tile_documents_from_pages(pages: DataFrame) -> DataFrame:
     """One tile result document per page: ``(tile_file, text)``.
 

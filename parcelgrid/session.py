@@ -17,15 +17,25 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",  # LAST_KEY_WINS
 }
 
 
-def last_key_wins(spark: SparkSession | None = None) -> None:
-    """Make JSON parsing in this session keep the last value of a repeated key, as Python does (sessions not built here)."""
+LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Give a session that was not built here the setting its JSON parses rely on:
+    of a repeated key the last value counts, as in Python."""
+    spark.conf.set(LAST_KEY_WINS, "true")
+    return spark
+
+
+def check_last_key_wins(spark: SparkSession | None = None) -> None:
+    """Parsing helpers check the setting and change nothing: they may only build a plan."""
     spark = spark or SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if spark is not None and spark.conf.get(LAST_KEY_WINS, "false").lower() != "true":
+        raise RuntimeError(f"this parse needs {LAST_KEY_WINS}=true: call parcelgrid.session.prepare_session(spark)")
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -62,5 +72,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one of the driver's parquet tables, in a session prepared for this library's parses."""
+    return prepare_session(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgrid.session import last_key_wins
+from parcelgrid.session import check_last_key_wins
 
 
 def read_text_documents(spark: SparkSession, path_glob: str, name_col: str = "file_name") -> DataFrame:
@@ -23,32 +23,66 @@ def read_text_documents(spark: SparkSession, path_glob: str, name_col: str = "fi
                     F.col("value").alias("text")))
 
 
+def parsed_documents(docs: DataFrame, text_col: str = "text", doc_col: str = "doc") -> DataFrame:
+    """Every document parsed once: ``doc`` (VARIANT) or ``reason`` and ``rejected_text``.
+
+    ``reason`` is null for a JSON object, else ``empty document`` (null or blank
+    text), ``unparsable JSON`` or ``not an object``; the text is kept for rejected
+    documents only, and their ``doc`` is null.  Of a repeated key the last value
+    counts (the session's setting is checked).
+    """
+    check_last_key_wins(docs.sparkSession)
+    others = [c for c in docs.columns if c != text_col]
+    parsed = docs.select(*others, F.col(text_col).alias("_text"), F.try_parse_json(F.col(text_col)).alias("_doc"))
+    blank = F.col("_text").isNull() | ~F.col("_text").rlike(r"\S")
+    judged = parsed.withColumn("reason", F.when(blank, "empty document").when(F.col("_doc").isNull(), "unparsable JSON")
+                               .when(~F.ltrim("_text").rlike(r"^\s*\{"), "not an object"))
+    good = F.col("reason").isNull()
+    return judged.select(*others, F.when(good, F.col("_doc")).alias(doc_col), "reason",
+                         F.when(~good, F.col("_text")).alias("rejected_text"))
+
+
 def parse_documents(docs: DataFrame, text_col: str = "text", doc_col: str = "doc"):
-    """Parse JSON text into VARIANT.
-
-    Returns ``(parsed, quarantine)``.  ``parsed`` keeps every row, with a null
-    ``doc`` where the text is not JSON (such a row explodes to no items, so it
-    is not filtered here: a filter on the parsed column would make Spark parse
-    every document twice).  ``quarantine`` holds the unparsable rows with a
-    ``reason``.  Nothing is dropped silently.  Of a repeated key the last value
-    counts (set in the session, so for its later parses too).
+    """``(parsed, quarantine)`` of ``parsed_documents``.
+
+    ``parsed`` keeps every row, with a null ``doc`` where the document was rejected
+    (such a row explodes to no items); ``quarantine`` holds the rejected rows with
+    their text and ``reason``.  Each of the two parses when it is executed; to parse
+    once for both use ``split_documents``, to only count the rejects ``observe_rejects``.
     """
-    last_key_wins(docs.sparkSession)
-    parsed = docs.select(*[c for c in docs.columns if c != text_col],
-                         F.try_parse_json(F.col(text_col)).alias(doc_col))
-    bad = (docs.filter(F.try_parse_json(F.col(text_col)).isNull())
-           .withColumn("reason", F.lit("unparsable JSON")))
-    return parsed, bad
+    parsed = parsed_documents(docs, text_col, doc_col)
+    bad = (parsed.filter(F.col("reason").isNotNull()).drop(doc_col)
+           .withColumnRenamed("rejected_text", text_col))
+    return parsed.drop("reason", "rejected_text"), bad
 
 
-def warn_quarantined(quarantine: DataFrame) -> int:
-    """Count the quarantined documents and warn when there are any (one pass over the texts)."""
-    n = quarantine.count()
+def observe_rejects(parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    """``parsed_documents`` rows with a count of the documents and the rejects that
+    Spark takes while the caller's own action runs: no second pass.  Read it after
+    that action with ``warn_rejected``."""
+    seen = Observation()
+    counted = parsed.observe(seen, F.count(F.lit(1)).alias("n_documents"), F.count("reason").alias("n_rejected"))
+    return counted, seen
+
+
+def warn_rejected(seen: Observation) -> int:
+    """The rejects that an action has counted; warns when there are any."""
+    n = seen.get["n_rejected"]
     if n:
-        warnings.warn(f"{n} documents are not JSON and give no items", stacklevel=2)
+        warnings.warn(f"{n} of {seen.get['n_documents']} documents were rejected and give no items", stacklevel=2)
     return n
 
 
+def split_documents(parsed: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, rejected)`` from one parse: the parsed rows are written once under
+    ``folder``, partitioned by verdict, and each side reads its own files."""
+    spark = parsed.sparkSession
+    parsed.withColumn("rejected", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(folder)
+    both = spark.read.schema(parsed.schema.add("rejected", "boolean")).parquet(folder)
+    return (both.filter(~F.col("rejected")).drop("rejected", "reason", "rejected_text"),
+            both.filter("rejected").drop("rejected", *[c for c, t in parsed.dtypes if t == "variant"]))
+
+
 def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
     """Houses from JSON-array documents (one array per document).
 
@@ -59,7 +93,7 @@ def record_list(docs: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
     """
     from parcelgrid.functions.ids import member, truthy_text
 
-    last_key_wins(docs.sparkSession)
+    check_last_key_wins(docs.sparkSession)
     arr = F.try_variant_get(F.try_parse_json(F.col(text_col)), "$", "array<variant>")
     items = docs.select(*key_cols, F.posexplode(arr).alias("pos", "item"))
     # member lookups are null on non-objects: the detailUrl test also drops them

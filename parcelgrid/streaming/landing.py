@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.operators.dedupe import explode_results, master_list
 from parcelgrid.sources.ledgers import read_ledger
-from parcelgrid.sources.tiles import parse_documents, warn_quarantined
+from parcelgrid.sources.tiles import observe_rejects, parsed_documents, warn_rejected
 
 MASTER_SCHEMA = ("zpid string, detailUrl string, tile_file string, type_rank int, result_type string, "
                  "pos long, batch_id long")
@@ -27,8 +27,7 @@ MASTER_SCHEMA = ("zpid string, detailUrl string, tile_file string, type_rank int
 def _batch_writer(master_path: str, site: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        parsed, bad = parse_documents(batch)
-        warn_quarantined(bad)
+        parsed, seen = observe_rejects(parsed_documents(batch))
         fresh = master_list(explode_results(parsed, "doc", ["tile_file"]), file_col="tile_file", site=site)
         # a corrupt file stops the batch: skipped, its ids would be appended a second time
         earlier = (read_ledger(spark, master_path, MASTER_SCHEMA, skip_corrupt=False)
@@ -36,6 +35,7 @@ def _batch_writer(master_path: str, site: str):
         new = fresh.join(earlier, "zpid", "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
         (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(master_path))
+        warn_rejected(seen)
     return write
 
 

@@ -115,19 +115,25 @@ def test_house_folder_sync_from_real_files(spark, scratch):
 def test_repeated_json_keys_keep_the_last_value(spark, scratch):
     from parcelgrid.functions.payload import array_count, unwrap_response
     from parcelgrid.operators.dedupe import explode_results, master_list
-    from parcelgrid.sources.tiles import parse_documents, warn_quarantined
+    from parcelgrid.session import prepare_session
+    from parcelgrid.sources.tiles import observe_rejects, parse_documents, parsed_documents, warn_rejected
 
     other = spark.newSession()  # a session without this library's settings
     other.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
-    docs = other.createDataFrame([("a", '{"listResults": [], "listResults": [{"zpid": 1, "zpid": 2, "detailUrl": "/x"}]}'),
+    with pytest.raises(RuntimeError, match="prepare_session"):
+        parse_documents(other.createDataFrame([("{}",)], "text string"))
+    assert other.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"  # a helper changes no setting
+    docs = prepare_session(other).createDataFrame([("a", '{"listResults": [], "listResults": [{"zpid": 1, "zpid": 2, "detailUrl": "/x"}]}'),
                                   ("b", '{"listResults": [')], "tile_file string, text string")
     parsed, bad = parse_documents(docs)
     items = master_list(explode_results(parsed, "doc", ["tile_file"])).collect()
     assert [(r.tile_file, r.zpid, r.detailUrl) for r in items] == [("a", "2", "https://www.zillow.com/x")]
     assert [r.tile_file for r in bad.collect()] == ["b"]
-    with pytest.warns(UserWarning, match="1 documents"):
-        assert warn_quarantined(bad) == 1
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    counted, seen = observe_rejects(parsed_documents(docs))
+    assert counted.count() == 2
+    with pytest.warns(UserWarning, match="1 of 2 documents"):
+        assert warn_rejected(seen) == 1
+    prepare_session(spark)
     text = '{"cat1": {}, "cat1": {"searchResults": {"mapResults": [], "mapResults": [1, 2]}}}'
     found = spark.createDataFrame([(text,)], "t string").select(unwrap_response("t").alias("p"))
     assert found.select(array_count("p", "mapResults")).first()[0] == 2

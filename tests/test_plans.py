@@ -7,8 +7,8 @@ from conftest import SF_SMALL
 from parcelgrid.plans import QUERIES
 
 PY_OPS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonMapInArrow", "FlatMapGroupsInPandas")
-PY_ALLOWED = {"q_score_texts"}
-MODEL = {"q_gbt", "q_cv", "q_early_stop"}
+PY_ALLOWED = {"q_score_texts"}  # the files that q_photo_tree and q_listing_files read were written before
+MODEL = {"q_gbt", "q_early_stop", "q_model_report"}
 
 
 def _plan(df):
@@ -39,10 +39,30 @@ def test_stop_prefix_single_exchange_for_windows(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
-def test_range_filter_pushed_to_scan(spark):
-    df = entry.queries()["q_range_filter"](spark, SF_SMALL)
-    plan = _plan(df)
-    assert "PushedFilters: [IsNotNull(p_size), IsNotNull(p_retailprice), GreaterThanOrEqual(p_size,10)" in plan
+def test_range_filter_is_one_scan(spark):
+    plan = _plan(entry.queries()["q_range_filter"](spark, SF_SMALL))
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+
+
+def test_bound_sets_are_pushed_to_the_scan(spark):
+    from parcelgrid.operators.reshape import listing_filter, listing_filter_sets
+    from parcelgrid.session import table
+
+    part, cols = table(spark, SF_SMALL, "part"), {"size": "p_size", "price": "p_retailprice"}
+    one = _plan(listing_filter(part, {"min_size": 10, "max_price": 950.0}, cols))
+    assert "PushedFilters: [IsNotNull(p_size), IsNotNull(p_retailprice), GreaterThanOrEqual(p_size,10)" in one
+    sets = [(1, {"min_size": 40}), (2, {"max_size": 3, "max_price": 950.0})]
+    assert "PushedFilters: [Or(GreaterThanOrEqual(p_size,40)" in _plan(listing_filter_sets(part, sets, cols))
+
+
+def test_folds_scan_once(spark):
+    plan = _plan(QUERIES["q_folds"](spark, SF_SMALL))
+    assert "FileScan" not in plan and "Subquery" not in plan  # the rows and their total come from the checkpointed ranges
+
+
+def test_rejects_are_counted_by_the_pass_that_reads(spark):
+    plan = _plan(QUERIES["q_first_wins"](spark, SF_SMALL))
+    assert plan.count("FileScan parquet") == 1 and "CollectMetrics" in plan
 
 
 def test_scans_prune_columns(spark):
