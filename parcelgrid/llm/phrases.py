@@ -50,11 +50,11 @@ from parcelgrid.llm.shipping import ship_package
 from parcelgrid.session import ensure_checkpoint_dir
 
 LONGEST = 5
-SHARDS = 3
+SHARDS = 2
 BLOCK_WORDS = 1 << 20
 FILTER_CELLS = 1 << 23  # a power of two
 SEGMENT_CELLS = 1 << 15
-ROWS_OUT = 1 << 16
+ROWS_OUT = 1 << 15
 BREAK = b"\xff"  # in no UTF-8 text
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _SPLIT = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
@@ -114,6 +114,8 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: s
                     held, n, flushed = {}, 0, flushed + 1
         if held:
             yield blocks()
+        held = {}
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it keeps
 
     coded = narrow.mapInArrow(encode, f"shard int, {BLOCKS}")
     coded.write.partitionBy("shard").parquet(folder)
@@ -175,20 +177,24 @@ def count_block(words: pa.Array, of_word: np.ndarray, ids: np.ndarray, known: Ph
             first, rest = reached[own], reached[own + 1]
             own = own[(first > 0) & (rest > 0) & (np.maximum(first, rest).astype(np.int32) + shards > step)]
             if len(own):
-                yield length, *_grouped(words, ids, own, _longer(hashes[own], word_at[own + length - 1]), length)
+                for phrases, counts in _grouped(words, ids, own, _longer(hashes[own], word_at[own + length - 1]), length):
+                    yield length, phrases, counts
         hashes[:n - length + 1] = _longer(hashes[:n - length + 1], word_at[length - 1:])
 
 
 def _grouped(words: pa.Array, ids: np.ndarray, own: np.ndarray, hashes: np.ndarray, length: int):
-    """The phrases at the places ``own`` and how often each stands there."""
+    """The phrases at the places ``own`` and how often each stands there, some at a time."""
     order = np.argsort(hashes)
     own, hashes = own[order], hashes[order]
     new = hashes[1:] != hashes[:-1]
     for k in range(length):  # equal hashes of different phrases do not share a row
         new |= ids[own[1:] + k] != ids[own[:-1] + k]
     firsts = np.flatnonzero(np.concatenate([[True], new]))
-    parts = [words.take(pa.array(ids[own[firsts] + k])) for k in range(length)]
-    return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), np.diff(np.append(firsts, len(own)))
+    counts = np.diff(np.append(firsts, len(own)))
+    for at in range(0, len(firsts), ROWS_OUT):
+        starts = own[firsts[at:at + ROWS_OUT]]
+        parts = [words.take(pa.array(ids[starts + k])) for k in range(length)]
+        yield pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), counts[at:at + ROWS_OUT]
 
 
 def _phrase_hash(lang: str, phrase: bytes) -> tuple[int, np.uint64]:
@@ -214,6 +220,8 @@ def _counted(blocks: DataFrame, known: Broadcast, step: int, shards: int) -> Dat
                         yield pa.RecordBatch.from_arrays(
                             [pa.repeat(lang, len(part)), part, pa.array(np.full(len(part), length, np.int32)), pa.array(n)],
                             ["lang", "phrase", "length", "n"])
+            del batch
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it keeps
 
     return (blocks.select("lang", "words", "hashes", "ids")
             .mapInArrow(scan, "lang string, phrase binary, length int, n long"))
