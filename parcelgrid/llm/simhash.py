@@ -54,18 +54,22 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): one row per input row; fp is the fingerprint as a signed long.  Null text: no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp): one row per input row; fp is the fingerprint as a signed long.  Null text: no words.
+    ``carry`` columns are taken along."""
     ship_package(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     id_type = narrow.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in in_slices(batches):
             found = np.array([fingerprint(text, words) for text in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]],
+                                             ["id", "fp", *carry])
 
-    return narrow.mapInArrow(run, f"id {id_type}, fp long")
+    taken = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in carry)
+    return narrow.mapInArrow(run, f"id {id_type}, fp long{taken}")
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -109,7 +113,8 @@ def _block_value(fp: Column, first: int, width: int) -> Column:
 
 
 def linked_pairs(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b) of distinct fingerprints (column fp) at most ``max_bits`` bits apart; each pair once or more."""
+    """(a, b), a < b, of distinct fingerprints (column fp) at most ``max_bits`` bits apart; each pair once a block at
+    most: within a block either one of a pair finds the other at its home anchor."""
     homes, copies = [], []
     for k, (first, width) in enumerate(_blocks(max_bits)):
         r, masks = _code(width)
@@ -125,10 +130,17 @@ def linked_pairs(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
                               F.col("fp").alias("b")))
     home, near = (functools.reduce(DataFrame.unionByName, x) for x in (homes, copies))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return home.join(near, (home.anchor == near.anchor) & (home.block == near.block) & (F.col("a") != F.col("b"))
+    return home.join(near, (home.anchor == near.anchor) & (home.block == near.block) & (F.col("a") < F.col("b"))
                      & close).select("a", "b")
 
 
+def _rooted(found: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root): the smallest fingerprint of each fingerprint's component."""
+    distinct = found.select("fp").distinct().checkpoint()
+    roots = component_roots(linked_pairs(distinct, max_bits), "a", "b")
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                        max_bits: int = 3) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
@@ -142,28 +154,38 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ensure_checkpoint_dir(docs.sparkSession)
     found = fingerprints(docs, id_col, text_col, words).checkpoint()
-    firsts = found.groupBy("fp").agg(F.min("id").alias("first")).checkpoint()
-    roots = component_roots(linked_pairs(firsts.select("fp"), max_bits), "a", "b")
-    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = found.groupBy("fp").agg(F.min("id").alias("first"))
+    rooted = firsts.join(_rooted(found, max_bits), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("id", "fp", "component_id").withColumnRenamed("id", id_col)
 
 
-def keep_one_each(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component, with all its columns.
+def _text_mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
 
-    Of rows that repeat an id that stays, one remains.  A row without an id cannot be
-    named by a component and is passed on as it is.
+def keep_one_each(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns: the row with the smallest id.
+
+    The decision is by row, whatever ids repeat: a component's rows order by id (null
+    last), then by a checksum of the text, and the first one stays.  Rows of one id
+    with texts in two components are judged in each; rows without an id collapse with
+    their copies like any other, and one stays only where its component has no id.
+    Of rows that are equal in id and text one stays, an arbitrary one of their other columns.
     """
-    of = simhash_components(docs, id_col, "text", words, max_bits)
-    stay = of.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().checkpoint()
-    ids = stay.select(F.col(id_col).alias("__id"))
-    kept = docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
-    repeated = stay.where("count > 1").select(F.col(id_col).alias("__id"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    marked = docs.withColumn("__mark", _text_mark(text_col))
+    found = fingerprints(marked, id_col, text_col, words, carry=("__mark",)).checkpoint()
+    rows = found.groupBy("fp", "id", "__mark").agg(F.count("*").alias("copies"))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "__mark", "copies")
+    stay = (rows.join(_rooted(found, max_bits), "fp").groupBy("root").agg(F.min(first).alias("s"))
+            .select(F.col("s.id").alias("__id"), F.col("s.__mark").alias("__kept_mark"), F.col("s.copies").alias("__copies"))
+            .checkpoint())
+    own = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__kept_mark"))
+    kept = marked.join(stay.where("__copies = 1"), own, "left_semi").drop("__mark")
+    repeated = stay.where("__copies > 1")
     if not repeated.isEmpty():  # only rows of such ids are grouped: whole texts are not shuffled again for the rest
-        again = F.col(id_col) == F.col("__id")
-        once = kept.join(repeated, again, "left_semi").dropDuplicates([id_col])
-        kept = kept.join(repeated, again, "left_anti").unionByName(once)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+        kept = kept.unionByName(marked.join(repeated, own, "left_semi").dropDuplicates([id_col, "__mark"]).drop("__mark"))
+    return kept
