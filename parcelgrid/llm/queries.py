@@ -19,7 +19,7 @@ from parcelgrid.llm.rule_ensemble import fit_rules, score, training_rows
 from parcelgrid.llm.sharding import assign_shards
 from parcelgrid.llm.simhash import simhash_components
 from parcelgrid.llm.subvector_kmeans import cluster_vectors
-from parcelgrid.llm.textstats import STOP_FORMS, SYMBOLS
+from parcelgrid.llm.textstats import ALL_STOP_WORDS, STOP_WORDS, SYMBOLS
 from parcelgrid.llm.warc import archive_and_read
 from parcelgrid.session import ensure_checkpoint_dir, table
 
@@ -106,12 +106,14 @@ LLM_QUERIES = {f.__name__: f for f in (
 def quality_sql(source: str = "documents") -> str:
     """All rows of ``source`` with the counts of the quality rules, ``base_failed`` and ``kept``."""
     symbols = "".join("\\" + s if s in "$|*" else s for s in SYMBOLS)
-    stops = ", ".join(f"'{w}'" for w in STOP_FORMS)
+    stops = ", ".join(f"'{w}'" for w in ALL_STOP_WORDS)
+    languages = ", ".join(f"'{x}'" for x in STOP_WORDS)
+    listed = f"coalesce(lower(regexp_extract(lang, '^[A-Za-z]*')) IN ({languages}), FALSE)"
     rules = []
     for r in RULES:
-        per = f" * {r.denominator}" if r.denominator else ""
-        rules += [f"{r.numerator} >= {r.least}{per}"] if r.least is not None else []
-        rules += [f"{r.numerator} <= {r.most}{per}"] if r.most is not None else []
+        enough = f"{r.numerator} >= {r.least}::DOUBLE * {r.denominator}"
+        rules += [f"(NOT {listed} OR {enough})" if r.only_listed else enough] if r.least is not None else []
+        rules += [f"{r.numerator} <= {r.most}::DOUBLE * {r.denominator}"] if r.most is not None else []
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS body FROM {source}),
 w AS (SELECT rid, regexp_extract_all(body, '[^ \t-\r]+') AS ws,
@@ -123,7 +125,7 @@ dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b
 rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
 counts AS (SELECT t.* EXCLUDE (body), len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, n_symbols,
         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-        len(list_distinct(list_filter(ws, lambda x: list_contains([{stops}], x)))) AS n_stop_words,
+        len(list_filter(ws, lambda x: list_contains([{stops}], lower(x)))) AS n_stop_words,
         coalesce(n_repeat_words, 0) AS n_repeat_words FROM t JOIN w USING (rid) LEFT JOIN rep USING (rid)),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT *, NOT base_failed AND {' AND '.join(rules)} AS kept FROM base"""
@@ -134,7 +136,8 @@ def phrases_sql(threshold: int = PHRASE_THRESHOLD, top: int = PHRASES_A_LANG) ->
 WITH low AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
 parts AS (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?
--]')) AS part FROM low),
+-
+]')) AS part FROM low),
 pieces AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(part, '[^ 	]+') AS ws FROM parts),
 totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
 sized AS (SELECT lang, ws, unnest(generate_series(1, 5)) AS size FROM pieces),
@@ -187,7 +190,8 @@ LLM_ORACLES = {
     "op12_subvector_kmeans": clusters_sql(),
     "op13_exact_dedup": r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, length(coalesce(text, '')) AS points,
-    regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS body FROM documents),
+    regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS body FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER same AS keep_id, first_value(rid) OVER same AS keep_rid,
     count(*) OVER (PARTITION BY body) AS group_size
   FROM t WINDOW same AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST, rid))

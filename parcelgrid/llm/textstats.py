@@ -1,7 +1,7 @@
 """Statistics of whole texts as Spark column expressions (no user functions).
 
 Words are runs of characters other than the ASCII white space (0x20, 0x09-0x0D).
-``with_counts`` adds, for each row, long columns named by ``COUNTS``; a null text
+``with_counts`` gives, for each row, long columns named by ``COUNTS``; a null text
 counts like an empty one.  The text is split once; every count is taken from the
 word and line arrays inside the same projection.
 """
@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 WHITE = r"[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
-# Frequent function words of the four languages of the corpus.
-STOP_WORDS = ("a an and are as at be by for from in is it of on or that the this to was with "
-              "au aux avec ce dans de des du elle en est et il la le les ou par pas pour que qui sur un une "
-              "auf das dem den der des die ein eine für im ist mit nicht sich und von zu "
-              "al como con del el es la las lo los no para por que se su un una y").split()
-STOP_FORMS = sorted({form for word in STOP_WORDS for form in (word, word.capitalize())})
+# Frequent function words, by language.
+STOP_WORDS = {
+    "en": "a an and are as at be by for from in is it of on or that the this to was with".split(),
+    "fr": "au aux avec ce dans de des du elle en est et il la le les ou par pas pour que qui sur un une".split(),
+    "de": "auf das dem den der des die ein eine für im ist mit nicht sich und von zu".split(),
+    "es": "al como con del de el en es la las lo los no para por que se su sus un una y".split(),
+}
+ALL_STOP_WORDS = sorted(set().union(*STOP_WORDS.values()))
 
 _REPEATED = """
 aggregate(
@@ -48,7 +50,8 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     """The kept columns and the counts.
 
     ``n_repeat_words`` are the words in 3-word windows that occur twice or more in
-    the text; ``n_stop_words`` are the different stop words present.  Most texts repeat none: the windows' 64-bit hashes are counted
+    the text; ``n_stop_words`` counts the words that are a stop word of any listed
+    language, in any letter case.  Most texts repeat none: the windows' 64-bit hashes are counted
     apart first, and only a text that repeats one has them sorted and its covered
     word places summed.
     """
@@ -63,7 +66,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         .alias("n_symbols"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect("__words", F.array(*[F.lit(w) for w in STOP_FORMS]))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("__words", lambda w: F.lower(w).isin(ALL_STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.expr(_window_hashes("__words")).alias("__windows"))
     repeats = counted.withColumn("__repeats", F.expr("size(array_distinct(__windows)) < size(__windows)"))
     # windows are sorted only in texts where one repeats

@@ -54,6 +54,28 @@ def test_keep_good_keeps_whole_rows(docs_of):
     assert keep_good(docs.limit(0)).count() == 0
 
 
+def test_stop_word_ratio_by_language(spark):
+    rng = random.Random(6)
+    prose = ("the old house on the hill was sold to a family from the north and it is said that they moved in with "
+             "their dogs at night").split()
+    english = " ".join(rng.choice(prose) + (" " + str(k)) * (k % 3 == 0) for k in range(160))
+    italian = " ".join(rng.choice("casa collina famiglia nord cani notte grande molto sempre anche dove quando".split()) + str(k)
+                       for k in range(120))
+    russian = " ".join(rng.choice("дом холм семья север собаки ночь большой очень всегда также где когда".split()) + str(k)
+                       for k in range(120))
+    invented = " ".join(f"qz{rng.randrange(10 ** 6)}" for _ in range(5000)) + " the of"
+    filler = " ".join(rng.choice(["the", "of", "and", "to", "in", "a", "is", "it", "on"]) for _ in range(80))
+    rows = [(1, english, "en", True), (2, english.upper(), "en", True), (3, english, "en-GB", True), (4, italian, "it", True),
+            (5, russian, "ru", True), (6, russian, None, True), (7, invented, "en", False), (8, invented, "DE", False),
+            (9, invented, "xx", True), (10, italian, "es", False), (11, filler, "en", False), (12, filler, None, False)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    verdicts = {r.doc_id: (r.kept, r.base_failed) for r in judge(docs).collect()}
+    assert {i: v[0] for i, v in verdicts.items()} == {r[0]: r[3] for r in rows}
+    assert not any(v[1] for i, v in verdicts.items() if i < 11)
+    assert sorted(r.doc_id for r in keep_good(docs).collect()) == [r[0] for r in rows if r[3]]
+    assert judge(docs.drop("lang")).where("kept").count() == 10  # no languages known: only the filler goes
+
+
 def test_no_python_in_native_plans(docs_of):
     for frame in (judge(docs_of([(1, "a")])), keep_good(docs_of([(1, "a")]))):
         plan = frame._jdf.queryExecution().executedPlan().toString()
