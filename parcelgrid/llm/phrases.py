@@ -14,16 +14,20 @@ pieces into words at spaces and tabs.  Everything is counted per language.
    run ends when no active phrase is left, after ``5 * shards`` steps at most.
 3. ``collocations`` scores the phrases that reached the threshold.
 
+A phrase and its language are one binary key in the shuffles, and an open phrase
+carries one number beside its count, so that a row there is small.
+
 What a scan may skip is told by a filter of fixed size (``FILTER_CELLS`` bytes
 for each of the lengths 1 to 4), the only thing that is broadcast: a cell holds
 the last step at which a phrase of that hash reached the threshold.  The filter
-never hides an active phrase; what it passes by mistake is cut by the counts, which
-are kept by the whole phrase in tables: a phrase counts from the first step it
-was seen in, for ``shards`` steps.  A shard in which it was active but not seen
-adds nothing, so the count over these steps is that of a full cycle.
-
-Open phrases are written as a table after every step, so that a lost executor
-repeats one step at most.  Counts of a block are combined in the task that reads
+never hides an active phrase, and counts are kept by the whole phrase in tables: a
+phrase counts from the first step it was seen in, for ``shards`` steps.  A shard in
+which it was active but not seen adds nothing, so the count over these steps is that
+of a full cycle.  A phrase that the filter lets pass again later, by mistake, gets a
+second count that is no larger; the larger one is taken.
+
+Open phrases are written as a table after every step (two folders, in turn), so that
+a lost executor repeats one step at most.  Counts of a block are combined in the task that reads
 it, so a word or phrase in every third place is one row a task in the shuffle.
 
 A null text counts as empty, a null language as ``und``.  Texts without words
@@ -56,6 +60,7 @@ FILTER_CELLS = 1 << 23  # a power of two
 SEGMENT_CELLS = 1 << 15
 ROWS_OUT = 1 << 15
 BREAK = b"\xff"  # in no UTF-8 text
+KEY_END = b"\n"  # between language and phrase; in no phrase
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _SPLIT = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -197,6 +202,12 @@ def _grouped(words: pa.Array, ids: np.ndarray, own: np.ndarray, hashes: np.ndarr
         yield pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), counts[at:at + ROWS_OUT]
 
 
+def _key_parts(key: bytes) -> tuple[str, bytes]:
+    """Language and phrase of a key; a phrase holds no line end."""
+    lang, _, phrase = key.rpartition(KEY_END)
+    return lang.decode(), phrase
+
+
 def _phrase_hash(lang: str, phrase: bytes) -> tuple[int, np.uint64]:
     words = phrase.split(b" ")
     of_word = _word_hashes(lang, words)
@@ -207,24 +218,23 @@ def _phrase_hash(lang: str, phrase: bytes) -> tuple[int, np.uint64]:
 
 
 def _counted(blocks: DataFrame, known: Broadcast, step: int, shards: int) -> DataFrame:
-    """(lang, phrase, length, n): what one scan of a shard adds, combined by task."""
+    """(key, n): what one scan of a shard adds."""
 
     def scan(batches):
         for batch in batches:
             for row in range(batch.num_rows):  # one block at a time
                 lang, words, hashes, ids = (batch.column(c)[row] for c in range(4))
+                begin = pa.scalar(lang.as_py().encode() + KEY_END, pa.binary())
                 of_word, ids = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((hashes, np.uint64), (ids, np.int32)))
-                for length, phrases, counts in count_block(words.values, of_word, ids, known.value, step, shards):
+                for _, phrases, counts in count_block(words.values, of_word, ids, known.value, step, shards):
                     for at in range(0, len(phrases), ROWS_OUT):
                         part, n = phrases.slice(at, ROWS_OUT), counts[at:at + ROWS_OUT].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.repeat(lang, len(part)), part, pa.array(np.full(len(part), length, np.int32)), pa.array(n)],
-                            ["lang", "phrase", "length", "n"])
+                        keys = pc.binary_join_element_wise(begin, part, pa.scalar(b"", pa.binary()))
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(n)], ["key", "n"])
             del batch
         pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it keeps
 
-    return (blocks.select("lang", "words", "hashes", "ids")
-            .mapInArrow(scan, "lang string, phrase binary, length int, n long"))
+    return blocks.select("lang", "words", "hashes", "ids").mapInArrow(scan, "key binary, n long")
 
 
 def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
@@ -234,7 +244,8 @@ def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
 
     def hashed(batches):
         for batch in batches:
-            found = [_phrase_hash(lang, phrase) for lang, phrase in zip(*(c.to_pylist() for c in batch.columns))]
+            found = [_phrase_hash(*_key_parts(key)) for key in batch.column(0).to_pylist()]
+            found = [f for f in found if f[0] < LONGEST]
             lengths = np.array([n for n, _ in found], np.int32)
             places = np.concatenate(filter_places(np.array([h for _, h in found], np.uint64), cells)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -247,7 +258,7 @@ def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
         return pd.DataFrame({"length": part["length"].iloc[:1], "segment": part["segment"].iloc[:1],
                              "bits": [np.packbits(bits).tobytes()]})
 
-    found = reached.select("lang", "phrase").mapInArrow(hashed, "length int, segment long, cell long").distinct()
+    found = reached.select("key").mapInArrow(hashed, "length int, segment long, cell long").distinct()
     segments = found.groupBy("length", "segment").applyInPandas(packed, "length int, segment long, bits binary")
     for r in segments.collect():
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=width).astype(bool)
@@ -255,7 +266,7 @@ def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
         known.latest[r["length"]] = step + 1
 
 
-STATE = "lang string, phrase binary, length int, start int, n long, reach int"
+STATE = "key binary, code int, n long, newly boolean, closed boolean"
 
 
 def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, shards: int = SHARDS,
@@ -264,32 +275,36 @@ def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, s
     blocks = spark.read.schema(f"{BLOCKS}, shard int").parquet(shard_folder)
     used = sorted(r["shard"] for r in blocks.select("shard").distinct().collect())  # at most ``shards`` numbers
     known = PhraseFilter(cells)
-    state = spark.createDataFrame([], STATE)
-    step, last_reach = 0, -1
+    state, last_reach, step = spark.createDataFrame([], STATE), -1, 0
     while used and (step < len(used) or step <= last_reach + len(used)):
         sent = spark.sparkContext.broadcast(known)
-        shard = blocks.where(F.col("shard") == used[step % len(used)])
-        added = _counted(shard, sent, step, len(used)).groupBy("lang", "phrase", "length").agg(F.sum("n").alias("n"))
-        rows = state.withColumn("new", F.lit(0).cast("long")).unionByName(
-            added.select("lang", "phrase", "length", F.lit(step).alias("start"), F.lit(0).cast("long").alias("n"),
-                         F.lit(None).cast("int").alias("reach"), F.col("n").alias("new")))
-        one = rows.groupBy("lang", "phrase", "length").agg(
-            F.min("start").alias("start"), F.sum("n").alias("n"), F.max("reach").alias("reach"), F.sum("new").alias("new"))
-        in_cycle = F.lit(step) < F.col("start") + len(used)
-        one = one.withColumn("n", F.col("n") + F.when(in_cycle, F.col("new")).otherwise(0)).drop("new")
-        one = one.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= threshold, step)))
+        added = _counted(blocks.where(F.col("shard") == used[step % len(used)]), sent, step, len(used))
+        # code: twice the first step, and 1 until the threshold is reached; an open phrase's own code is the smaller one
+        rows = state.where("NOT closed").select("key", "code", "n").unionByName(
+            added.select("key", F.lit(2 * step + 1).alias("code"), "n"))
+        one = rows.groupBy("key").agg(F.min("code").alias("code"), F.sum("n").alias("n"))
+        one = one.withColumn("newly", (F.col("code") % 2 == 1) & (F.col("n") >= threshold))
+        one = one.withColumn("closed", F.floor(F.col("code") / 2) + len(used) <= step + 1)
+        one = one.withColumn("code", F.col("code") - F.col("newly").cast("int"))
+        path = f"{folder}/open-{step % 2}"
         # a phrase below the threshold is done with after its cycle
-        one = one.where((F.col("n") >= threshold) | (F.lit(step + 1) < F.col("start") + len(used)))
-        path = f"{folder}/step-{step:02d}"
-        one.select("lang", "phrase", "length", "start", "n", "reach").write.parquet(path)
+        one.where((F.col("n") >= threshold) | ~F.col("closed")).write.mode("overwrite").parquet(path)
         state = spark.read.schema(STATE).parquet(path)
-        reached = state.where((F.col("reach") == step) & (F.col("length") < LONGEST))
+        state.where("closed").select("key", "n").write.mode("append").parquet(f"{folder}/counted")
+        reached = state.where("newly")
         if not reached.isEmpty():
             _mark(known, reached, step)
-            last_reach = step
+            last_reach = max(known.latest) - 1
         sent.destroy()
         step += 1
-    return state.where(F.col("n") >= threshold).select("lang", "phrase", "length", "n")
+    if not used:
+        return spark.createDataFrame([], "lang string, phrase binary, length int, n long")
+    found = spark.read.schema("key binary, n long").parquet(f"{folder}/counted").groupBy("key").agg(F.max("n").alias("n"))
+    phrase = F.substring_index("text", KEY_END.decode(), -1)
+    named = found.withColumn("text", F.col("key").cast("string")).withColumn("phrase", phrase)
+    return named.select(F.expr("left(text, char_length(text) - char_length(phrase) - 1)").alias("lang"),
+                        F.col("phrase").cast("binary").alias("phrase"),
+                        (F.regexp_count("phrase", F.lit(" ")) + 1).alias("length"), "n")
 
 
 def collocations(counts: DataFrame, n_words: DataFrame, top: int = 2000, share: int = 100, scale: int = 1000) -> DataFrame:
