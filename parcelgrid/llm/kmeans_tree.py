@@ -1,23 +1,35 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-Nearness is the largest inner product, in double precision.
+Nearness is the largest inner product, in double precision; vectors of one dimension
+are searched among themselves.
 
 1. Equal vectors become one class that keeps its ``k + 1`` smallest ids: no other
    member can be among a query's ``k`` nearest, since ties go to the smaller id.
-2. A tree of k-means splits is fitted on a bounded sample of classes
-   (``SAMPLE``); every class is then filed under a leaf.
-3. A query walks the tree with a priority queue over nodes, best centroid product
-   first, which yields the leaves in the order of their promise.
-4. Calibration: a bounded set of queries (``CALIBRATION``) is answered by brute
-   force over all classes, and the number of visited leaves is widened until the
-   mean recall reaches ``target``.
-5. Every query is compared with all vectors of the leaves it visits: queries and
-   vectors meet per leaf, cut into blocks of bounded size on both sides.
+2. A tree of k-means splits is fitted for each dimension on a bounded sample of classes
+   (``SAMPLE``), with a leaf for every ``LEAF_CLASSES`` classes, ``MAX_LEAVES`` at
+   most; every class is then filed under a leaf.  A dimension of fewer than
+   ``TREE_CLASSES`` classes is one leaf, so its search is exact.
+3. A query walks the tree with a priority queue over nodes, best worth first.  A
+   node's worth is about what its best vector scores: the product with the centroid
+   plus ``ORDER`` times the query's norm times the node's spread.
+4. Pilot: every query is compared with its first leaves, until they hold ``PILOT``
+   times ``k + 1`` ids.  The k-th score found is the query's floor.
+5. The walk ends after a calibrated number of leaves, and earlier where no leaf with
+   a worth this low, raised to ``SURE`` spreads, can reach the query's floor.  What it
+   and the pilot met is compared, and only what reaches the floor is sent on.
+6. Calibration: a bounded set of queries (``CALIBRATION``) is answered by brute force
+   over all classes, and the number of leaves is widened until the mean recall reaches
+   ``target`` and all but a twentieth of these queries reach half of it.
+
+Queries and vectors meet by leaf in a sorted stream: the vectors of a leaf, cut into
+parts of bounded size, come first and are held, and the queries pass by in batches.
+A vector is shuffled once a search, however many queries there are, and a query once
+for each leaf it visits.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
-nor do rows with a null id or with another than the most frequent dimension.
-Rows that repeat an id and its vector count once.  With ``k`` candidates or fewer
-all are returned; an empty table gives no rows; other columns are ignored.
+nor do rows with a null id.  Rows that repeat an id and its vector count once.  With
+``k`` candidates or fewer all are returned; an empty table gives no rows; other
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -35,18 +47,22 @@ from parcelgrid.session import ensure_checkpoint_dir
 SAMPLE = 20_000
 CALIBRATION = 200
 BRANCHING = 16
-LEAVES = 256
+LEAF_CLASSES, MAX_LEAVES = 8, 4096
+TREE_CLASSES = 200
+PILOT = 4
+ORDER, SURE = 2.0, 5.0  # spreads
 VECTORS_AT_ONCE = 8192
 QUERIES_AT_ONCE = 1024
 
 
 class Tree:
-    """Centroids of all nodes; ``children`` by node (none: a leaf); ``leaf_no`` by node."""
+    """Centroids and spreads of all nodes; ``children`` by node (none: a leaf); ``leaf_no`` by node."""
 
-    def __init__(self, vectors: np.ndarray, branching: int = BRANCHING, leaves: int = LEAVES, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, branching: int = BRANCHING, leaves: int = MAX_LEAVES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.centroids = [vectors.mean(axis=0)]
         self.children: list[list[int]] = [[]]
+        self.spread = [_spread(vectors, self.centroids[0])]
         members = {0: np.arange(len(vectors))}
         queue = [(-len(vectors), 0)]
         n_leaves = 1
@@ -60,12 +76,14 @@ class Tree:
                 inside = own[label == c]
                 child = len(self.centroids)
                 self.centroids.append(centroids[c])
+                self.spread.append(_spread(vectors[inside], centroids[c]))
                 self.children.append([])
                 self.children[node].append(child)
                 members[child] = inside
                 heapq.heappush(queue, (-len(inside), child))
             n_leaves += len(centroids) - 1
-        self.centroids = np.array(self.centroids)
+        self.centroids, self.spread = np.array(self.centroids), np.array(self.spread)
+        self.widest = max(s for s, below in zip(self.spread.tolist(), self.children) if not below)
         self.leaf_no = {}
         for node, below in enumerate(self.children):
             if not below:
@@ -88,20 +106,45 @@ class Tree:
             moving = below
         return np.array([self.leaf_no[n] for n in at.tolist()], np.int64)
 
-    def best_first(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of a best-bin-first walk."""
-        worth = -(self.centroids @ query)
-        queue, found = [(worth[0], 0)], []
-        while queue and len(found) < visits:
-            _, node = heapq.heappop(queue)
+    def walk(self, query: np.ndarray):
+        """(leaf, worth) in the order of a best-bin-first walk."""
+        worth = (self.centroids @ query + ORDER * np.sqrt(query @ query) * self.spread).tolist()
+        queue = [(-worth[0], 0)]
+        while queue:
+            found, node = heapq.heappop(queue)
             if self.children[node]:
                 for child in self.children[node]:
-                    heapq.heappush(queue, (worth[child], child))
+                    heapq.heappush(queue, (-worth[child], child))
             else:
-                found.append(self.leaf_no[node])
+                yield self.leaf_no[node], -found
+
+    def pilot(self, query: np.ndarray, sizes: list[int], least: int) -> list[int]:
+        """The first leaves that hold ``least`` ids."""
+        found, held = [], 0
+        for leaf, _ in self.walk(query):
+            found.append(leaf)
+            held += sizes[leaf]
+            if held >= least:
+                break
+        return found
+
+    def visits(self, query: np.ndarray, most: int, floor: float, sizes: list[int], least: int) -> list[int]:
+        """The pilot's leaves and the walk's first ``most``, without those that cannot reach ``floor``."""
+        found = self.pilot(query, sizes, least)
+        room = (SURE - ORDER) * float(np.sqrt(query @ query)) * self.widest
+        for n, (leaf, worth) in enumerate(self.walk(query)):
+            if n >= most or worth + room < floor:
+                break
+            if n >= len(found):  # the pilot is the walk's beginning
+                found.append(leaf)
         return found
 
 
+def _spread(vectors: np.ndarray, centroid: np.ndarray) -> float:
+    """Root mean square of the components' distance from the centroid."""
+    return float(np.sqrt(np.mean((vectors - centroid) ** 2))) if len(vectors) else 0.0
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     centroids = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
@@ -118,12 +161,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
-def _nearest(q_ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query among these classes: query_id, vec_id, score."""
+def _nearest(q_ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: list, k: int,
+             floor: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest rows of each query among these classes that reach its floor: query_id, vec_id, score."""
     rough = queries @ vectors.T
     kth = min(k + 1, rough.shape[1])
     edge = -np.partition(-rough, kth - 1, axis=1)[:, kth - 1]
-    slack = 1e-9 * (1 + np.abs(edge))  # the matrix product may differ from the measure in the last bits
+    if floor is not None:
+        edge = np.maximum(edge, floor)
+    slack = np.where(np.isfinite(edge), 1e-9 * (1 + np.abs(edge)), 0)  # the matrix product may differ from the measure in the last bits
     at, of = np.nonzero(rough >= (edge - slack)[:, None])
     exact = (queries[at] * vectors[of]).sum(axis=1)  # the measure: the same sum for the same pair, wherever it stands
     sizes = np.array([len(ids[c]) for c in of.tolist()], np.int64)
@@ -140,98 +186,170 @@ def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)))
     # -0.0 and 0.0 are the same component
     rows = rows.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    rows = rows.groupBy("vec_id", "v").agg(F.lit(1)).select("vec_id", "v")
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (top["d"] if top else 0))
+    return rows.groupBy("vec_id", "v").agg(F.lit(1)).select("vec_id", "v")
+
+
+def fit_trees(classes: DataFrame, sample: int = SAMPLE, leaf_classes: int = LEAF_CLASSES, max_leaves: int = MAX_LEAVES,
+              tree_classes: int = TREE_CLASSES) -> dict[int, Tree]:
+    """A tree for every dimension with ``tree_classes`` classes or more; the sample is shared by size."""
+    sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()
+             if r["count"] >= tree_classes}
+    trees = {}
+    for d, n in sorted(sizes.items()):
+        share = max(tree_classes, sample * n // sum(sizes.values()))
+        picked = classes.where(F.size("v") == d).select("v").orderBy(F.xxhash64("v")).limit(share).toPandas()
+        leaves = max(1, min(n // leaf_classes, max_leaves, len(picked) // 4))
+        trees[d] = Tree(_matrix(picked["v"]), leaves=leaves)
+    return trees
+
+
+MEET = "leaf string, cut long, side int, query_id long, least double, ids array<long>, v array<double>"
+
+
+def _meet(asked: DataFrame, filed: DataFrame, cuts: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each asked (query_id, least, v, leaf) among each part of the leaf
+    that reach ``least``."""
+    # cuts has a row per leaf, and the leaves of the trees are bounded
+    left = (asked.join(F.broadcast(cuts), "leaf").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+            .select("leaf", "cut", F.lit(1).alias("side"), "query_id", "least", F.lit(None).cast("array<long>").alias("ids"), "v"))
+    right = (filed.join(F.broadcast(cuts), "leaf")
+             .select("leaf", F.pmod(F.xxhash64("v"), F.col("cuts")).alias("cut"), F.lit(0).alias("side"),
+                     F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("double").alias("least"), "ids", "v"))
+
+    def stream(batches):
+        here, vectors, ids = None, [], []
+        for batch in batches:
+            for key, part in batch.groupby(["leaf", "cut"], sort=False):
+                if key != here:
+                    here, vectors, ids = key, [], []
+                held = part[part.side == 0]
+                if len(held):
+                    vectors.append(_matrix(held["v"]))
+                    ids += [np.asarray(i, np.int64) for i in held["ids"]]
+                queries = part[part.side == 1]
+                if len(queries) and ids:
+                    vectors = [np.concatenate(vectors)]
+                    for at in range(0, len(queries), QUERIES_AT_ONCE):
+                        some = queries.iloc[at:at + QUERIES_AT_ONCE]
+                        found = _nearest(some["query_id"].to_numpy(np.int64), _matrix(some["v"]), vectors[0], ids, k,
+                                         some["least"].to_numpy(np.float64))
+                        if len(found):
+                            yield found
+
+    return (left.unionByName(right).repartition("leaf", "cut").sortWithinPartitions("leaf", "cut", "side")
+            .mapInPandas(stream, "query_id long, vec_id long, score double"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest_neighbours(table: DataFrame, is_query, k: int = 20, target: float = 0.96, id_col: str = "vec_id",
-                       vec_col: str = "embedding", leaves: int = LEAVES, sample: int = SAMPLE,
-                       calibration: int = CALIBRATION) -> DataFrame:
+def nearest_neighbours(table: DataFrame, is_query, k: int = 20, target: float = 0.92, id_col: str = "vec_id",
+                       vec_col: str = "embedding", sample: int = SAMPLE, calibration: int = CALIBRATION,
+                       leaf_classes: int = LEAF_CLASSES, max_leaves: int = MAX_LEAVES,
+                       tree_classes: int = TREE_CLASSES) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` of the k nearest found of every query row.
 
     ``is_query`` is a condition on ``vec_id`` that names the query rows.
     """
+    found, _ = search(table, is_query, k, target, id_col, vec_col, sample, calibration, leaf_classes, max_leaves, tree_classes)
+    return found
+
+
+def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec_id", vec_col: str = "embedding",
+           sample: int = SAMPLE, calibration: int = CALIBRATION, leaf_classes: int = LEAF_CLASSES,
+           max_leaves: int = MAX_LEAVES, tree_classes: int = TREE_CLASSES) -> tuple[DataFrame, dict]:
+    """``nearest_neighbours`` and what the calibration found: ``leaves`` visited at most, mean ``recall``, the share of
+    queries with a ``low`` one, and the share of ids ``met``."""
     spark = table.sparkSession
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     rows = usable(table, id_col, vec_col).checkpoint()
     same = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
-    classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    picked = classes.select("v").orderBy(F.xxhash64("v")).limit(sample).toPandas()
-    if not len(picked):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = spark.sparkContext.broadcast(Tree(_matrix(picked["v"]), leaves=leaves))
+    classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).checkpoint()
+    trees = spark.sparkContext.broadcast(fit_trees(classes, sample, leaf_classes, max_leaves, tree_classes))
 
     def file(batches):
         for part in batches:
-            if len(part):
-                yield part.assign(leaf=tree.value.leaf_of(_matrix(part["v"])))
+            for d, own in part.groupby(part["v"].map(len)):
+                leaf = trees.value[d].leaf_of(_matrix(own["v"])) if d in trees.value else np.zeros(len(own), np.int64)
+                yield own.assign(leaf=[f"{d}:{n}" for n in leaf.tolist()])
+
+    filed = classes.mapInPandas(file, "v array<double>, ids array<long>, leaf string").checkpoint()
+    # a row per leaf: at most max_leaves and a few, and one for each small dimension
+    held = filed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    cuts = spark.createDataFrame([(r["leaf"], -(-r["n"] // VECTORS_AT_ONCE)) for r in held], "leaf string, cuts long")
+    sizes = {d: [0] * len(tree.leaf_no) for d, tree in trees.value.items()}
+    for r in held:
+        d, leaf = map(int, r["leaf"].split(":"))
+        if d in sizes:
+            sizes[d][leaf] = r["ids"]
+    least = PILOT * (k + 1)
+
+    def ask(queries: DataFrame, most: int) -> DataFrame:
+        """Queries by the leaves they visit: the pilot's and at most ``most``."""
+        def run(batches):
+            for part in batches:
+                seen = []
+                for v, floor in zip(part["v"], part["least"]):
+                    d, q, own = len(v), np.asarray(v, np.float64), [0]
+                    if d in sizes:
+                        own = trees.value[d].visits(q, most, floor, sizes[d], least)
+                    seen.append([f"{d}:{leaf}" for leaf in own])
+                yield part.assign(leaf=pd.Series(seen, index=part.index, dtype=object))
+
+        asked = queries.mapInPandas(run, "query_id long, least double, v array<double>, leaf array<string>")
+        return asked.withColumn("leaf", F.explode("leaf"))
 
-    filed = classes.mapInPandas(file, "v array<double>, ids array<long>, leaf long").checkpoint()
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    visits = _calibrated(filed, queries, tree.value, k, target, calibration)
-
-    def walk(batches):
-        for part in batches:
-            seen = [tree.value.best_first(q, visits) for q in _matrix(part["v"])] if len(part) else []
-            yield part.assign(leaf=pd.Series(seen, index=part.index, dtype=object))
-
-    # blocks: the sizes of both sides by leaf are at most ``leaves`` rows
-    asked = queries.mapInPandas(walk, "query_id long, v array<double>, leaf array<long>")
-    asked = asked.select("query_id", "v", F.explode("leaf").alias("leaf"))
-    n_vectors = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
-    n_queries = queries.count()
-    query_blocks = -(-n_queries // QUERIES_AT_ONCE)
-    cuts = spark.createDataFrame([(leaf, -(-n // VECTORS_AT_ONCE)) for leaf, n in n_vectors.items()],
-                                 "leaf long, cuts long")
-    left = (asked.join(F.broadcast(cuts), "leaf")
-            .select("query_id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"),
-                    F.pmod(F.xxhash64("query_id"), F.lit(max(1, query_blocks))).alias("block")))
-    right = (filed.join(F.broadcast(cuts), "leaf")
-             .select("ids", "v", "leaf", F.pmod(F.xxhash64("v"), F.col("cuts")).alias("cut"),
-                     F.explode(F.expr(f"sequence(0L, {max(1, query_blocks) - 1}L)")).alias("block")))
-
-    def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _nearest(q["query_id"].to_numpy(), _matrix(q["v"]), _matrix(v["v"]),
-                        [np.asarray(i, np.int64) for i in v["ids"]], k)
-
-    keys = ["leaf", "cut", "block"]
-    found = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-             .applyInPandas(compare, "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
-
-
-def _calibrated(filed: DataFrame, queries: DataFrame, tree: Tree, k: int, target: float, n: int) -> int:
-    """Leaves to visit: widened until the sampled queries' mean recall reaches ``target``."""
-    some = queries.orderBy(F.xxhash64("query_id")).limit(n).toPandas()
+    none = F.lit(float("-inf"))
+    pilot = _best(_meet(ask(queries.withColumn("least", none), 0), filed, cuts, k), k)
+    floors = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    floors = floors.select("query_id", F.when(F.col("n") >= k, F.col("kth")).otherwise(none).alias("least"))
+    queries = (queries.join(floors, "query_id", "left")
+               .select("query_id", F.coalesce("least", none).alias("least"), "v").checkpoint())
+    most, about = _calibrated(filed, queries, trees.value, sizes, least, k, target, calibration)
+    found = _best(_meet(ask(queries, most), filed, cuts, k), k)
+    return found.select("query_id", "rank", "vec_id", "score"), about
+
+
+def _calibrated(filed: DataFrame, queries: DataFrame, trees: dict[int, Tree], sizes: dict[int, list[int]], least: int,
+                k: int, target: float, n: int) -> tuple[int, dict]:
+    """The least number of leaves at which the sampled queries' mean recall reaches ``target`` and few fall under half of it."""
+    total = max((len(own) for own in sizes.values()), default=1)
+    some = queries.where(F.size("v").isin(list(trees))).orderBy(F.xxhash64("query_id", "v")).limit(n).toPandas()
     if not len(some):
-        return len(tree.leaf_no)
-    asked, q_ids = _matrix(some["v"]), some["query_id"].to_numpy()
+        return total, {"leaves": total, "recall": 1.0, "low": 0.0, "met": 1.0}
+    of_dim = {d: own for d, own in some.groupby(some["v"].map(len))}
 
     def exact(batches):
         for part in batches:
-            if len(part):
-                ids = [np.asarray(i, np.int64) for i in part["ids"]]
-                near = _nearest(q_ids, asked, _matrix(part["v"]), ids, k)
-                leaf = dict(zip(np.concatenate(ids).tolist(), np.repeat(part["leaf"], [len(i) for i in ids]).tolist()))
-                yield near.assign(leaf=[leaf[i] for i in near["vec_id"].tolist()])
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    truth = (filed.mapInPandas(exact, "query_id long, vec_id long, score double, leaf long")
-             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-             .select("query_id", "leaf").toPandas())
-    if not len(truth):
-        return len(tree.leaf_no)
-    total = len(tree.leaf_no)
-    place = {q: {leaf: p for p, leaf in enumerate(tree.best_first(v, total))} for q, v in zip(q_ids.tolist(), asked)}
-    places = np.array([place[q][leaf] for q, leaf in zip(truth["query_id"].tolist(), truth["leaf"].tolist())])
-    visits = 1
-    while visits < total and (places < visits).mean() < target:
-        visits += 1
-    return visits
+            for d, own in part.groupby(part["v"].map(len)):
+                if d in of_dim:
+                    asked, ids = of_dim[d], [np.asarray(i, np.int64) for i in own["ids"]]
+                    near = _nearest(asked["query_id"].to_numpy(np.int64), _matrix(asked["v"]), _matrix(own["v"]), ids, k)
+                    leaf = dict(zip(np.concatenate(ids).tolist(), np.repeat(own["leaf"], [len(i) for i in ids]).tolist()))
+                    yield near.assign(leaf=[leaf[i] for i in near["vec_id"].tolist()])
+
+    truth = _best(filed.mapInPandas(exact, "query_id long, vec_id long, score double, leaf string"), k)
+    wanted: dict[int, list[int]] = {}
+    for r in truth.select("query_id", "leaf").collect():  # k rows for each of the n queries
+        wanted.setdefault(r["query_id"], []).append(int(r["leaf"].split(":")[1]))
+    places, held, pilots = [], [], []
+    for q, floor, v in zip(some["query_id"], some["least"], some["v"]):
+        tree, own, query = trees[len(v)], sizes[len(v)], np.asarray(v, np.float64)
+        walk = tree.visits(query, total, floor, own, least)
+        at = {leaf: p for p, leaf in enumerate(walk)}
+        pilots.append(len(tree.pilot(query, own, least)))
+        places.append(np.array([at.get(leaf, total) for leaf in wanted.get(q, [])]))
+        held.append(np.cumsum([own[leaf] for leaf in walk]) / max(1, sum(own)))
+    most = 1
+    while True:
+        recalls = np.array([np.mean(p < max(most, first)) for p, first in zip(places, pilots) if len(p)] or [1.0])
+        met = np.mean([h[min(max(most, first), len(h)) - 1] for h, first in zip(held, pilots)])
+        about = {"leaves": most, "recall": float(recalls.mean()), "low": float((recalls < target / 2).mean()), "met": float(met)}
+        if most >= total or (about["recall"] >= target and about["low"] <= 0.05):
+            return most, about
+        most = min(total, most + max(1, most // 40))

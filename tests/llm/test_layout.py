@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelgrid.llm import mixing, sharding, warc
+from parcelgrid.llm import kmeans_tree, mixing, sharding, warc
 from parcelgrid.llm.chat import format_chat_parts, format_chats, with_prefix_hashes
 from parcelgrid.llm.kmeans_tree import Tree, nearest_neighbours
 
@@ -193,20 +193,72 @@ def test_nearest_recall_and_scores(spark):
 def test_nearest_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, -0.0]),
-            (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, []),
-            (9, [-1.0, -0.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+            (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (80, []), (9, [-1.0, -0.0]),
+            (40, [1.0, 2.0, 3.0]), (8, [0.0, 1.0, 0.0]), (60, [5.0])]  # of other dimensions
+    table = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<float>, v string, leaf double")
     got = [tuple(r) for r in nearest_neighbours(table, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5), (20, 3, 2, 0.5)]
+    assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5), (20, 3, 2, 0.5),
+                   (40, 1, 8, 2.0)]
     assert nearest_neighbours(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "hot", "two dimensions"])
+def test_nearest_reaches_most_neighbours_of_nearly_every_query(spark, kind):
+    rng = np.random.default_rng(3)
+    n = 3000
+    vecs = rng.normal(size=(60, 12))[rng.integers(0, 60, n)] * 3 + rng.normal(size=(n, 12)) * 0.3
+    if kind == "hot":
+        vecs[::3] = vecs[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    if kind == "two dimensions":
+        rows = [(i, v[:7] if i % 4 == 0 else v) for i, v in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found, about = kmeans_tree.search(table, F.col("vec_id") % 20 == 0, 20, 0.95)
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    recalls = []
+    for q, v in rows[::20]:
+        truth = sorted((-float(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+        assert len(got[q]) == 20  # never fewer than there are candidates
+        recalls.append(sum(-s >= -truth[19][0] - 1e-9 for s, _ in got[q]) / 20)
+    assert np.mean(recalls) >= 0.93 and np.mean(np.array(recalls) < 0.5) <= 0.05
+    assert about["met"] < 0.5
+
+
+def test_search_shuffles_each_vector_once_however_many_ask(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2500, 6)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = {}
+    meet = kmeans_tree._meet
+    for every in (50, 5):
+        counted = []
+
+        def spy(asked, filed, cuts, k):
+            counted.append((asked.count(), filed.count(), cuts.groupBy().sum("cuts").first()[0]))
+            return meet(asked, filed, cuts, k)
+        kmeans_tree._meet = spy
+        try:
+            kmeans_tree.nearest_neighbours(table, F.col("vec_id") % every == 0, k=5).count()
+        finally:
+            kmeans_tree._meet = meet
+        assert all(filed == 2500 for _, filed, _ in counted) and len(counted) == 2
+        sent[every] = sum(asked for asked, _, _ in counted)
+    assert sent[5] < 15 * sent[50]  # rows sent grow with the queries, and no vector is copied for them
+
+
 def test_tree_walk_yields_every_leaf_once():
     rng = np.random.default_rng(0)
     tree = Tree(rng.normal(size=(2000, 8)), branching=4, leaves=32)
-    walk = tree.best_first(rng.normal(size=8), 1000)
+    q = rng.normal(size=8)
+    walk = [leaf for leaf, _ in tree.walk(q)]
     assert sorted(walk) == list(range(len(tree.leaf_no))) and len(walk) > 8
     assert tree.leaf_of(rng.normal(size=(50, 8))).max() < len(walk)
+    sizes = [10] * len(walk)
+    assert tree.pilot(q, sizes, 35) == tree.visits(q, 0, float("inf"), sizes, 35) == walk[:4]
+    assert tree.visits(q, 9, float("-inf"), sizes, 35) == walk[:9] and tree.visits(q, 999, float("-inf"), sizes, 0) == walk
+    assert tree.visits(q, 999, 1e9, sizes, 35) == walk[:4]  # nothing can reach such a floor
 
 
 def test_archives_round_trip(spark, scratch):
