@@ -15,10 +15,12 @@ their own places); a null role or text is the empty string; turns with a null
 are ignored whatever their names.
 
 A conversation of more than ``bucket_turns`` turns (a null or common ``conv_id``
-may hold a third of all rows) is never one task: equal turns are counted first,
-its turns are numbered in buckets between sampled turns with offsets from bucket
-counts, and the prefix hashes are carried over ranges of ``bucket_turns``
-positions.  Such ids are at most one for every ``bucket_turns`` rows.
+may hold a third of all rows) is never one task: equal turns are counted first and
+dealt to ranges of (conversation, turn, role, text), so its turns are numbered within
+ranges, with offsets from the ranges before; the prefix hashes are carried over
+pieces of ``bucket_turns`` positions.  Sizes, offsets and carried hashes are tables
+joined on conversation and range or piece; none is collected, and none is broadcast
+unless Spark measures it to be small.
 ``format_chats`` has one row per conversation, which must stay under Spark's row
 limit of 2 GB; ``format_chat_parts`` has several ordered rows for long ones.
 """
@@ -28,13 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelgrid.session import ensure_checkpoint_dir
+
 TURN_OPEN, ROLE_CLOSE, TURN_CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
 BUCKET_TURNS = 4_000
-MAX_BUCKETS = 1_000  # of one conversation
-SAMPLED = 32  # turns of a bucket
-HEAD = 256  # characters of a text that buckets are told apart by
+RANGE_TURNS = 50_000  # of long conversations, in one range
 PART_CHARS = 50_000_000
 
 
@@ -52,42 +54,33 @@ def _hash_short(rows: DataFrame) -> DataFrame:
             .withColumn("last", F.lead("pos").over(order).isNull()).drop("x1", "x2"))
 
 
-def _number_long(rows: DataFrame, bucket_turns: int) -> DataFrame:
-    """``rows`` (with the conversation's size ``n``) with ``pos``, by buckets of neighbouring turns."""
-    key = F.struct("turn", "role", F.substring("text", 1, HEAD).alias("head"))
-    share = F.least(F.ceil(F.col("n") / bucket_turns), F.lit(MAX_BUCKETS)) * SAMPLED / F.col("n")
-    sample = rows.where(F.rand(7) < share).select("conv_id", key.alias("low"))
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("low"))
-    lows: dict = {}
-    for r in sample.withColumn("nth", nth).where(F.col("nth") % SAMPLED == 0).orderBy("conv_id", "low").collect():
-        lows.setdefault(r.conv_id, []).append(tuple(r.low))
-    kinds = {f: rows.schema[f].dataType.simpleString() for f in ("conv_id", "turn")}
-    bounds = rows.sparkSession.createDataFrame(
-        list(lows.items()), f"__conv {kinds['conv_id']}, lows array<struct<turn:{kinds['turn']},role:string,head:string>>")
-    equal = rows.groupBy("conv_id", "turn", "role", "text", "n").agg(F.count("*").alias("times"))
-    equal = equal.join(F.broadcast(bounds), F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
-    equal = equal.withColumn("__key", key).withColumn(
-        "bucket", F.coalesce(F.size(F.filter("lows", lambda low: low <= F.col("__key"))), F.lit(0))).drop("lows", "__conv", "__key")
-    before = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = equal.groupBy("conv_id", "bucket").agg(F.sum("times").alias("__in")).select(
-        F.col("conv_id").alias("__conv"), F.col("bucket").alias("__bucket"),
+def _number_long(rows: DataFrame, bucket_turns: int, range_turns: int) -> DataFrame:
+    """``rows`` (with the conversation's size ``n``) with ``pos``, by ranges of neighbouring turns."""
+    turn = ["conv_id", "turn", "role", "text"]
+    equal = rows.groupBy(*turn, "n").agg(F.count("*").alias("times")).checkpoint()
+    n_ranges = max(1, -(-equal.count() // range_turns))
+    # ranges are read twice: written, they stay the same when a task is run again
+    ranged = equal.repartitionByRange(n_ranges, *turn).withColumn("range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("conv_id", "range").agg(F.sum("times").alias("__in")).select(
+        F.col("conv_id").alias("__conv"), F.col("range").alias("__range"),
         F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("before"))
-    inside = (Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text")
+    inside = (Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    equal = equal.withColumn("upto", F.sum("times").over(inside)).join(
-        F.broadcast(offsets), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("bucket") == F.col("__bucket")))
+    ranged = ranged.withColumn("upto", F.sum("times").over(inside)).join(
+        offsets, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("range") == F.col("__range")))
     first = F.col("before") + F.col("upto") - F.col("times") + 1
     end = F.col("before") + F.col("upto")
     # a turn that very many rows repeat is spread in two steps
-    some = equal.withColumn("__end", end).withColumn("__from", F.explode(F.sequence(first, end, F.lit(bucket_turns).cast("long"))))
+    some = ranged.withColumn("__end", end).withColumn("__from", F.explode(F.sequence(first, end, F.lit(bucket_turns).cast("long"))))
     some = some.repartition("conv_id", "__from")
     last = F.least(F.col("__end"), F.col("__from") + (bucket_turns - 1))
-    each = some.select("conv_id", "turn", "role", "text", "n", F.explode(F.sequence("__from", last)).alias("pos"))
+    each = some.select(*turn, "n", F.explode(F.sequence("__from", last)).alias("pos"))
     return each.withColumn("pos", F.col("pos").cast("int"))
 
 
-def _hash_long(rows: DataFrame, bucket_turns: int) -> DataFrame:
-    rows = _tagged(_number_long(rows, bucket_turns))
+def _hash_long(rows: DataFrame, bucket_turns: int, range_turns: int) -> DataFrame:
+    rows = _tagged(_number_long(rows, bucket_turns, range_turns))
     rows = rows.withColumn("piece", F.floor((F.col("pos") - 1) / bucket_turns).cast("int"))
     before = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = (rows.groupBy("conv_id", "piece").agg(F.bit_xor("x1").alias("c1"), F.bit_xor("x2").alias("c2")).select(
@@ -97,23 +90,24 @@ def _hash_long(rows: DataFrame, bucket_turns: int) -> DataFrame:
     inside = (Window.partitionBy("conv_id", "piece").orderBy("pos")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("h1", F.bit_xor("x1").over(inside)).withColumn("h2", F.bit_xor("x2").over(inside))
-    rows = rows.join(F.broadcast(carried), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("piece") == F.col("__piece")))
+    rows = rows.join(carried, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("piece") == F.col("__piece")))
     return rows.select("conv_id", "turn", "role", "text", "pos", F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"),
                        F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"), (F.col("pos") == F.col("n")).alias("last"), "piece")
 
 
-def with_prefix_hashes(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
+def with_prefix_hashes(turns: DataFrame, bucket_turns: int = BUCKET_TURNS, range_turns: int = RANGE_TURNS) -> DataFrame:
     """Turns with ``pos`` (from 1), ``last``, the rolling prefix hash (``h1``, ``h2``) and, if any conversation is long, its ``piece``."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    long = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > bucket_turns).collect()
-    if not long:
+    sizes = (rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > bucket_turns)
+             .withColumnRenamed("conv_id", "__conv"))
+    if sizes.isEmpty():
         return _hash_short(rows)
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    sizes = F.broadcast(turns.sparkSession.createDataFrame(long, f"__conv {kind}, n long"))
+    ensure_checkpoint_dir(turns.sparkSession)
+    sizes = sizes.checkpoint()
     same = F.col("conv_id").eqNullSafe(F.col("__conv"))
     short = _hash_short(rows.join(sizes, same, "left_anti")).withColumn("piece", F.lit(0))
-    return short.unionByName(_hash_long(rows.join(sizes, same).drop("__conv"), bucket_turns))
+    return short.unionByName(_hash_long(rows.join(sizes, same).drop("__conv"), bucket_turns, range_turns))
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
