@@ -10,20 +10,23 @@ change their slot, so a new map moves whole slots.
 the text plus 1; null text: 1), ``text_crc32`` (null text: of the empty text),
 ``law``, ``shard``, ``slot`` (place in the shard, gapless from 0),
 ``grown_shard`` (null under this law) and ``virtual_slot``.  Rows hash by id, size
-and text checksum, so rows without an id spread out too; equal rows share a
-virtual slot.  An empty table gives no rows; other columns are ignored whatever
-their names.
+and text checksum, so rows without an id spread out too.  Rows equal in all three
+share a virtual slot up to ``EQUAL_ROWS`` of them; more are dealt to as many salts as
+they fill, so no slot holds a group of any size.  An empty table gives no rows;
+other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LAW = "bytes"
 VIRTUAL_SLOTS = 4096
+EQUAL_ROWS = 16
 
 
 def slot_sizes(rows: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> list[tuple[int, int]]:
@@ -124,26 +127,63 @@ def read_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/version={version}").select("virtual_slot", "shard")
 
 
+def last_version(spark: SparkSession, folder: str) -> int | None:
+    """The newest stored version of the map; None where there is none."""
+    try:
+        return spark.read.parquet(folder).select(F.max("version")).first()[0]
+    except AnalysisException as fault:
+        if fault.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _salted(rows: DataFrame, equal_rows: int) -> DataFrame:
+    """``rows`` with ``salt``: 0, or one of as many as a large group of equal rows fills."""
+    equal = ["id", "size", "text_crc32"]
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint()  # ids and sizes only: texts are read once
+    many = (rows.groupBy(*equal).agg(F.count("*").alias("__n")).where(F.col("__n") > equal_rows)
+            .select(F.col("id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"),
+                    F.ceil(F.col("__n") / equal_rows).alias("__salts")))
+    same = (F.col("id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size"))
+            & (F.col("text_crc32") == F.col("__crc")))
+    salt = F.coalesce(F.pmod(F.xxhash64("__row"), F.col("__salts")), F.lit(0))
+    return rows.join(many, same, "left").select(*equal, salt.alias("salt"))
+
+
 def assign_shards(docs: DataFrame, n_shards: int, map_folder: str, n_slots: int = VIRTUAL_SLOTS,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shard and place of every row (see the module's docstring); stores map versions 0 and 1 in ``map_folder``."""
+                  id_col: str = "doc_id", text_col: str = "text", equal_rows: int = EQUAL_ROWS) -> DataFrame:
+    """Shard and place of every row (see the module's docstring).
+
+    The newest map in ``map_folder`` is edited to near equal bytes and stored as the
+    next version; an empty folder begins with version 0, equal ranges of slots.  Slots
+    of shards that no longer exist go to the others first.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("virtual_slot", F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(n_slots)).cast("int"))
-    rows = rows.checkpoint()  # ids and sizes only: whole texts are read once
+    rows = _salted(rows, equal_rows)
+    hashed = F.when(F.col("salt") == 0, F.xxhash64("id", "size", "text_crc32")).otherwise(
+        F.xxhash64("id", "size", "text_crc32", "salt"))
+    rows = rows.withColumn("virtual_slot", F.pmod(hashed, F.lit(n_slots)).cast("int")).drop("salt").checkpoint()
     sizes = slot_sizes(rows, n_slots)
-    start = first_map(n_slots, n_shards)
-    write_map(spark, map_folder, 0, start)
+    version = last_version(spark, map_folder)
+    if version is None:
+        version, start = 0, first_map(n_slots, n_shards)
+        write_map(spark, map_folder, version, start)
+    else:
+        stored = {r["virtual_slot"]: r["shard"] for r in read_map(spark, map_folder, version).collect()}  # n_slots rows
+        if sorted(stored) != list(range(n_slots)):
+            raise ValueError(f"the stored map has {len(stored)} slots, not {n_slots}")
+        start = [stored[slot] if stored[slot] < n_shards else slot % n_shards for slot in range(n_slots)]
     edited = rebalance(start, [b for b, _ in sizes], n_shards)
-    write_map(spark, map_folder, 1, edited)
+    write_map(spark, map_folder, version + 1, edited)
     ahead, offsets = [0] * n_shards, []
     for slot, shard in enumerate(edited):
         offsets.append((slot, ahead[shard]))
         ahead[shard] += sizes[slot][1]
     before = spark.createDataFrame(offsets, "virtual_slot int, before long")
-    placed = F.broadcast(read_map(spark, map_folder, 1).join(before, "virtual_slot"))  # n_slots rows: a parameter
+    placed = F.broadcast(read_map(spark, map_folder, version + 1).join(before, "virtual_slot"))  # n_slots rows: a parameter
     order = Window.partitionBy("virtual_slot").orderBy("id", "size", "text_crc32")
     return (rows.withColumn("rank", F.row_number().over(order) - 1).join(placed, "virtual_slot")
             .select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
