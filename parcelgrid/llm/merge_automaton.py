@@ -14,7 +14,9 @@ from.  So a gadget costs constant space and the whole file compiles in well unde
 a second.
 
 Encoding reads a word's symbols from left to right through a symbol trie of the
-live tokens and the arc table.  By the uniqueness above one token ends the
+live tokens and the arc table.  The table is not laid out in full (states times
+tokens): whether a state has an arc follows from what it and its parts lost, is
+looked up when a text first asks for it, and is kept.  By the uniqueness above one token ends the
 prefix at each position, so each position has a single live state and is entered
 once; the search for the one accepted path tries longer arcs first.
 
@@ -127,6 +129,7 @@ class MergeAutomaton:
                 node = entry[0]
             entry[1] = token
             self.size[token], self.shorter[token] = len(symbols), before
+        self.longest = max(self.size.values(), default=0)
         return root
 
     def encode(self, word: bytes) -> list[int]:
@@ -136,6 +139,7 @@ class MergeAutomaton:
         from which the word's end was not reached is never entered again.
         """
         n, root, size, shorter, has_arc, arcs = len(word), self._trie, self.size, self.shorter, self.has_arc, self._arcs
+        longest = self.longest
         if not n:
             return []
         symbols = list(word)
@@ -143,7 +147,7 @@ class MergeAutomaton:
         path, at, state, closed = [], 0, START, set()
         token, node = START, root
         while True:
-            for symbol in symbols[at:] if at else symbols:
+            for symbol in symbols[at:at + longest]:  # no token is longer: a word costs its own length
                 entry = node.get(symbol)
                 if entry is None:
                     break

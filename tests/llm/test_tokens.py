@@ -111,3 +111,17 @@ def test_frames_and_odd_rows(spark, docs_of, library):
          len(library.encode(t or "", add_special_tokens=False).ids) > 3) for i, t in rows)
     assert encode_decode(docs.limit(0), tokenizer_path()).count() == 0
     assert count_tokens(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_a_very_long_word_costs_its_own_length(spec, library):
+    import time
+
+    rng = random.Random(3)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    codec = Codec(spec)
+    began = time.monotonic()
+    ids = codec.encode(word)
+    assert time.monotonic() - began < 15  # a quadratic walk takes many minutes
+    part = word[:100_000]
+    assert codec.encode(part) == np.array(library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    assert codec.decode(ids).replace(" ", "").replace("</w>", "") == word
