@@ -92,12 +92,16 @@ def _task_name() -> str:
 
 def assign_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html") -> DataFrame:
-    """Pages with payload size, SHA-1, ``is_response`` and ``refers_to``; revisits carry no payload."""
+    """Pages with payload size, SHA-1, ``is_response`` and ``refers_to``; revisits carry no payload.
+
+    Equal payloads are one in the task that reads them, so a payload that very many
+    pages share is moved once a task; beside it only ids, URLs and digests move.
+    """
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    largest = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("largest"))
-    held = rows.join(largest, ["sha1", "size"])
+    stored = rows.groupBy("sha1", "size").agg(F.first("payload").alias("payload"), F.max("page_id").alias("largest"))
+    held = rows.drop("payload").join(stored, ["sha1", "size"])
     is_response = F.col("page_id").eqNullSafe(F.col("largest"))
     return held.select("page_id", "url", F.when(is_response, F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
                        "size", "sha1", is_response.alias("is_response"),
