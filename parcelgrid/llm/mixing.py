@@ -21,16 +21,18 @@ deadline first has placed before a time ``T`` follows from ``T`` alone
 Sources are a bounded list (``max_sources``; more are an error); a null source is
 one of its own.  Rows are numbered inside (source, hash bucket) groups with
 offsets from bucket counts, so a source with most of the rows is never one task.
+Rows equal in source, id and text hash alike; where more than ``bucket_rows`` of them
+do, they are dealt to buckets of their own by a written row number.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
 from decimal import Decimal
 from fractions import Fraction
-from functools import reduce
 from math import gcd, lcm
 
 import numpy as np
@@ -44,6 +46,7 @@ BLOCK_ROWS = 32
 PERIOD = 1024  # least number of places in a piece of a phase
 MAX_SOURCES = 10_000
 BUCKET_ROWS = 4_000
+RANGE_BYTES, MANY_RANGES, LARGE_RANGE_BYTES = 16 << 20, 20_000, 512 << 20
 BROADCAST_PLACES = 200_000  # blocks; a longer plan is made in Spark and joined by shuffle
 ROWS_AT_ONCE = 50_000
 SLOTS_AT_ONCE = 1 << 20
@@ -57,9 +60,9 @@ def exact(weight) -> Fraction:
 
 def whole_weights(weights: list[Fraction]) -> list[int]:
     """The same weights as integers without a common divisor."""
-    unit = reduce(lcm, (w.denominator for w in weights), 1)
+    unit = functools.reduce(lcm, (w.denominator for w in weights), 1)
     whole = [int(w * unit) for w in weights]
-    common = reduce(gcd, whole)
+    common = functools.reduce(gcd, whole)
     return [w // common for w in whole]
 
 
@@ -207,27 +210,30 @@ def _place_batches(batches):
 
 def place_table(spark: SparkSession, blocks: list[int], weights: list, period: int, plan_blocks: int) -> DataFrame:
     """One row per block of every source with its phase, release, deadline and place; made in Spark past ``plan_blocks``."""
-    places, pieces, here = [], [], sum(blocks) <= plan_blocks
+    places, whole, here = [], [], sum(blocks) <= plan_blocks
     for number, ph in enumerate(walk_phases(blocks, weights, period)):
         if here:
             places.extend(places_of(number, ph["start"], ph["active"], ph["shares"], ph["first"], 0, ph["length"]))
             continue
-        step = piece_places(ph["shares"], period)
-        for begin in range(0, ph["length"], step):
-            pieces.append((number, ph["start"], begin, min(begin + step, ph["length"]), ph["active"],
-                           [str(w) for w in ph["shares"]], ph["first"]))
+        whole.append((number, ph["start"], ph["length"], piece_places(ph["shares"], period), ph["active"],
+                      [str(w) for w in ph["shares"]], ph["first"]))
     if here:
-        return F.broadcast(spark.createDataFrame(places, PLACES))
+        return F.broadcast(spark.createDataFrame(places, PLACES))  # plan_blocks rows at most
     ship_package(spark)
-    made = spark.createDataFrame(pieces, "number int, start long, begin long, end long, active array<int>, "
-                                         "shares array<string>, first array<long>")
+    # a row per phase leaves the driver (at most one phase a source); its pieces are made in Spark
+    made = spark.createDataFrame(whole, "number int, start long, length long, step long, active array<int>, "
+                                        "shares array<string>, first array<long>")
+    begins = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.col("step"))
+    pieces = made.withColumn("begin", F.explode(begins)).withColumn("end", F.least(F.col("begin") + F.col("step"), "length"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return made.repartition(n_parts).mapInArrow(_place_batches, PLACES)
+    return (pieces.select("number", "start", "begin", "end", "active", "shares", "first")
+            .repartition(n_parts, "number", "begin").mapInArrow(_place_batches, PLACES))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS,
         period: int = PERIOD, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-        max_sources: int = MAX_SOURCES, carry: tuple[str, ...] = (), plan_blocks: int = BROADCAST_PLACES) -> DataFrame:
+        max_sources: int = MAX_SOURCES, carry: tuple[str, ...] = (), plan_blocks: int = BROADCAST_PLACES,
+        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per input row: id, source, ``block``, ``phase``, ``release``, ``deadline``, ``place`` and ``row_in_block``.
 
     ``place`` numbers all blocks from 0 without gaps; release and deadline are
@@ -253,20 +259,21 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     if any(w <= 0 for w in given):
         raise ValueError("weights must be positive")
     places = place_table(spark, blocks, given, period, plan_blocks)
-    n_buckets = [max(1, -(-n // BUCKET_ROWS)) for n in sizes]
+    n_buckets = [max(1, -(-n // bucket_rows)) for n in sizes]
     kind = docs.schema[source_col].dataType.simpleString()
     numbered = spark.createDataFrame([(s, k, b) for k, (s, b) in enumerate(zip(sources, n_buckets))],
                                      f"__s {kind}, source_no int, buckets long")
     rows = rows.join(F.broadcast(numbered), F.col("__source").eqNullSafe(F.col("__s")))  # at most max_sources rows
+    rows = _dealt(rows, bucket_rows)
     # equal parts of the hash range: bucket order is hash order
     rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("__key", 33)) * F.col("buckets") / F.lit(1 << 31)))
-    per_bucket = rows.groupBy("source_no", "bucket").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("source_no", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    per_bucket = rows.groupBy("source_no", "bucket", "__deal").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("source_no").orderBy("bucket", "__deal").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("source_no", "bucket", "__deal", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     # the unsigned order of the hash, as the buckets have it
-    inside = Window.partitionBy("source_no", "bucket").orderBy(F.shiftrightunsigned("__key", 33), "__key", "__id")
+    inside = Window.partitionBy("source_no", "bucket", "__deal").orderBy(F.shiftrightunsigned("__key", 33), "__key", "__id")
     row_no = (F.col("before") + F.row_number().over(inside) - 1)
-    placed = rows.join(offsets, ["source_no", "bucket"]).withColumn("__row", row_no)
+    placed = rows.join(offsets, ["source_no", "bucket", "__deal"]).withColumn("__row", row_no)
     placed = placed.withColumn("block", F.floor(F.col("__row") / block_rows))
     here = placed.join(places, ["source_no", "block"])
     return here.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), F.col("block"), F.col("phase"),
@@ -275,12 +282,38 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
                        *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)])
 
 
+def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """``rows`` with ``__deal``: 0, or for very many equal rows one of the buckets they fill by themselves."""
+    equal = ["source_no", "__key", "__id"]
+    many = (rows.groupBy(*equal).agg(F.count("*").alias("__n")).where(F.col("__n") > bucket_rows)
+            .select(*[F.col(c).alias(f"{c}_m") for c in equal], F.ceil(F.col("__n") / bucket_rows).alias("__deals")))
+    if many.isEmpty():
+        return rows.withColumn("__deal", F.lit(0).cast("long"))
+    many = many.checkpoint()
+    # the row number decides buckets that are counted and filled in two passes: it is written out with the rows
+    rows = rows.withColumn("__row_id", F.monotonically_increasing_id()).checkpoint()
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_m")) for c in equal])
+    dealt = rows.join(many, same, "left").withColumn(
+        "__deal", F.coalesce(F.pmod(F.xxhash64("__row_id"), F.col("__deals")) + 1, F.lit(0)))
+    return dealt.drop("__deals", "__row_id", *[f"{c}_m" for c in equal])
+
+
+def n_ranges(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """(partitions for whole rows by the bytes of their texts, rows): ``RANGE_BYTES`` each, larger ones past ``MANY_RANGES``."""
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64
+    row = docs.agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
+    n = -(-(row["bytes"] or 0) // RANGE_BYTES)
+    if n > MANY_RANGES:
+        n = max(MANY_RANGES, -(-row["bytes"] // LARGE_RANGE_BYTES))
+    return max(n, docs.sparkSession.sparkContext.defaultParallelism), row["n"]
+
+
 def mixed_order(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, all columns kept, in mix order: partitions are ranges of places, sorted inside."""
     packed = docs.select("*", F.struct("*").alias("__whole"))
     placed = mix(packed, carry=("__whole",), **settings)
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = F.lit(max(1, docs.count() // settings.get("block_rows", BLOCK_ROWS)))
+    n_parts, n_rows = n_ranges(docs, settings.get("text_col", "text"))
+    n_blocks = F.lit(max(1, n_rows // settings.get("block_rows", BLOCK_ROWS)))
     # places are gapless, so equal ranges of places are equal parts: no sampling pass over whole texts
     part = F.least(F.floor(F.col("place") * n_parts / n_blocks), F.lit(n_parts - 1)).cast("int")
     return (placed.withColumn("__part", part).repartitionById(n_parts, "__part")
@@ -306,9 +339,8 @@ def stored_place(stored: DataFrame) -> tuple[DataFrame, int]:
     return placed.withColumn("place", F.col("__before") + F.col("__at")).drop("__file", "__at", "__name", "__before"), total
 
 
-def in_place_order(rows: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``place`` from 0 to ``total`` - 1: partitions are ranges of places, sorted inside."""
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def in_place_order(rows: DataFrame, total: int, n_parts: int) -> DataFrame:
+    """``rows`` with ``place`` from 0 to ``total`` - 1: ``n_parts`` partitions are ranges of places, sorted inside."""
     part = F.floor(F.col("place") * n_parts / F.lit(max(1, total))).cast("int")
     return (rows.withColumn("__part", part).repartitionById(n_parts, "__part").sortWithinPartitions("place")
             .drop("__part"))

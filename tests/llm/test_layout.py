@@ -44,6 +44,52 @@ def test_shards_by_bytes(spark, docs_of, scratch):
     assert sharding.assign_shards(odd.limit(0), 3, scratch + "/none").count() == 0
 
 
+def test_many_equal_rows_spread_over_shards(spark, docs_of, scratch):
+    rows = [(k, f"text {k} " * 12) for k in range(2000)] + [(None, "the same text again and again " * 6)] * 1000
+    got = sharding.assign_shards(docs_of(rows).repartition(5), 8, scratch + "/hot").collect()
+    load, slots, places = Counter(), Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.virtual_slot] += 1
+        places[r.shard].append(r.slot)
+    assert len(got) == 3000 and max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 8
+    assert max(slots.values()) <= 4 * sharding.EQUAL_ROWS  # no window group holds the equal rows
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_a_stored_map_is_edited_not_made_anew(spark, docs_of, scratch):
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randint(1, 400)) for k in range(3000)]
+    folder = scratch + "/map"
+    first = {r.doc_id: r.shard for r in sharding.assign_shards(docs_of(rows[:2500]), 6, folder).collect()}
+    again = {r.doc_id: r.shard for r in sharding.assign_shards(docs_of(rows[:2500]), 6, folder).collect()}
+    assert again == first and sharding.last_version(spark, folder) == 2  # balanced already: nothing moves
+    found = sharding.assign_shards(docs_of(rows), 6, folder).collect()
+    maps = [dict(sharding.read_map(spark, folder, v).collect()) for v in (2, 3)]
+    moved = sum(maps[0][s] != maps[1][s] for s in maps[0])
+    assert 0 < moved < 0.1 * len(maps[0]) and sharding.last_version(spark, folder) == 3
+    assert all(maps[1][r.virtual_slot] == r.shard for r in found)
+    fewer = sharding.assign_shards(docs_of(rows), 4, folder).collect()
+    assert {r.shard for r in fewer} == {0, 1, 2, 3}
+    with pytest.raises(ValueError):
+        sharding.assign_shards(docs_of(rows), 4, folder, n_slots=64)
+
+
+def test_mix_deals_very_many_equal_rows(spark, docs_of):
+    rows = [(k, f"t{k}", "ab"[k % 2]) for k in range(400)] + [(9, "same", "a")] * 300 + [(None, None, "b")] * 200
+    docs = docs_of(rows).repartition(4)
+    got = mixing.mix(docs, {"a": 2, "b": 1}, block_rows=4, period=40, bucket_rows=20).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((i, s) for i, _, s in rows)
+    assert len({(r.source, r.block, r.row_in_block) for r in got}) == len(rows)
+    counts = Counter(r.source for r in got)
+    assert all({r.block for r in got if r.source == s} == set(range(-(-n // 4))) for s, n in counts.items())
+    numbered = docs.selectExpr("CASE source WHEN 'a' THEN 0 ELSE 1 END AS source_no", "doc_id AS __id", "xxhash64(doc_id, text) AS __key")
+    deals = mixing._dealt(numbered, 20).groupBy("source_no", "__key", "__deal").count().where("__deal > 0").collect()
+    assert 25 <= len(deals) <= 30 and max(r["count"] for r in deals) < 50  # 300 and 200 equal rows in groups of about 20
+    ordered = mixing.mixed_order(docs, block_rows=4, bucket_rows=20)
+    assert ordered.columns == docs.columns and ordered.count() == len(rows)
+
+
 def test_rebalance_moves_only_what_it_must():
     rng = random.Random(1)
     sizes = [rng.randint(50, 150) for _ in range(4096)]
