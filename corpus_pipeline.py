@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelgrid.llm.merge_automaton import encode_decode
-from parcelgrid.llm.mixing import in_place_order, mixed_order, stored_place
+from parcelgrid.llm.mixing import in_place_order, mixed_order, n_ranges, stored_place
 from parcelgrid.llm.quality_rules import keep_good
 from parcelgrid.llm.queries import tokenizer_path
 from parcelgrid.llm.rule_ensemble import fit_rules, keep_predicted_good, training_rows
@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed, total = stored_place(docs)
     coded = encode_decode(placed, tokenizer_path(), carry=("place",))
     return in_place_order(coded.select("place", "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
-                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")), total)
+                                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")), total, n_ranges(docs)[0])
 
 
 STAGES = [
