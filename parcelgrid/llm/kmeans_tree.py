@@ -21,10 +21,12 @@ are searched among themselves.
    over all classes, and the number of leaves is widened until the mean recall reaches
    ``target`` and all but a twentieth of these queries reach half of it.
 
-Queries and vectors meet by leaf in a sorted stream: the vectors of a leaf, cut into
-parts of bounded size, come first and are held, and the queries pass by in batches.
+Queries and vectors meet in packs, neighbouring leaves of some thousand vectors.  In a
+sorted stream the vectors of a pack come first and are held, and the queries pass by
+in batches, each with the leaves it visits; a query gets its best of a pack at once.
 A vector is shuffled once a search, however many queries there are, and a query once
-for each leaf it visits.
+for each pack it visits.  A pack holds at most ``PACK_MOST`` vectors, and there are
+about ``PACKS`` of them until that is reached.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows with a null id.  Rows that repeat an id and its vector count once.  With
@@ -51,7 +53,7 @@ LEAF_CLASSES, MAX_LEAVES = 8, 4096
 TREE_CLASSES = 200
 PILOT = 4
 ORDER, SURE = 2.0, 5.0  # spreads
-VECTORS_AT_ONCE = 8192
+PACKS, PACK_LEAST, PACK_MOST = 1024, 1024, 1 << 18
 QUERIES_AT_ONCE = 1024
 
 
@@ -85,8 +87,12 @@ class Tree:
         self.centroids, self.spread = np.array(self.centroids), np.array(self.spread)
         self.widest = max(s for s, below in zip(self.spread.tolist(), self.children) if not below)
         self.leaf_no = {}
-        for node, below in enumerate(self.children):
-            if not below:
+        stack = [0]
+        while stack:  # leaves under one node have neighbouring numbers
+            node = stack.pop()
+            if self.children[node]:
+                stack += reversed(self.children[node])
+            else:
                 self.leaf_no[node] = len(self.leaf_no)
 
     def leaf_of(self, vectors: np.ndarray) -> np.ndarray:
@@ -162,15 +168,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _nearest(q_ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: list, k: int,
-             floor: np.ndarray | None = None) -> pd.DataFrame:
-    """The k nearest rows of each query among these classes that reach its floor: query_id, vec_id, score."""
-    rough = queries @ vectors.T
+             floor: np.ndarray | None = None, rough: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest rows of each query among these classes that reach its floor: query_id, vec_id, score.
+
+    ``rough`` holds the products, minus infinity where a class is not compared with a query."""
+    rough = queries @ vectors.T if rough is None else rough
     kth = min(k + 1, rough.shape[1])
     edge = -np.partition(-rough, kth - 1, axis=1)[:, kth - 1]
     if floor is not None:
         edge = np.maximum(edge, floor)
     slack = np.where(np.isfinite(edge), 1e-9 * (1 + np.abs(edge)), 0)  # the matrix product may differ from the measure in the last bits
-    at, of = np.nonzero(rough >= (edge - slack)[:, None])
+    at, of = np.nonzero((rough >= (edge - slack)[:, None]) & (rough > -np.inf))
     exact = (queries[at] * vectors[of]).sum(axis=1)  # the measure: the same sum for the same pair, wherever it stands
     sizes = np.array([len(ids[c]) for c in of.tolist()], np.int64)
     out = pd.DataFrame({"query_id": np.repeat(q_ids[at], sizes), "score": np.repeat(exact, sizes),
@@ -203,40 +211,70 @@ def fit_trees(classes: DataFrame, sample: int = SAMPLE, leaf_classes: int = LEAF
     return trees
 
 
-MEET = "leaf string, cut long, side int, query_id long, least double, ids array<long>, v array<double>"
-
-
-def _meet(asked: DataFrame, filed: DataFrame, cuts: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each asked (query_id, least, v, leaf) among each part of the leaf
-    that reach ``least``."""
-    # cuts has a row per leaf, and the leaves of the trees are bounded
-    left = (asked.join(F.broadcast(cuts), "leaf").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-            .select("leaf", "cut", F.lit(1).alias("side"), "query_id", "least", F.lit(None).cast("array<long>").alias("ids"), "v"))
-    right = (filed.join(F.broadcast(cuts), "leaf")
-             .select("leaf", F.pmod(F.xxhash64("v"), F.col("cuts")).alias("cut"), F.lit(0).alias("side"),
-                     F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("double").alias("least"), "ids", "v"))
+def _packs(held: dict[str, int], size: int) -> dict[str, list[int]]:
+    """Packs of each leaf (by number of classes): small neighbouring leaves of a dimension share one, a large one has several."""
+    packs, number, room, last = {}, -1, 0, None
+    for leaf, n in sorted(held.items(), key=lambda x: tuple(map(int, x[0].split(":")))):
+        if leaf.split(":")[0] != last:
+            last, room = leaf.split(":")[0], 0
+        if n > size:
+            packs[leaf] = [number + 1 + k for k in range(-(-n // size))]
+            number, room = packs[leaf][-1], 0
+        else:
+            if n > room:
+                number, room = number + 1, size
+            packs[leaf] = [number]
+            room -= n
+    return packs
+
+
+def _compared(some: pd.DataFrame, vectors: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Products of each query with the classes of its leaves, minus infinity elsewhere."""
+    queries = _matrix(some["v"])
+    rough = np.full((len(some), len(vectors)), -np.inf)
+    seen = [np.asarray(x) for x in some["seen"]]
+    row = np.repeat(np.arange(len(some)), [len(x) for x in seen])
+    of = np.concatenate(seen)
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    for leaf in np.unique(leaves):
+        here = row[np.searchsorted(of, leaf):np.searchsorted(of, leaf, "right")]
+        columns = np.flatnonzero(leaves == leaf)
+        rough[np.ix_(here, columns)] = queries[here] @ vectors[columns].T
+    return rough
+
+
+def _meet(asked: DataFrame, filed: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best that reach ``least`` of each asked (query_id, least, v, pack, seen leaves)
+    among the pack's classes of those leaves."""
+    left = asked.select("pack", F.lit(1).alias("side"), "query_id", "least", "seen", F.lit(None).cast("array<long>").alias("ids"), "v")
+    right = filed.select("pack", F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"),
+                         F.lit(None).cast("double").alias("least"), F.array("no").alias("seen"), "ids", "v")
 
     def stream(batches):
-        here, vectors, ids = None, [], []
+        here, parts = None, []
         for batch in batches:
-            for key, part in batch.groupby(["leaf", "cut"], sort=False):
+            for key, part in batch.groupby("pack", sort=False):
                 if key != here:
-                    here, vectors, ids = key, [], []
+                    here, parts = key, []
                 held = part[part.side == 0]
                 if len(held):
-                    vectors.append(_matrix(held["v"]))
-                    ids += [np.asarray(i, np.int64) for i in held["ids"]]
+                    parts.append((_matrix(held["v"]), [np.asarray(i, np.int64) for i in held["ids"]],
+                                  np.array([x[0] for x in held["seen"]])))
                 queries = part[part.side == 1]
-                if len(queries) and ids:
-                    vectors = [np.concatenate(vectors)]
+                if len(queries) and parts:
+                    if len(parts) > 1:
+                        parts = [(np.concatenate([p[0] for p in parts]), sum((p[1] for p in parts), []),
+                                  np.concatenate([p[2] for p in parts]))]
+                    vectors, ids, leaves = parts[0]
                     for at in range(0, len(queries), QUERIES_AT_ONCE):
                         some = queries.iloc[at:at + QUERIES_AT_ONCE]
-                        found = _nearest(some["query_id"].to_numpy(np.int64), _matrix(some["v"]), vectors[0], ids, k,
-                                         some["least"].to_numpy(np.float64))
+                        found = _nearest(some["query_id"].to_numpy(np.int64), _matrix(some["v"]), vectors, ids, k,
+                                         some["least"].to_numpy(np.float64), _compared(some, vectors, leaves))
                         if len(found):
                             yield found
 
-    return (left.unionByName(right).repartition("leaf", "cut").sortWithinPartitions("leaf", "cut", "side")
+    return (left.unionByName(right).repartition("pack").sortWithinPartitions("pack", "side")
             .mapInPandas(stream, "query_id long, vec_id long, score double"))
 
 
@@ -280,7 +318,12 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
     filed = classes.mapInPandas(file, "v array<double>, ids array<long>, leaf string").checkpoint()
     # a row per leaf: at most max_leaves and a few, and one for each small dimension
     held = filed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
-    cuts = spark.createDataFrame([(r["leaf"], -(-r["n"] // VECTORS_AT_ONCE)) for r in held], "leaf string, cuts long")
+    n_classes = sum(r["n"] for r in held)
+    packs = _packs({r["leaf"]: r["n"] for r in held}, min(max(PACK_LEAST, n_classes // PACKS), PACK_MOST))
+    of_leaf = spark.createDataFrame([(leaf, of[0], len(of)) for leaf, of in packs.items()], "leaf string, one long, of long")
+    filed = filed.join(F.broadcast(of_leaf), "leaf").select(
+        "leaf", (F.col("one") + F.pmod(F.xxhash64("v"), F.col("of"))).alias("pack"),
+        F.substring_index("leaf", ":", -1).cast("int").alias("no"), "ids", "v")
     sizes = {d: [0] * len(tree.leaf_no) for d, tree in trees.value.items()}
     for r in held:
         d, leaf = map(int, r["leaf"].split(":"))
@@ -289,29 +332,32 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
     least = PILOT * (k + 1)
 
     def ask(queries: DataFrame, most: int) -> DataFrame:
-        """Queries by the leaves they visit: the pilot's and at most ``most``."""
+        """Queries by the packs they visit, with the leaves there: the pilot's and at most ``most``."""
         def run(batches):
             for part in batches:
-                seen = []
-                for v, floor in zip(part["v"], part["least"]):
+                out = []
+                for query, floor, v in zip(part["query_id"], part["least"], part["v"]):
                     d, q, own = len(v), np.asarray(v, np.float64), [0]
                     if d in sizes:
                         own = trees.value[d].visits(q, most, floor, sizes[d], least)
-                    seen.append([f"{d}:{leaf}" for leaf in own])
-                yield part.assign(leaf=pd.Series(seen, index=part.index, dtype=object))
+                    there: dict[int, list[int]] = {}
+                    for leaf in own:
+                        for pack in packs.get(f"{d}:{leaf}", ()):
+                            there.setdefault(pack, []).append(leaf)
+                    out += [(query, floor, v, pack, seen) for pack, seen in there.items()]
+                yield pd.DataFrame(out, columns=["query_id", "least", "v", "pack", "seen"])
 
-        asked = queries.mapInPandas(run, "query_id long, least double, v array<double>, leaf array<string>")
-        return asked.withColumn("leaf", F.explode("leaf"))
+        return queries.mapInPandas(run, "query_id long, least double, v array<double>, pack long, seen array<int>")
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     none = F.lit(float("-inf"))
-    pilot = _best(_meet(ask(queries.withColumn("least", none), 0), filed, cuts, k), k)
+    pilot = _best(_meet(ask(queries.withColumn("least", none), 0), filed, k), k)
     floors = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     floors = floors.select("query_id", F.when(F.col("n") >= k, F.col("kth")).otherwise(none).alias("least"))
     queries = (queries.join(floors, "query_id", "left")
                .select("query_id", F.coalesce("least", none).alias("least"), "v").checkpoint())
     most, about = _calibrated(filed, queries, trees.value, sizes, least, k, target, calibration)
-    found = _best(_meet(ask(queries, most), filed, cuts, k), k)
+    found = _best(_meet(ask(queries, most), filed, k), k)
     return found.select("query_id", "rank", "vec_id", "score"), about
 
 

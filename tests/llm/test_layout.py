@@ -281,19 +281,25 @@ def test_search_shuffles_each_vector_once_however_many_ask(spark):
     for every in (50, 5):
         counted = []
 
-        def spy(asked, filed, cuts, k):
-            counted.append((asked.count(), filed.count(), cuts.groupBy().sum("cuts").first()[0]))
-            return meet(asked, filed, cuts, k)
+        def spy(asked, filed, k):
+            counted.append((asked.count(), filed.count()))
+            return meet(asked, filed, k)
         kmeans_tree._meet = spy
         try:
             kmeans_tree.nearest_neighbours(table, F.col("vec_id") % every == 0, k=5).count()
         finally:
             kmeans_tree._meet = meet
-        assert all(filed == 2500 for _, filed, _ in counted) and len(counted) == 2
-        sent[every] = sum(asked for asked, _, _ in counted)
+        assert all(filed == 2500 for _, filed in counted) and len(counted) == 2
+        sent[every] = sum(asked for asked, _ in counted)
     assert sent[5] < 15 * sent[50]  # rows sent grow with the queries, and no vector is copied for them
 
 
+def test_packs_hold_neighbouring_leaves():
+    held = {"3:0": 4, "3:1": 5, "3:2": 2, "3:10": 30, "12:0": 1, "3:11": 9}
+    packs = kmeans_tree._packs(held, 10)
+    assert packs == {"3:0": [0], "3:1": [0], "3:2": [1], "3:10": [2, 3, 4], "3:11": [5], "12:0": [6]}
+
+
 def test_tree_walk_yields_every_leaf_once():
     rng = np.random.default_rng(0)
     tree = Tree(rng.normal(size=(2000, 8)), branching=4, leaves=32)
