@@ -103,6 +103,38 @@ def query_pairs(url) -> Column:
                                                 s["value"].alias("value")))
 
 
+# Fixed value: what a parameter value that may hold JSON looks like after one decoding.
+JSON_MARK = "%7B.*%7D"
+
+
+def sniff_json(value) -> Column:
+    """``struct<status,decoded,json_ok>`` of a decoded parameter value.
+
+    A value with encoded braces is decoded once more: ``json`` when that parses,
+    else ``raw``; any other value is ``plain``.  ``decoded`` is the text decoded once
+    more (null for plain values), and ``json_ok`` whether it parses, asked of plain
+    values too.
+    """
+    again = unquote(_c(value))
+    ok = F.coalesce(F.try_parse_json(again).isNotNull(), F.lit(False))
+    marked = _c(value).rlike(JSON_MARK)
+    status = F.when(marked, F.when(ok, "json").otherwise("raw")).otherwise("plain")
+    return F.struct(status.alias("status"), F.when(marked, again).alias("decoded"), ok.alias("json_ok"))
+
+
+def url_parameters(df: DataFrame, url_col: str, keep_cols) -> DataFrame:
+    """Every query parameter of a table of URLs: ``keep_cols``, ``pos``, ``key``, ``value``,
+    ``is_first`` (the first value of its key in the URL), ``status``, ``decoded``, ``json_ok``."""
+    pairs = df.select(*keep_cols, query_pairs(url_col).alias("_pairs"))
+    keyed = pairs.withColumn("_keys", F.transform("_pairs", lambda s: s["key"]))
+    marked = F.transform("_pairs", lambda s, i: F.struct(
+        s["pos"].alias("pos"), s["key"].alias("key"), s["value"].alias("value"),
+        (F.array_position("_keys", s["key"]) == i + 1).alias("is_first")))
+    rows = keyed.select(*keep_cols, F.inline(marked))
+    return rows.withColumn("_s", sniff_json("value")).select(
+        *keep_cols, "pos", "key", "value", "is_first", "_s.status", "_s.decoded", "_s.json_ok")
+
+
 def first_param(url, key: str) -> Column:
     """First decoded value of ``key`` (null when absent)."""
     hits = F.filter(query_pairs(url), lambda s: s["key"] == F.lit(key))
@@ -301,12 +333,12 @@ def with_page_url(df: DataFrame, url_col: str, page, out_col: str = "page_url",
               .drop("_qp", "_st", "_new_st", "_enc", "_keys", "_ord", "_sv", "_q", "_fr"))
 
 
-def request_body(state_text) -> Column:
-    """Search request body for a state: the state plus the fixed ``wants`` block.
+# The texts before and after the state in a search request.
+BODY_HEAD = '{"searchQueryState": '
+BODY_TAIL = (', "wants": {"cat1": ["listResults", "mapResults"], "cat2": ["total"]}, '
+             '"requestId": 10, "isDebugRequest": false}')
 
-    The wrapper uses the default ``json.dumps`` spacing; the state text is
-    spliced in as stored (compact).
-    """
-    return F.concat(F.lit('{"searchQueryState": '), _c(state_text),
-                    F.lit(', "wants": {"cat1": ["listResults", "mapResults"], "cat2": ["total"]}, '
-                          '"requestId": 10, "isDebugRequest": false}'))
+
+def request_body(state_text) -> Column:
+    """Search request body for a state: the state as stored (compact) between the fixed texts."""
+    return F.concat(F.lit(BODY_HEAD), _c(state_text), F.lit(BODY_TAIL))

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelgrid.functions.geo import tile_key
-from parcelgrid.functions.urls import (first_param, query_pairs, quote, request_body, search_state,
-                                       search_state_text, unquote)
+from parcelgrid.functions.urls import first_param, quote, request_body, search_state, search_state_text, url_parameters
 from parcelgrid.operators.grid import BASE_PATH, BASE_STATE, REFERENCE_TILE, page_plan, tile_grid, tile_links
 from parcelgrid.plans import url_standin as us
 from parcelgrid.plans.registry import query
@@ -26,18 +25,13 @@ SELECT page_id, pos, key, value,
        CASE WHEN regexp_matches(value, '%7B.*%7D')
             THEN CASE WHEN json_valid(url_decode(value)) THEN 'json' ELSE 'raw' END
             ELSE 'plain' END AS status,
-       coalesce(json_valid(url_decode(value)), FALSE) AS json_ok
+       coalesce(json_valid(url_decode(value)), FALSE) AS json_ok,
+       row_number() OVER (PARTITION BY page_id, key ORDER BY pos) = 1 AS is_first,
+       CASE WHEN regexp_matches(value, '%7B.*%7D') THEN url_decode(value) END AS decoded
 FROM kv WHERE value <> ''""")
 def q_query_params(spark, sf_dir):
     """Every query pair decoded, with the JSON sniff of each value."""
-    urls = us.search_urls(table(spark, sf_dir, "pages"))
-    pairs = urls.select("page_id", F.inline(query_pairs(F.col("url"))))
-    again = unquote(F.col("value"))
-    status = (F.when(F.col("value").rlike("%7B.*%7D"),
-                     F.when(F.try_parse_json(again).isNotNull(), "json").otherwise("raw"))
-               .otherwise("plain"))
-    return pairs.select("page_id", "pos", "key", "value", status.alias("status"),
-                        F.coalesce(F.try_parse_json(again).isNotNull(), F.lit(False)).alias("json_ok"))
+    return url_parameters(us.search_urls(table(spark, sf_dir, "pages")), "url", ["page_id"])
 
 
 @query("q_url_state", "WITH " + us.URLS_SQL + """
