@@ -294,6 +294,29 @@ def test_search_shuffles_each_vector_once_however_many_ask(spark):
     assert sent[5] < 15 * sent[50]  # rows sent grow with the queries, and no vector is copied for them
 
 
+def test_no_python_in_native_layout_plans(spark, docs_of, scratch):
+    turns = spark.createDataFrame([(k % 3, k, "user", f"t{k}") for k in range(60)], "conv_id long, turn long, role string, text string")
+    for frame in (sharding.assign_shards(docs_of([(k, "a") for k in range(40)]), 3, scratch + "/m"), format_chats(turns),
+                  format_chats(turns, bucket_turns=5), format_chat_parts(turns, bucket_turns=5)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "ArrowEval", "MapInArrow"))
+
+
+def test_long_chats_are_numbered_whatever_their_turns_share(spark):
+    """Turns that differ only far into the text, very many equal turns, and no id at all."""
+    head = "h" * 400
+    rows = [(None, 1, "u", f"{head}{k}") for k in range(120)] + [(None, 1, "u", "same")] * 150 + [(7, k, "u", "x") for k in range(3)]
+    rows += [(8, 5, "u", f"{head}{k % 50}") for k in range(90)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = sorted(map(tuple, format_chats(turns).collect()), key=str)
+    hashed = with_prefix_hashes(turns, bucket_turns=16, range_turns=40)
+    places = defaultdict(list)
+    for r in hashed.collect():
+        places[r.conv_id].append(r.pos)
+    assert {c: sorted(p) for c, p in places.items()} == {None: list(range(1, 271)), 7: [1, 2, 3], 8: list(range(1, 91))}
+    assert sorted(map(tuple, format_chats(turns, bucket_turns=16).collect()), key=str) == whole
+
+
 def test_packs_hold_neighbouring_leaves():
     held = {"3:0": 4, "3:1": 5, "3:2": 2, "3:10": 30, "12:0": 1, "3:11": 9}
     packs = kmeans_tree._packs(held, 10)

@@ -82,6 +82,12 @@ def test_no_python_in_native_plans(docs_of):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_counts_are_computed_once_below_a_filter(docs_of):
+    """A caller's filter stays above the counts: the windows are hashed in one place of the plan."""
+    plan = keep_good(docs_of([(1, "a")])).where("doc_id > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.count("regexp_replace(") == 1
+
+
 def test_compiled_rules_equal_python_rules(spark):
     model = RuleModel(-0.5, [((Bound("x", True, 1.5),), 2.0), ((Bound("x", False, 0.5), Bound("y", True, 3.0)), -1e-3)])
     rows = [(x / 4, float(y)) for x in range(9) for y in range(6)]
