@@ -56,6 +56,7 @@ from parcelgrid.session import ensure_checkpoint_dir
 LONGEST = 5
 SHARDS = 2
 BLOCK_WORDS = 1 << 20
+SCAN_WORDS = 4 << 20  # of one task
 FILTER_CELLS = 1 << 23  # a power of two
 SEGMENT_CELLS = 1 << 15
 ROWS_OUT = 1 << 15
@@ -78,13 +79,13 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
 
 
-BLOCKS = "lang string, words array<binary>, hashes binary, ids binary"
+BLOCKS = "lang string, n long, words array<binary>, hashes binary, ids binary"
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang",
                  block_words: int = BLOCK_WORDS) -> None:
-    """Blocks under ``folder``, by shard: the language, its ``words`` with their 64-bit ``hashes``,
-    and ``ids``, the texts as int32 places in ``words``, -1 where a piece ends."""
+    """Blocks under ``folder``, by shard: the language, its number ``n`` of word occurrences, the ``words`` with their
+    64-bit ``hashes``, and ``ids``, the texts as int32 places in ``words``, -1 where a piece ends."""
     narrow = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                          F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
                          F.spark_partition_id().alias("part"))
@@ -96,12 +97,14 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: s
         def blocks():
             shard = (part + flushed) % shards
             listed = [list(numbers)[1:] for numbers, _ in held.values()]  # number 0 is the break
+            texts = [np.concatenate(ids) for _, ids in held.values()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard] * len(held), pa.int32()), pa.array(list(held), pa.string()),
+                 pa.array([int((ids >= 0).sum()) for ids in texts], pa.int64()),
                  pa.array(listed, pa.list_(pa.binary())),
                  pa.array([_word_hashes(lang, words).tobytes() for lang, words in zip(held, listed)], pa.binary()),
-                 pa.array([np.concatenate(ids).tobytes() for _, ids in held.values()], pa.binary())],
-                ["shard", "lang", "words", "hashes", "ids"])
+                 pa.array([ids.tobytes() for ids in texts], pa.binary())],
+                ["shard", "lang", "n", "words", "hashes", "ids"])
 
         for batch in in_slices(batches):
             for lang, text, part in zip(*(c.to_pylist() for c in batch.columns)):  # noqa: B007
@@ -273,12 +276,16 @@ def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, s
                   cells: int = FILTER_CELLS) -> DataFrame:
     """(lang, phrase, length, n): every phrase of 1 to 5 words with at least ``threshold`` occurrences, exactly counted."""
     blocks = spark.read.schema(f"{BLOCKS}, shard int").parquet(shard_folder)
-    used = sorted(r["shard"] for r in blocks.select("shard").distinct().collect())  # at most ``shards`` numbers
+    sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # ``shards`` rows
+    used = sorted(sizes)
     known = PhraseFilter(cells)
     state, last_reach, step = spark.createDataFrame([], STATE), -1, 0
     while used and (step < len(used) or step <= last_reach + len(used)):
         sent = spark.sparkContext.broadcast(known)
-        added = _counted(blocks.where(F.col("shard") == used[step % len(used)]), sent, step, len(used))
+        shard = used[step % len(used)]
+        # a task reads so many words that what it counts combines before the shuffle
+        parts = blocks.where(F.col("shard") == shard).coalesce(max(1, -(-sizes[shard] // SCAN_WORDS)))
+        added = _counted(parts, sent, step, len(used))
         # code: twice the first step, and 1 until the threshold is reached; an open phrase's own code is the smaller one
         rows = state.where("NOT closed").select("key", "code", "n").unionByName(
             added.select("key", F.lit(2 * step + 1).alias("code"), "n"))
@@ -357,11 +364,5 @@ def mine_phrases(docs: DataFrame, threshold: int = 100, top: int = 2000, shards:
 
 def word_totals(spark, shard_folder: str) -> DataFrame:
     """(lang, n): all word occurrences."""
-
-    def total(batches):
-        for batch in batches:
-            n = [int((np.frombuffer(ids, np.int32) >= 0).sum()) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["lang", "n"])
-
     blocks = spark.read.schema(f"{BLOCKS}, shard int").parquet(shard_folder)
-    return blocks.select("lang", "ids").mapInArrow(total, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return blocks.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
