@@ -13,7 +13,9 @@ are searched among themselves.
    node's worth is about what its best vector scores: the product with the centroid
    plus ``ORDER`` times the query's norm times the node's spread.
 4. Pilot: every query is compared with its first leaves, until they hold ``PILOT``
-   times ``k + 1`` ids.  The k-th score found is the query's floor.
+   times ``k + 1`` ids and one in ``PILOT_SHARE`` of all.  The k-th score found is the
+   query's floor; being that of a fixed share, it leaves as many better ones in a large
+   table as in a small one.
 5. The walk ends after a calibrated number of leaves, and earlier where no leaf with
    a worth this low, raised to ``SURE`` spreads, can reach the query's floor.  What it
    and the pilot met is compared, and only what reaches the floor is sent on.
@@ -51,7 +53,7 @@ CALIBRATION = 200
 BRANCHING = 16
 LEAF_CLASSES, MAX_LEAVES = 8, 4096
 TREE_CLASSES = 200
-PILOT = 4
+PILOT, PILOT_SHARE = 4, 64
 ORDER, SURE = 2.0, 5.0  # spreads
 PACKS, PACK_LEAST, PACK_MOST = 1024, 1024, 1 << 18
 QUERIES_AT_ONCE = 1024
@@ -329,7 +331,7 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
         d, leaf = map(int, r["leaf"].split(":"))
         if d in sizes:
             sizes[d][leaf] = r["ids"]
-    least = PILOT * (k + 1)
+    least = {d: max(PILOT * (k + 1), sum(own) // PILOT_SHARE) for d, own in sizes.items()}
 
     def ask(queries: DataFrame, most: int) -> DataFrame:
         """Queries by the packs they visit, with the leaves there: the pilot's and at most ``most``."""
@@ -339,7 +341,7 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
                 for query, floor, v in zip(part["query_id"], part["least"], part["v"]):
                     d, q, own = len(v), np.asarray(v, np.float64), [0]
                     if d in sizes:
-                        own = trees.value[d].visits(q, most, floor, sizes[d], least)
+                        own = trees.value[d].visits(q, most, floor, sizes[d], least[d])
                     there: dict[int, list[int]] = {}
                     for leaf in own:
                         for pack in packs.get(f"{d}:{leaf}", ()):
@@ -361,7 +363,7 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
     return found.select("query_id", "rank", "vec_id", "score"), about
 
 
-def _calibrated(filed: DataFrame, queries: DataFrame, trees: dict[int, Tree], sizes: dict[int, list[int]], least: int,
+def _calibrated(filed: DataFrame, queries: DataFrame, trees: dict[int, Tree], sizes: dict[int, list[int]], least: dict[int, int],
                 k: int, target: float, n: int) -> tuple[int, dict]:
     """The least number of leaves at which the sampled queries' mean recall reaches ``target`` and few fall under half of it."""
     total = max((len(own) for own in sizes.values()), default=1)
@@ -386,9 +388,9 @@ def _calibrated(filed: DataFrame, queries: DataFrame, trees: dict[int, Tree], si
     places, held, pilots = [], [], []
     for q, floor, v in zip(some["query_id"], some["least"], some["v"]):
         tree, own, query = trees[len(v)], sizes[len(v)], np.asarray(v, np.float64)
-        walk = tree.visits(query, total, floor, own, least)
+        walk = tree.visits(query, total, floor, own, least[len(v)])
         at = {leaf: p for p, leaf in enumerate(walk)}
-        pilots.append(len(tree.pilot(query, own, least)))
+        pilots.append(len(tree.pilot(query, own, least[len(v)])))
         places.append(np.array([at.get(leaf, total) for leaf in wanted.get(q, [])]))
         held.append(np.cumsum([own[leaf] for leaf in walk]) / max(1, sum(own)))
     most = 1

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -24,7 +26,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(parcelgrid.__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="parcelgrid-py-"), "parcelgrid_package.zip")
+    folder = tempfile.mkdtemp(prefix="parcelgrid-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "parcelgrid_package.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for folder, _, names in os.walk(root):
             for name in sorted(names):
