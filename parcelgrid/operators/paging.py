@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelgrid.functions.payload import RESULT_ARRAYS
+
 MAX_PAGES = 50  # fixed value: the crawler's page cap per tile
 MODE_CAP = "mode"  # the cap that belongs to the mode: MAX_PAGES in browser mode, none in library mode
 
@@ -161,3 +163,16 @@ def tile_outcome(totals: DataFrame, has_coordinates=None) -> DataFrame:
     return (totals.withColumn("outcome", outcome)
             .withColumn("visited", F.col("outcome").isin("saved", "empty"))
             .withColumn("visited_parity", F.col("outcome") != "not saved"))
+
+
+def tile_payloads(deduped: DataFrame, tile: str = "tile", page: str = "page", id_col: str = "item_id",
+                  arrays=RESULT_ARRAYS) -> DataFrame:
+    """``(tile, payload)``: the merged result document of each tile as JSON text, every
+    array's items in (page, position) order.  An array holds what the merged pages of
+    one tile hold, which the page cap bounds."""
+    def array(name):
+        own = F.collect_list(F.when((F.col("result_type") == name) & F.col(id_col).isNotNull(), F.struct(page, "pos", id_col)))
+        return F.transform(F.array_sort(own), lambda item: item[id_col]).alias(name)
+
+    return deduped.groupBy(tile).agg(*[array(name) for name in arrays]).select(
+        tile, F.to_json(F.struct(*arrays)).alias("payload"))

@@ -8,7 +8,7 @@ from parcelgrid.operators.dedupe import explode_results, master_list
 from parcelgrid.plans.registry import query
 from parcelgrid.plans.standins import scratch_folder, tile_documents_from_pages
 from parcelgrid.session import table
-from parcelgrid.sinks.writers import write_tile_store
+from parcelgrid.sinks.writers import write_master_list, write_tile_store
 from parcelgrid.sources.tiles import observe_rejects, parsed_documents, split_documents
 
 FIRST_WINS_SQL = r"""
@@ -68,6 +68,16 @@ def q_quarantine(spark, sf_dir):
                            accepted.select(F.count(F.lit(1))).scalar().alias("n_accepted"))
 
 
+@query("q_written_master", FIRST_WINS_SQL)
+def q_written_master(spark, sf_dir):
+    """A2 -> K2: the master list is written as a table and as JSON lines, and read back from the lines."""
+    folder = scratch_folder(spark, sf_dir, "master")
+    docs = tile_documents_from_pages(table(spark, sf_dir, "pages"))
+    master = _master(parsed_documents(docs))
+    write_master_list(master, f"{folder}/table", f"{folder}/lines")
+    return spark.read.schema(master.schema).json(f"{folder}/lines")
+
+
 @query("q_tile_files", FIRST_WINS_SQL)
 def q_tile_files(spark, sf_dir):
     """S1/K1 on real files: the tile documents go to a store that keeps many documents a

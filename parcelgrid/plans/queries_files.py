@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelgrid.operators.grid import pick_links
 from parcelgrid.operators.inventory import (distinct_listing_numbers, folder_count, folder_inventory, quarantine,
                                             sorted_listing, year_combos)
+from parcelgrid.operators.ledger import LEDGER_FILE, next_null_number, sync_house_ledger
+from parcelgrid.operators.model import features_and_target
 from parcelgrid.operators.report import house_report, house_statuses, profile, run_report, tile_progress
 from parcelgrid.plans.registry import query
 from parcelgrid.plans.standins import scratch_folder
 from parcelgrid.session import table
-from parcelgrid.sinks.writers import write_named_files
-from parcelgrid.sources.files import file_inventory, offset_csv_column
+from parcelgrid.sinks.writers import write_links, write_named_files
+from parcelgrid.sources.files import file_inventory, list_files, offset_csv_column, read_csv_table
 
 
 @query("q_distinct_listing_no", """
@@ -198,6 +201,58 @@ def q_link_lookup(spark, sf_dir):
     return pick_links(links, wanted)
 
 
+@query("q_house_folder", """
+WITH n AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'nullzpid_' || CAST(s_suppkey AS VARCHAR) WHEN 1 THEN 'x' || CAST(s_suppkey AS VARCHAR)
+                  ELSE CAST(s_suppkey AS VARCHAR) END AS stem, s_suppkey % 7 = 0 AS is_text FROM supplier)
+SELECT stem AS zpid, (SELECT max(s_suppkey) + 1 FROM n WHERE s_suppkey % 5 = 0 AND NOT is_text) AS next_number
+FROM n WHERE s_suppkey % 5 > 1 AND NOT is_text
+UNION SELECT CAST(n_nationkey + 100000 AS VARCHAR), (SELECT max(s_suppkey) + 1 FROM n WHERE s_suppkey % 5 = 0 AND NOT is_text) FROM nation""")
+def q_house_folder(spark, sf_dir):
+    """S3/J6/U13/A8 on written files: house documents named by supplier are listed by
+    metadata; their all-digit stems join the ledger, and the next null number follows."""
+    k = F.col("s_suppkey")
+    stem = (F.when(k % 5 == 0, F.concat(F.lit("nullzpid_"), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit("x"), k.cast("string")))
+            .otherwise(k.cast("string")))
+    name = F.concat(stem, F.when(k % 7 == 0, F.lit(".txt")).otherwise(F.lit(".json")))
+    files = table(spark, sf_dir, "supplier").select(name.alias("path"), F.lit("{}").alias("content"))
+    files = files.unionByName(spark.range(1).select(F.lit(LEDGER_FILE).alias("path"), F.lit("[]").alias("content")))
+    folder = scratch_folder(spark, sf_dir, "houses")
+    write_named_files(files, folder)
+    names = list_files(spark, folder)
+    ledger = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100_000).cast("string").alias("zpid"))
+    return sync_house_ledger(ledger, names).withColumn("next_number", next_null_number(names))
+
+
+@query("q_csv_table", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def q_csv_table(spark, sf_dir):
+    """A CSV table with a header, written and read back by schema."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    folder = scratch_folder(spark, sf_dir, "csv")
+    suppliers.write.mode("overwrite").option("header", "true").csv(folder)
+    return read_csv_table(spark, folder, suppliers.schema)
+
+
+@query("q_written_links", """
+SELECT c_custkey AS idx, c_name AS link, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer""")
+def q_written_links(spark, sf_dir):
+    """The link plan is written in index order; ``place`` is a row's position in
+    the files as they lie, file by file."""
+    folder = scratch_folder(spark, sf_dir, "links")
+    write_links(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("link")), folder)
+    rows = spark.read.parquet(folder).select("idx", "link", F.col("_metadata.file_name").alias("file"),
+                                             F.col("_metadata.row_index").alias("at"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    files = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(files, "file").select("idx", "link", (F.col("before") + F.col("at")).alias("place"))
+
+
+@query("q_features", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders""")
+def q_features(spark, sf_dir):
+    """The feature table, without the target and the text column."""
+    return features_and_target(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"])
+
+
 @query("q_run_report", """
 WITH v AS (
   SELECT day(ts) AS run_id, user_id AS tile, event_type <> 'error' AS success, value AS seconds,

@@ -63,6 +63,20 @@ def write_tile_store(df: DataFrame, path: str, key: str = "tile_key", buckets: i
         .partitionBy("bucket").parquet(path))
 
 
+def save_tiles(results: DataFrame, store: str, ledger: str, run_id: str, key: str = "tile", payload: str = "payload") -> None:
+    """Save a run's tiles with their outcome in one chain (V4 -> K1 -> K4).
+
+    ``results`` has one row per tile with ``outcome``, ``visited`` and the merged
+    ``payload``.  All go to the tile store, with a payload where the tile is saved; the
+    visited ones are then appended to the ledger from what the store holds, so no tile
+    is marked before its document is written, and the tiles are computed once.
+    """
+    kept = F.when(F.col("outcome") == "saved", F.col(payload))
+    write_tile_store(results.select(key, "outcome", "visited", kept.alias(payload), F.lit(run_id).alias("run_id")), store, key)
+    stored = results.sparkSession.read.parquet(store)
+    append_ledger(stored.filter((F.col("run_id") == run_id) & F.col("visited")).select(key), ledger, run_id)
+
+
 def write_named_files(df: DataFrame, root: str, path_col: str = "path", content_col: str = "content") -> None:
     """One file per row under ``root`` at the row's relative path, written by the tasks
     (K1/S6 layouts that other programs read).  A repeated task writes the same files.

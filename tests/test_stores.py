@@ -13,7 +13,8 @@ from parcelgrid.operators.indexing import dense_index, positional_folds, ranked
 from parcelgrid.operators.inventory import distinct_file_names, file_listing, sorted_listing, year_combos
 from parcelgrid.operators.report import head, house_report, house_statuses, tile_progress
 from parcelgrid.operators.reshape import listing_filter, listing_filter_sets
-from parcelgrid.sinks.writers import append_ledger, write_named_files, write_tile_store
+from parcelgrid.operators.paging import tile_payloads
+from parcelgrid.sinks.writers import append_ledger, save_tiles, write_named_files, write_tile_store
 from parcelgrid.sources.ledgers import corrupt_files, read_ledger
 from parcelgrid.sources.tiles import parsed_documents, split_documents
 
@@ -162,3 +163,26 @@ def test_named_files_land_where_their_rows_say(spark, scratch):
     found = {os.path.relpath(f, f"{scratch}/tree"): open(f).read() for f in glob.glob(f"{scratch}/tree/**", recursive=True)
              if os.path.isfile(f)}
     assert found == {r.path: r.content for r in rows.collect()}
+
+
+def test_payloads_keep_the_order_of_pages(spark):
+    items = spark.createDataFrame([(1, "listResults", "b", 2, 0), (1, "listResults", "a", 1, 7), (1, "listResults", "c", 2, 1),
+                                   (1, "mapResults", "m", 1, 0), (1, "relaxedResults", None, 1, 0), (2, "mapResults", "z", 3, 3)],
+                                  "tile long, result_type string, item_id string, page long, pos long")
+    got = {r.tile: json.loads(r.payload) for r in tile_payloads(items).collect()}
+    assert got == {1: {"relaxedResults": [], "listResults": ["a", "b", "c"], "mapResults": ["m"]},
+                   2: {"relaxedResults": [], "listResults": [], "mapResults": ["z"]}}
+
+
+def test_saved_tiles_and_their_ledger_agree_after_a_second_run(spark, scratch):
+    store, ledger = f"{scratch}/store", f"{scratch}/ledger"
+    rows = [(1, "saved", True, "{1}"), (2, "not saved", False, "{2}"), (3, "failed", False, None), (4, "empty", True, None)]
+    schema = "tile long, outcome string, visited boolean, payload string"
+    for _ in range(2):  # the same run again changes nothing
+        save_tiles(spark.createDataFrame(rows, schema), store, ledger, "run-1")
+    again = [(3, "saved", True, "{3}"), (2, "saved", True, "{2b}")]
+    save_tiles(spark.createDataFrame(again, schema), store, ledger, "run-2")
+    stored = {r.tile: (r.outcome, r.payload, r.run_id) for r in spark.read.parquet(store).collect()}
+    assert stored == {1: ("saved", "{1}", "run-1"), 2: ("saved", "{2b}", "run-2"), 3: ("saved", "{3}", "run-2"),
+                      4: ("empty", None, "run-1")}
+    assert sorted(r.tile for r in read_ledger(spark, ledger, "tile long, run_id string", ["tile"]).collect()) == [1, 2, 3, 4]
