@@ -126,7 +126,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, text_col: s
         pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it keeps
 
     coded = narrow.mapInArrow(encode, f"shard int, {BLOCKS}")
-    coded.write.partitionBy("shard").parquet(folder)
+    coded.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
 
 
 def filter_places(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +295,7 @@ def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, s
         one = one.withColumn("code", F.col("code") - F.col("newly").cast("int"))
         path = f"{folder}/open-{step % 2}"
         # a phrase below the threshold is done with after its cycle
-        one.where((F.col("n") >= threshold) | ~F.col("closed")).write.mode("overwrite").parquet(path)
+        one.where((F.col("n") >= threshold) | ~F.col("closed")).write.mode("overwrite").option("compression", "zstd").parquet(path)
         state = spark.read.schema(STATE).parquet(path)
         state.where("closed").select("key", "n").write.mode("append").parquet(f"{folder}/counted")
         reached = state.where("newly")
@@ -304,6 +304,10 @@ def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, s
             last_reach = max(known.latest) - 1
         sent.destroy()
         step += 1
+        # Spark deletes the shuffle files of a step when the driver's collector finds its plan unused; the driver's heap
+        # may not fill up for many steps, while the executors' disks do
+        del rows, one, added, parts, reached
+        spark.sparkContext._jvm.System.gc()
     if not used:
         return spark.createDataFrame([], "lang string, phrase binary, length int, n long")
     found = spark.read.schema("key binary, n long").parquet(f"{folder}/counted").groupBy("key").agg(F.max("n").alias("n"))
