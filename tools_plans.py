@@ -26,10 +26,10 @@ def main() -> None:
     from parcelgrid.session import build_session
 
     spark = build_session(shuffle_partitions=16)
-    import __spark_entry__ as entry
+    from parcelgrid.plans import QUERIES
 
     rows = []
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         if name in ("q_gbt", "q_early_stop", "q_model_report"):
             continue
         df = fn(spark, sf_dir)
