@@ -10,21 +10,23 @@ pieces into words at spaces and tabs.  Everything is counted per language.
    of all lengths side by side.  Words are active from the first step.  A longer
    phrase becomes active as soon as both its subphrases (without its last and
    without its first word) have reached the threshold in the shards read so far,
-   and is counted for one full cycle from then on: its count is then exact.  The
-   run ends when no active phrase is left, after ``5 * shards`` steps at most.
+   and stays so for one full cycle.  A phrase at the threshold has at least its
+   ``shards``-th part in some shard: an active phrase opens with the first shard that
+   holds so many of it, and is counted for one full cycle from there, after which its
+   count is exact.  What opens nowhere is never kept from step to step.  The run ends
+   when nothing is active or open, after ``5 * (2 * shards - 1)`` steps at most.
 3. ``collocations`` scores the phrases that reached the threshold.
 
 A phrase and its language are one binary key in the shuffles, and an open phrase
 carries one number beside its count, so that a row there is small.
 
-What a scan may skip is told by a filter of fixed size (``FILTER_CELLS`` bytes
-for each of the lengths 1 to 4), the only thing that is broadcast: a cell holds
-the last step at which a phrase of that hash reached the threshold.  The filter
-never hides an active phrase, and counts are kept by the whole phrase in tables: a
-phrase counts from the first step it was seen in, for ``shards`` steps.  A shard in
-which it was active but not seen adds nothing, so the count over these steps is that
-of a full cycle.  A phrase that the filter lets pass again later, by mistake, gets a
-second count that is no larger; the larger one is taken.
+What a scan may skip is told by a filter of fixed size (``FILTER_CELLS`` bytes for
+each of nine tables), the only thing that is broadcast: a cell holds the last step at
+which a phrase of that hash reached the threshold, or opened.  The filter never hides
+an active or open phrase, and counts are kept by the whole phrase in tables.  A phrase
+that it lets pass again later, by mistake, may get a second count that is no larger;
+the larger one is taken.  Length ``n`` is scanned in the first ``n * (2 * shards - 1)``
+steps only, in which every phrase of that length has been active and open.
 
 Open phrases are written as a table after every step (two folders, in turn), so that
 a lost executor repeats one step at most.  Counts of a block are combined in the task that reads
@@ -57,7 +59,7 @@ LONGEST = 5
 SHARDS = 2
 BLOCK_WORDS = 1 << 20
 SCAN_WORDS = 4 << 20  # of one task
-FILTER_CELLS = 1 << 23  # a power of two
+FILTER_CELLS = 1 << 22  # a power of two
 SEGMENT_CELLS = 1 << 15
 ROWS_OUT = 1 << 15
 BREAK = b"\xff"  # in no UTF-8 text
@@ -136,7 +138,7 @@ def filter_places(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarra
 
 
 class PhraseFilter:
-    """For each length: the last step (from 1; 0: none) at which a phrase of a hash reached the threshold.
+    """For each length: the last step (from 1; 0: none) at which a phrase of a hash reached the threshold, and opened.
 
     Cells only grow, and a hash is present when both its cells are set; its step is
     the larger one.  So from the step at which a phrase first passes, it goes on
@@ -144,13 +146,30 @@ class PhraseFilter:
     """
 
     def __init__(self, cells: int = FILTER_CELLS):
-        self.cells = np.zeros((LONGEST - 1, cells), np.uint8)
-        self.latest = [0] * LONGEST  # by length: the last step at which any phrase got there
+        self.reached = np.zeros((LONGEST - 1, cells), np.uint8)
+        self.opened = np.zeros((LONGEST, cells), np.uint8)
+        self.last_reached, self.last_opened = [0] * (LONGEST + 1), [0] * (LONGEST + 1)  # of any phrase, by length
 
-    def last_step(self, length: int, hashes: np.ndarray) -> np.ndarray:
-        own = self.cells[length - 1]
-        a, b = (own[place] for place in filter_places(hashes, len(own)))
-        return np.where((a > 0) & (b > 0), np.maximum(a, b), 0)
+    def active(self, length: int, step: int, shards: int) -> bool:
+        """Whether a phrase of this length may be active in ``step`` (from 0)."""
+        if length == 1:
+            return step < shards
+        return bool(self.last_reached[length - 1]) and self.last_reached[length - 1] + shards > step
+
+    def held(self, length: int, step: int, shards: int) -> bool:
+        """Whether an open phrase of this length may need ``step``."""
+        return bool(self.last_opened[length]) and self.last_opened[length] + shards > step + 1
+
+    def lengths(self, step: int, shards: int) -> list[int]:
+        """The lengths that ``step`` has to count."""
+        return [n for n in range(1, LONGEST + 1) if step < n * (2 * shards - 1)
+                and (self.active(n, step, shards) or self.held(n, step, shards))]
+
+
+def last_step(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The step of each hash in a filter table, 0 where it is not present."""
+    a, b = (table[place] for place in filter_places(hashes, len(table)))
+    return np.where((a > 0) & (b > 0), np.maximum(a, b), 0)
 
 
 def _longer(hashes: np.ndarray, next_word: np.ndarray) -> np.ndarray:
@@ -160,16 +179,21 @@ def _longer(hashes: np.ndarray, next_word: np.ndarray) -> np.ndarray:
 
 
 def count_block(words: pa.Array, of_word: np.ndarray, ids: np.ndarray, known: PhraseFilter, step: int, shards: int):
-    """(length, phrases, counts) of the phrases of a block that may be active in ``step`` (from 0).
+    """(phrases, counts) of the phrases of a block that may be active or open in ``step`` (from 0).
 
-    A phrase may come more than once; its counts add up.  A length without an active
-    phrase costs no look-up.
+    A phrase may come more than once; its counts add up.  A length of which nothing is
+    active or open costs no look-up.
     """
-    if step < shards and len(words):
-        yield 1, words, np.bincount(ids[ids >= 0], minlength=len(words))
-    lengths = [n for n in range(2, LONGEST + 1) if known.latest[n - 1] and known.latest[n - 1] + shards > step]
+    lengths = known.lengths(step, shards)
     if not lengths or not len(words):
         return
+    if 1 in lengths:
+        counts = np.bincount(ids[ids >= 0], minlength=len(words))
+        if known.active(1, step, shards):
+            yield words, counts
+        else:
+            own = np.flatnonzero(last_step(known.opened[0], of_word).astype(np.int32) + shards > step + 1)
+            yield words.take(pa.array(own)), counts[own]
     n = len(ids)
     places = np.arange(n, dtype=np.int32)
     next_break = np.minimum.accumulate(np.where(ids < 0, places, np.int32(n))[::-1])[::-1]
@@ -180,13 +204,18 @@ def count_block(words: pa.Array, of_word: np.ndarray, ids: np.ndarray, known: Ph
         if length in lengths:
             reached = np.zeros(n, np.uint8)
             shorter = np.flatnonzero(room >= length - 1)
-            reached[shorter] = known.last_step(length - 1, hashes[shorter])
+            reached[shorter] = last_step(known.reached[length - 2], hashes[shorter])
             own = np.flatnonzero(room >= length)
             first, rest = reached[own], reached[own + 1]
-            own = own[(first > 0) & (rest > 0) & (np.maximum(first, rest).astype(np.int32) + shards > step)]
-            if len(own):
-                for phrases, counts in _grouped(words, ids, own, _longer(hashes[own], word_at[own + length - 1]), length):
-                    yield length, phrases, counts
+            both = (first > 0) & (rest > 0)
+            own, since = own[both], np.maximum(first, rest)[both].astype(np.int32)
+            longer = _longer(hashes[own], word_at[own + length - 1])
+            passed = since + shards > step
+            if known.held(length, step, shards):
+                later = np.flatnonzero(~passed)
+                passed[later] = last_step(known.opened[length - 1], longer[later]).astype(np.int32) + shards > step + 1
+            if passed.any():
+                yield from _grouped(words, ids, own[passed], longer[passed], length)
         hashes[:n - length + 1] = _longer(hashes[:n - length + 1], word_at[length - 1:])
 
 
@@ -229,7 +258,7 @@ def _counted(blocks: DataFrame, known: Broadcast, step: int, shards: int) -> Dat
                 lang, words, hashes, ids = (batch.column(c)[row] for c in range(4))
                 begin = pa.scalar(lang.as_py().encode() + KEY_END, pa.binary())
                 of_word, ids = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((hashes, np.uint64), (ids, np.int32)))
-                for _, phrases, counts in count_block(words.values, of_word, ids, known.value, step, shards):
+                for phrases, counts in count_block(words.values, of_word, ids, known.value, step, shards):
                     for at in range(0, len(phrases), ROWS_OUT):
                         part, n = phrases.slice(at, ROWS_OUT), counts[at:at + ROWS_OUT].astype(np.int64)
                         keys = pc.binary_join_element_wise(begin, part, pa.scalar(b"", pa.binary()))
@@ -240,36 +269,44 @@ def _counted(blocks: DataFrame, known: Broadcast, step: int, shards: int) -> Dat
     return blocks.select("lang", "words", "hashes", "ids").mapInArrow(scan, "key binary, n long")
 
 
-def _mark(known: PhraseFilter, reached: DataFrame, step: int) -> None:
-    """Enter the phrases that reached the threshold; a bit a cell comes to the driver at most."""
-    cells = known.cells.shape[1]
+def _mark(known: PhraseFilter, changed: DataFrame, step: int) -> None:
+    """Enter the phrases that opened or reached the threshold; a bit a cell comes to the driver at most."""
+    cells = known.opened.shape[1]
     width = min(cells, SEGMENT_CELLS)
 
     def hashed(batches):
         for batch in batches:
             found = [_phrase_hash(*_key_parts(key)) for key in batch.column(0).to_pylist()]
-            found = [f for f in found if f[0] < LONGEST]
             lengths = np.array([n for n, _ in found], np.int32)
             places = np.concatenate(filter_places(np.array([h for _, h in found], np.uint64), cells)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(lengths, 2)), pa.array(places // width), pa.array(places % width)],
-                ["length", "segment", "cell"])
+            flags = [np.tile(batch.column(c).to_numpy(zero_copy_only=False).astype(bool), 2) for c in (1, 2)]
+            for kind, flag in enumerate(flags):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(flag.sum()), kind, np.int32)), pa.array(np.tile(lengths, 2)[flag]),
+                     pa.array(places[flag] // width), pa.array(places[flag] % width)], ["kind", "length", "segment", "cell"])
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:  # distinct cells of one segment: SEGMENT_CELLS rows at most
         bits = np.zeros(width, bool)
         bits[part["cell"]] = True
-        return pd.DataFrame({"length": part["length"].iloc[:1], "segment": part["segment"].iloc[:1],
-                             "bits": [np.packbits(bits).tobytes()]})
+        return pd.DataFrame({"kind": part["kind"].iloc[:1], "length": part["length"].iloc[:1],
+                             "segment": part["segment"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
-    found = reached.select("key").mapInArrow(hashed, "length int, segment long, cell long").distinct()
-    segments = found.groupBy("length", "segment").applyInPandas(packed, "length int, segment long, bits binary")
+    found = changed.select("key", "opened", "newly").mapInArrow(hashed, "kind int, length int, segment long, cell long")
+    segments = found.distinct().groupBy("kind", "length", "segment").applyInPandas(
+        packed, "kind int, length int, segment long, bits binary")
     for r in segments.collect():
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=width).astype(bool)
-        known.cells[r["length"] - 1, r["segment"] * width:(r["segment"] + 1) * width][bits] = step + 1
-        known.latest[r["length"]] = step + 1
+        if r["kind"] == 0:
+            table, last = known.opened, known.last_opened
+        elif r["length"] < LONGEST:
+            table, last = known.reached, known.last_reached
+        else:
+            continue
+        table[r["length"] - 1, r["segment"] * width:(r["segment"] + 1) * width][bits] = step + 1
+        last[r["length"]] = step + 1
 
 
-STATE = "key binary, code int, n long, newly boolean, closed boolean"
+STATE = "key binary, code int, n long, opened boolean, newly boolean, closed boolean"
 
 
 def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, shards: int = SHARDS,
@@ -278,9 +315,10 @@ def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, s
     blocks = spark.read.schema(f"{BLOCKS}, shard int").parquet(shard_folder)
     sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # ``shards`` rows
     used = sorted(sizes)
+    share = -(-threshold // max(1, len(used)))  # some shard holds so many of a phrase at the threshold
     known = PhraseFilter(cells)
-    state, last_reach, step = spark.createDataFrame([], STATE), -1, 0
-    while used and (step < len(used) or step <= last_reach + len(used)):
+    state, step = spark.createDataFrame([], STATE), 0
+    while used and known.lengths(step, len(used)):
         sent = spark.sparkContext.broadcast(known)
         shard = used[step % len(used)]
         # a task reads so many words that what it counts combines before the shuffle
@@ -290,23 +328,23 @@ def count_phrases(shard_folder: str, spark, folder: str, threshold: int = 100, s
         rows = state.where("NOT closed").select("key", "code", "n").unionByName(
             added.select("key", F.lit(2 * step + 1).alias("code"), "n"))
         one = rows.groupBy("key").agg(F.min("code").alias("code"), F.sum("n").alias("n"))
+        one = one.withColumn("opened", F.col("code") == 2 * step + 1).where(~F.col("opened") | (F.col("n") >= share))
         one = one.withColumn("newly", (F.col("code") % 2 == 1) & (F.col("n") >= threshold))
         one = one.withColumn("closed", F.floor(F.col("code") / 2) + len(used) <= step + 1)
         one = one.withColumn("code", F.col("code") - F.col("newly").cast("int"))
         path = f"{folder}/open-{step % 2}"
         # a phrase below the threshold is done with after its cycle
-        one.where((F.col("n") >= threshold) | ~F.col("closed")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        one = one.where((F.col("n") >= threshold) | ~F.col("closed"))
+        (one.select("key", "code", "n", "opened", "newly", "closed").write.mode("overwrite")
+         .option("compression", "zstd").parquet(path))
         state = spark.read.schema(STATE).parquet(path)
         state.where("closed").select("key", "n").write.mode("append").parquet(f"{folder}/counted")
-        reached = state.where("newly")
-        if not reached.isEmpty():
-            _mark(known, reached, step)
-            last_reach = max(known.latest) - 1
+        _mark(known, state.where("opened OR newly"), step)
         sent.destroy()
         step += 1
         # Spark deletes the shuffle files of a step when the driver's collector finds its plan unused; the driver's heap
         # may not fill up for many steps, while the executors' disks do
-        del rows, one, added, parts, reached
+        del rows, one, added, parts
         spark.sparkContext._jvm.System.gc()
     if not used:
         return spark.createDataFrame([], "lang string, phrase binary, length int, n long")

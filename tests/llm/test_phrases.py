@@ -100,9 +100,22 @@ def test_filter_passes_a_phrase_for_a_full_cycle():
     hashes = rng.integers(0, 1 << 63, 40).astype(np.uint64)
     first = {}
     for step in range(12):
-        for k, last in enumerate(known.last_step(1, hashes)):
+        for k, last in enumerate(P.last_step(known.reached[0], hashes)):
             if last:
                 first.setdefault(k, step)
                 assert last >= first[k]
         for place in P.filter_places(hashes[3 * step:3 * step + 3], 64):
-            known.cells[0, place] = step + 1
+            known.reached[0, place] = step + 1
+
+
+def test_only_open_phrases_go_from_step_to_step(spark, scratch):
+    """A phrase that no shard holds often enough to reach the threshold is in no written table."""
+    rows = [(k, f"often said words here own{k} own{k}b. " + "rare pair " * (k % 9 == 0), "en") for k in range(120)]
+    docs = spark.createDataFrame([(*r, "", "", 0, 0) for r in rows], TYPE).repartition(3)
+    P.write_shards(docs, scratch + "/shards", 3, block_words=80)
+    found = P.count_phrases(scratch + "/shards", spark, scratch + "/counts", 60, 3, 1 << 12)
+    assert {bytes(r.phrase).decode() for r in found.collect()} == {
+        "often", "said", "words", "here", "often said", "said words", "words here", "often said words", "said words here",
+        "often said words here"}
+    last = spark.read.parquet(scratch + "/counts/open-0").count() + spark.read.parquet(scratch + "/counts/open-1").count()
+    assert last <= 20  # 240 own words and their pairs never opened
