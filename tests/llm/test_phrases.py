@@ -119,3 +119,25 @@ def test_only_open_phrases_go_from_step_to_step(spark, scratch):
         "often said words here"}
     last = spark.read.parquet(scratch + "/counts/open-0").count() + spark.read.parquet(scratch + "/counts/open-1").count()
     assert last <= 20  # 240 own words and their pairs never opened
+
+
+def test_shuffle_files_go_as_a_step_ends(spark, tmp_path):
+    """One query's shuffle files do not lie beside the next one's; the setting is as before afterwards."""
+    import time
+
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in _all_files(root))
+    was, before = spark.conf.get(P.FREED, None), files()
+    with P.shuffle_files_freed(spark):
+        spark.range(10_000).selectExpr("id % 977 AS k").groupBy("k").count().write.parquet(str(tmp_path / "t"))
+    until = time.monotonic() + 10
+    while files() > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(P.FREED, None) == was
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 977
+
+
+def _all_files(disk):
+    found = disk.getAllFiles().iterator()
+    while found.hasNext():
+        yield found.next()
