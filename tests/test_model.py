@@ -109,3 +109,12 @@ def test_model_input_is_partitioned_by_rows(spark):
     none = model_input(spark.range(0))
     assert none.count() == 0
     none.unpersist()
+
+
+def test_model_input_has_few_tasks_until_they_have_work(spark):
+    """A tree is two stages per level: tasks of a few rows cost more to start than they count."""
+    cores = spark.sparkContext.defaultParallelism
+    for n, want in ((150_000, 3), (900_000, min(cores, 5))):
+        kept = model_input(spark.range(0, n, 1, 16))
+        assert kept.rdd.getNumPartitions() == want and kept.count() == n
+        kept.unpersist()
