@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.operators.model import (assemble, assign_splits, best_point, early_stop_index, first_trees,
                                         fit_with_early_stop, gbt, gbt_at, grid_points, load_model, model_input,
-                                        params_of, regression_metrics, report_splits, save_model)
+                                        next_rounds, params_of, regression_metrics, report_splits, save_model)
 from parcelgrid.plans import QUERIES
 from parcelgrid.plans.queries_model import search
 
@@ -118,3 +118,32 @@ def test_model_input_has_few_tasks_until_they_have_work(spark):
         kept = model_input(spark.range(0, n, 1, 16))
         assert kept.rdd.getNumPartitions() == want and kept.count() == n
         kept.unpersist()
+
+
+def test_model_input_gives_every_core_as_many_tasks(spark, monkeypatch):
+    """One task more than cores would double the time of every level of every tree."""
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("parcelgrid.operators.model.ROWS_PER_PARTITION", 1000)
+    kept = model_input(spark.range(0, cores * 1000 + 1, 1, 16))
+    assert kept.rdd.getNumPartitions() == 2 * cores and kept.count() == cores * 1000 + 1
+    kept.unpersist()
+
+
+def test_next_rounds_goes_to_the_end_when_errors_fall_steadily():
+    steady, flat = [1 - 0.001 * k for k in range(125)], [0.3 + 0.9 ** k for k in range(125)]
+    assert next_rounds(steady, 1000, 50) == 1000
+    assert next_rounds(flat, 1000, 50) == 250 and next_rounds(flat + flat[-1:] * 500, 1000, 50) == 1000
+    assert next_rounds(steady[:64], 1000, 50) == 128  # too few rounds to tell
+
+
+def test_early_stop_goes_to_all_rounds_at_once_and_changes_nothing(spark, monkeypatch):
+    rows = _signal(spark)
+    prep, data = assemble(rows, ["x", "z"])
+    kept = model_input(prep.transform(data).select("refit_part", "y_log", "features"), 2)
+    fit, stop = (kept.filter(F.col("refit_part") == part) for part in ("fit", "stop"))
+    runs, point = [], {"max_depth": 3, "learning_rate": 0.01}
+    monkeypatch.setattr("parcelgrid.operators.model.gbt_at", lambda p, n: runs.append(n) or gbt_at(p, n))
+    model, best, stop_at = fit_with_early_stop(fit, stop, point, rounds=24, patience=2, first=5)
+    errors = [e ** 0.5 for e in gbt_at(point, 24).fit(fit).evaluateEachIteration(stop, "squared")]
+    assert runs == [5, 24] and (best, stop_at) == early_stop_index(errors, 2) and model.getNumTrees == best + 1
+    kept.unpersist()
