@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelgrid.llm import phrases as P
@@ -121,6 +123,35 @@ def test_only_open_phrases_go_from_step_to_step(spark, scratch):
     assert last <= 20  # 240 own words and their pairs never opened
 
 
+def test_shards_take_less_disk_than_the_texts(spark, scratch):
+    """What a scan can make again from the words is not written, and the rest compresses."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 12))) for _ in range(20_000)]
+    often = [1 / (k + 3) for k in range(len(words))]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, often, k=400)), "en", "", "", 0, 0) for k in range(400)],
+                                 TYPE).coalesce(1)
+    docs.select("text", "lang").write.option("compression", "zstd").parquet(scratch + "/texts")
+    P.write_shards(docs, scratch + "/shards", 2, block_words=80_000)
+    size = {name: sum(f.stat().st_size for f in Path(scratch, name).rglob("*.parquet")) for name in ("texts", "shards")}
+    assert size["shards"] < size["texts"]
+
+
+@pytest.mark.parametrize("words, ids", [
+    ([], [-1, -1]), ([b"x"], [0, -1]), ([b"b", b"a\x00", b"a", "\u00fc".encode(), b"w" * 64, b"w" * 65, b"w" * 64 + b"v"],
+                                        [-1, 6, 5, 6, -1, 0, 1, 2, 3, 4, 6, -1])])
+def test_a_block_comes_back_as_it_was(words, ids):
+    packed = P.pack_block(words, np.array(ids, np.int32))
+    listed, places = P.unpack_block(*(pa.scalar(x, pa.binary()) for x in packed))
+    listed.validate(full=True)
+    assert places.dtype == np.int32 and sorted(listed.to_pylist()) == sorted(words)
+    assert [listed[k].as_py() if k >= 0 else None for k in places.tolist()] == [words[k] if k >= 0 else None for k in ids]
+    hashes = P.word_hashes(listed, np.uint64(9))
+    assert len(set(hashes.tolist())) == len(words) and (P.word_hashes(listed.slice(1), np.uint64(9)) == hashes[1:]).all()
+    keys = [b"en\n" + w for w in listed.to_pylist()]
+    lengths, of_key = P._phrase_hashes(keys)
+    assert (lengths == 1).all() and (of_key == P.word_hashes(listed, P._language_seed("en"))).all()
+
+
 def test_shuffle_files_go_as_a_step_ends(spark, tmp_path):
     """One query's shuffle files do not lie beside the next one's; the setting is as before afterwards."""
     import time
