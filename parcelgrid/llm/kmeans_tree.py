@@ -27,8 +27,10 @@ Queries and vectors meet in packs, neighbouring leaves of some thousand vectors.
 sorted stream the vectors of a pack come first and are held, and the queries pass by
 in batches, each with the leaves it visits; a query gets its best of a pack at once.
 A vector is shuffled once a search, however many queries there are, and a query once
-for each pack it visits.  A pack holds at most ``PACK_MOST`` vectors, and there are
-about ``PACKS`` of them until that is reached.
+for each pack it visits.  A pack holds about ``PACK_ROOT`` times the root of the number
+of vectors, so that both packs and what a pack holds grow with the root, and at most
+``PACK_BYTES``.  Python holds one pack, ``CELLS`` products and ``ASKED_BYTES`` of queries
+by pack at a time, however many queries and packs there are.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows with a null id.  Rows that repeat an id and its vector count once.  With
@@ -39,6 +41,7 @@ columns are ignored whatever their names.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -55,8 +58,8 @@ LEAF_CLASSES, MAX_LEAVES = 8, 4096
 TREE_CLASSES = 200
 PILOT, PILOT_SHARE = 4, 64
 ORDER, SURE = 2.0, 5.0  # spreads
-PACKS, PACK_LEAST, PACK_MOST = 1024, 1024, 1 << 18
-QUERIES_AT_ONCE = 1024
+PACK_LEAST, PACK_ROOT, PACK_BYTES = 1024, 12, 1 << 26
+CELLS, ASKED_BYTES = 1 << 22, 1 << 23
 
 
 class Tree:
@@ -176,7 +179,7 @@ def _nearest(q_ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: l
     ``rough`` holds the products, minus infinity where a class is not compared with a query."""
     rough = queries @ vectors.T if rough is None else rough
     kth = min(k + 1, rough.shape[1])
-    edge = -np.partition(-rough, kth - 1, axis=1)[:, kth - 1]
+    edge = np.partition(rough, rough.shape[1] - kth, axis=1)[:, rough.shape[1] - kth]
     if floor is not None:
         edge = np.maximum(edge, floor)
     slack = np.where(np.isfinite(edge), 1e-9 * (1 + np.abs(edge)), 0)  # the matrix product may differ from the measure in the last bits
@@ -230,6 +233,26 @@ def _packs(held: dict[str, int], size: int) -> dict[str, list[int]]:
     return packs
 
 
+def _by_pack(batches, leaves_of, packs: dict[str, list[int]]):
+    """A row for every pack that a query visits, with its leaves there, in frames of about ``ASKED_BYTES``."""
+    columns = ["query_id", "least", "v", "pack", "seen"]
+    out, held = [], 0
+    for part in batches:
+        for query, floor, v in zip(part["query_id"], part["least"], part["v"]):
+            there: dict[int, list[int]] = {}
+            for leaf in leaves_of(v, floor):
+                for pack in packs.get(f"{len(v)}:{leaf}", ()):
+                    there.setdefault(pack, []).append(leaf)
+            for pack, seen in there.items():
+                out.append((query, floor, v, pack, seen))
+                held += 8 * (len(v) + len(seen))
+                if held >= ASKED_BYTES:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def _compared(some: pd.DataFrame, vectors: np.ndarray, leaves: np.ndarray) -> np.ndarray:
     """Products of each query with the classes of its leaves, minus infinity elsewhere."""
     queries = _matrix(some["v"])
@@ -246,6 +269,32 @@ def _compared(some: pd.DataFrame, vectors: np.ndarray, leaves: np.ndarray) -> np
     return rough
 
 
+def _answers(batches, k: int):
+    """The best of each pack for each query; batches are sorted by pack, its vectors first.  At most ``CELLS`` products at a time."""
+    here, parts = None, []
+    for batch in batches:
+        for key, part in batch.groupby("pack", sort=False):
+            if key != here:
+                here, parts = key, []
+            held = part[part.side == 0]
+            if len(held):
+                parts.append((_matrix(held["v"]), [np.asarray(i, np.int64) for i in held["ids"]],
+                              np.array([x[0] for x in held["seen"]])))
+            queries = part[part.side == 1]
+            if len(queries) and parts:
+                if len(parts) > 1:
+                    parts = [(np.concatenate([p[0] for p in parts]), sum((p[1] for p in parts), []),
+                              np.concatenate([p[2] for p in parts]))]
+                vectors, ids, leaves = parts[0]
+                step = max(1, CELLS // len(vectors))
+                for at in range(0, len(queries), step):
+                    some = queries.iloc[at:at + step]
+                    found = _nearest(some["query_id"].to_numpy(np.int64), _matrix(some["v"]), vectors, ids, k,
+                                     some["least"].to_numpy(np.float64), _compared(some, vectors, leaves))
+                    if len(found):
+                        yield found
+
+
 def _meet(asked: DataFrame, filed: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best that reach ``least`` of each asked (query_id, least, v, pack, seen leaves)
     among the pack's classes of those leaves."""
@@ -253,31 +302,8 @@ def _meet(asked: DataFrame, filed: DataFrame, k: int) -> DataFrame:
     right = filed.select("pack", F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"),
                          F.lit(None).cast("double").alias("least"), F.array("no").alias("seen"), "ids", "v")
 
-    def stream(batches):
-        here, parts = None, []
-        for batch in batches:
-            for key, part in batch.groupby("pack", sort=False):
-                if key != here:
-                    here, parts = key, []
-                held = part[part.side == 0]
-                if len(held):
-                    parts.append((_matrix(held["v"]), [np.asarray(i, np.int64) for i in held["ids"]],
-                                  np.array([x[0] for x in held["seen"]])))
-                queries = part[part.side == 1]
-                if len(queries) and parts:
-                    if len(parts) > 1:
-                        parts = [(np.concatenate([p[0] for p in parts]), sum((p[1] for p in parts), []),
-                                  np.concatenate([p[2] for p in parts]))]
-                    vectors, ids, leaves = parts[0]
-                    for at in range(0, len(queries), QUERIES_AT_ONCE):
-                        some = queries.iloc[at:at + QUERIES_AT_ONCE]
-                        found = _nearest(some["query_id"].to_numpy(np.int64), _matrix(some["v"]), vectors, ids, k,
-                                         some["least"].to_numpy(np.float64), _compared(some, vectors, leaves))
-                        if len(found):
-                            yield found
-
     return (left.unionByName(right).repartition("pack").sortWithinPartitions("pack", "side")
-            .mapInPandas(stream, "query_id long, vec_id long, score double"))
+            .mapInPandas(lambda batches: _answers(batches, k), "query_id long, vec_id long, score double"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -321,7 +347,9 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
     # a row per leaf: at most max_leaves and a few, and one for each small dimension
     held = filed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
     n_classes = sum(r["n"] for r in held)
-    packs = _packs({r["leaf"]: r["n"] for r in held}, min(max(PACK_LEAST, n_classes // PACKS), PACK_MOST))
+    widest = max(trees.value, default=1)
+    packs = _packs({r["leaf"]: r["n"] for r in held},
+                   max(1, min(max(PACK_LEAST, PACK_ROOT * math.isqrt(n_classes)), PACK_BYTES // (8 * widest))))
     of_leaf = spark.createDataFrame([(leaf, of[0], len(of)) for leaf, of in packs.items()], "leaf string, one long, of long")
     filed = filed.join(F.broadcast(of_leaf), "leaf").select(
         "leaf", (F.col("one") + F.pmod(F.xxhash64("v"), F.col("of"))).alias("pack"),
@@ -335,21 +363,12 @@ def search(table: DataFrame, is_query, k: int, target: float, id_col: str = "vec
 
     def ask(queries: DataFrame, most: int) -> DataFrame:
         """Queries by the packs they visit, with the leaves there: the pilot's and at most ``most``."""
-        def run(batches):
-            for part in batches:
-                out = []
-                for query, floor, v in zip(part["query_id"], part["least"], part["v"]):
-                    d, q, own = len(v), np.asarray(v, np.float64), [0]
-                    if d in sizes:
-                        own = trees.value[d].visits(q, most, floor, sizes[d], least[d])
-                    there: dict[int, list[int]] = {}
-                    for leaf in own:
-                        for pack in packs.get(f"{d}:{leaf}", ()):
-                            there.setdefault(pack, []).append(leaf)
-                    out += [(query, floor, v, pack, seen) for pack, seen in there.items()]
-                yield pd.DataFrame(out, columns=["query_id", "least", "v", "pack", "seen"])
-
-        return queries.mapInPandas(run, "query_id long, least double, v array<double>, pack long, seen array<int>")
+        def leaves_of(v, floor):
+            d = len(v)
+            return trees.value[d].visits(np.asarray(v, np.float64), most, floor, sizes[d], least[d]) if d in sizes else [0]
+
+        return queries.mapInPandas(lambda batches: _by_pack(batches, leaves_of, packs),
+                                   "query_id long, least double, v array<double>, pack long, seen array<int>")
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     none = F.lit(float("-inf"))

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,32 @@ def test_search_shuffles_each_vector_once_however_many_ask(spark):
     assert sent[5] < 15 * sent[50]  # rows sent grow with the queries, and no vector is copied for them
 
 
+def test_search_holds_few_queries_and_products_at_a_time(monkeypatch):
+    """However many packs the queries of a batch visit, and however many vectors and queries meet in a pack."""
+    rng = np.random.default_rng(8)
+    vecs = list(rng.normal(size=(1500, 4)))
+    asked = pd.DataFrame({"query_id": range(1500), "least": -np.inf, "v": vecs})
+    monkeypatch.setattr(kmeans_tree, "ASKED_BYTES", 5000)
+    frames = list(kmeans_tree._by_pack(iter([asked]), lambda v, floor: range(30), {f"4:{n}": [n // 3, 99] for n in range(30)}))
+    assert max(8 * (4 * len(f) + f["seen"].map(len).sum()) for f in frames) <= 5000 + 8 * 34
+    rows = pd.concat(frames)
+    assert len(rows) == 1500 * 11 and all(rows["pack"].value_counts() == 1500)
+    assert rows[rows["pack"] == 4]["seen"].map(tuple).unique().tolist() == [(12, 13, 14)]
+    held = pd.DataFrame({"pack": 1, "side": 0, "query_id": None, "least": None, "seen": [[n % 2] for n in range(6000)],
+                         "ids": [[n + 5000] for n in range(6000)], "v": list(rng.normal(size=(6000, 4)))})
+    meeting = asked.assign(pack=1, side=1, seen=[[0, 1]] * 1500, ids=None)
+    shapes, compared = [], kmeans_tree._compared
+
+    def spy(*args):
+        shapes.append(compared(*args).shape)
+        return compared(*args)
+    monkeypatch.setattr(kmeans_tree, "_compared", spy)
+    best = pd.concat(kmeans_tree._answers(iter([held[:4000], pd.concat([held[4000:], meeting[:100]]), meeting[100:]]), 1))
+    assert sum(n for n, _ in shapes) == 1500 and max(n * m for n, m in shapes) <= 1 << 22
+    scores = np.array(vecs) @ np.array(held["v"].tolist()).T
+    assert best.sort_values("query_id")["vec_id"].tolist() == (scores.argmax(axis=1) + 5000).tolist()
+
+
 def test_no_python_in_native_layout_plans(spark, docs_of, scratch):
     turns = spark.createDataFrame([(k % 3, k, "user", f"t{k}") for k in range(60)], "conv_id long, turn long, role string, text string")
     for frame in (sharding.assign_shards(docs_of([(k, "a") for k in range(40)]), 3, scratch + "/m"), format_chats(turns),
